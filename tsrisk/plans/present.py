@@ -10,7 +10,11 @@ from tsrisk.names import AREA, COUNT, DATE, DOW, HOUR, PERIOD_ROWS, PREDICTED, S
 from tsrisk.operators.risk import AREA_RISK, EXPECTED, SLOT_RISK, TOTAL_30
 
 SHOWN_RISK = "display_risk_percent"
-PERIOD_ORDER = (F.desc(SLOT_RISK), F.asc(AREA), F.asc(TYPE), F.asc("day_name"), F.asc("hour_label"))
+
+
+def period_order():
+    """Riskiest slot first, ties by key."""
+    return [F.desc(SLOT_RISK), AREA, TYPE, "day_name", "hour_label"]
 
 
 def _labelled(risk: DataFrame) -> DataFrame:
@@ -41,7 +45,7 @@ def present_periods(periods: DataFrame, rows: int = PERIOD_ROWS) -> DataFrame:
         "share_of_group_percent",
         SLOT_RISK,
         slot_band(F.col(SLOT_RISK)).alias("risk_level"),
-    ).orderBy(*PERIOD_ORDER)
+    ).orderBy(*period_order())
 
 
 def present_history(panel: DataFrame, keys=()) -> DataFrame:

@@ -8,7 +8,7 @@ from tsrisk.functions.scoring import finite_or_null, match_label
 from tsrisk.names import AREA, DATE, STEP, TYPE
 from tsrisk.operators.features import best_per_key, tail_rows
 from tsrisk.operators.risk import SLOT_RISK
-from tsrisk.plans.present import PERIOD_ORDER, SHOWN_RISK
+from tsrisk.plans.present import SHOWN_RISK, period_order
 
 ALL = "ALL"
 
@@ -74,7 +74,7 @@ def risk_period_view(
         periods = periods.where(F.col(AREA) == area)
     if kind is not None:
         periods = periods.where(match_label(F.col(TYPE), kind))
-    return finite_or_null(periods).orderBy(*PERIOD_ORDER).limit(limit)
+    return finite_or_null(periods).orderBy(*period_order()).limit(limit)
 
 
 def filter_selection(df: DataFrame, area=ALL, kind: str = ALL) -> DataFrame:
@@ -102,7 +102,7 @@ def mappable(area_map: DataFrame) -> DataFrame:
 
 def _detail(row: DataFrame, periods: DataFrame, key: str, columns, limit: int) -> DataFrame:
     """A risk row beside its riskiest slots; the row stays when there are none."""
-    top = periods.orderBy(*PERIOD_ORDER).limit(limit)
+    top = periods.orderBy(*period_order()).limit(limit)
     slots = top.select(key, *columns, F.col("risk_level").alias("period_level"))
     return row.limit(1).join(slots, key, "left").orderBy(F.desc(SLOT_RISK), *columns)
 
