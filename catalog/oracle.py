@@ -508,6 +508,61 @@ feat AS (
     ),
 }
 
+_FEATURES = ORACLE["lag_features"].rsplit("\n", 1)[0]
+_LEVEL = "SELECT '{0}' AS model, '{1}' AS prediction_level, " + metrics("a", "p", (4, 4, 4, 4)) + " FROM {2}"
+ORACLE["evaluate_levels"] = (
+    _FEATURES
+    + """,
+raw_rows AS (SELECT date, district, primary_type, crime_count::DOUBLE AS a, rolling_mean_7 AS p
+             FROM feat, lim WHERE lag_30 IS NOT NULL AND date > hi - 90),
+by_a AS (SELECT date, district, sum(a) AS a, sum(round_even(p, 2)) AS p FROM raw_rows GROUP BY ALL),
+by_t AS (SELECT date, primary_type, sum(a) AS a, sum(round_even(p, 2)) AS p FROM raw_rows GROUP BY ALL)
+"""
+    + " UNION ALL ".join([
+        _LEVEL.format("Mean District + Crime Type", "district_crime_type_daily", "raw_rows"),
+        _LEVEL.format("Mean District Forecast", "district_daily", "by_a"),
+        _LEVEL.format("Mean Crime Type Forecast", "crime_type_daily", "by_t"),
+    ])
+)
+_CODES = "codes AS (SELECT primary_type, (row_number() OVER (ORDER BY primary_type) - 1)::INTEGER AS primary_type_code FROM tops)"
+ORACLE["model_table"] = (
+    f"{_FEATURES},\n{_CODES}\n"
+    + f"""SELECT date, crime_count, district, primary_type_code,
+  {parts('date').replace('dayofweek(date) IN (0, 6) AS', '(dayofweek(date) IN (0, 6))::INTEGER AS')},
+  lag_1, lag_7, lag_14, lag_30, rolling_mean_7, rolling_mean_30, rolling_std_7
+FROM feat JOIN codes USING (primary_type) WHERE lag_30 IS NOT NULL"""
+)
+ORACLE["next_day_features"] = sql(
+    f"""{PAIRS},\n{_CODES},
+one AS (
+  SELECT district, primary_type, (max(hi) + 1)::DATE AS day,
+    sum(crime_count) FILTER (date = hi)::DOUBLE AS lag_1, sum(crime_count) FILTER (date = hi - 6)::DOUBLE AS lag_7,
+    sum(crime_count) FILTER (date = hi - 13)::DOUBLE AS lag_14, sum(crime_count) FILTER (date = hi - 29)::DOUBLE AS lag_30,
+    round(avg(crime_count) FILTER (date > hi - 7), 6) AS rolling_mean_7,
+    round(avg(crime_count) FILTER (date > hi - 30), 6) AS rolling_mean_30,
+    round(stddev_samp(crime_count) FILTER (date > hi - 7), 6) AS rolling_std_7
+  FROM pan, lim GROUP BY district, primary_type)""",
+    f"""SELECT * EXCLUDE (day, primary_type),
+  {parts('one.day').replace('dayofweek(one.day) IN (0, 6) AS', '(dayofweek(one.day) IN (0, 6))::INTEGER AS')}
+FROM one JOIN codes USING (primary_type)""",
+)
+ORACLE["ar_gram"] = sql(
+    CITY
+    + """,
+diffs AS (
+  SELECT date, '1,0,7' AS differencing, (crime_count - lag(crime_count) OVER o)::DOUBLE AS w FROM pan
+  WINDOW o AS (ORDER BY date)
+  UNION ALL
+  SELECT date, '1,1,7', (crime_count - lag(crime_count) OVER o - lag(crime_count, 7) OVER o
+                         + lag(crime_count, 8) OVER o)::DOUBLE
+  FROM pan WINDOW o AS (ORDER BY date)),
+known AS (SELECT * FROM diffs WHERE w IS NOT NULL)""",
+    """SELECT a.differencing, (SELECT count(*) FROM known k WHERE k.differencing = a.differencing) AS n,
+  (a.date - b.date)::INTEGER AS lag, sum(a.w * b.w) AS product
+FROM known a JOIN known b ON a.differencing = b.differencing AND b.date BETWEEN a.date - 21 AND a.date
+GROUP BY a.differencing, (a.date - b.date)::INTEGER""",
+)
+
 _BOARD = ",\n".join([
     steps_for(ORDERS, "district"), lagged("district"), models("district"),
     """board AS (

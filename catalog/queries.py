@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from catalog import rawtext
 from tsrisk.functions import cleaning as C, dates as D, scoring as S
 from tsrisk.names import AREA, COUNT, DATE, DAY, DOW, HOUR, RAW_COLUMNS, TIME, TYPE, VALID_AREAS
-from tsrisk.operators import counts, features, forecast, metrics, panel, risk
+from tsrisk.operators import arima, boosted, counts, features, forecast, metrics, panel, risk
 from tsrisk.operators.centroids import centroids
 from tsrisk.plans import present, quality, views
 from tsrisk.plans.clean import clean_incidents
@@ -79,6 +79,15 @@ class Counted:
     def type_risk(self) -> DataFrame:
         return present.present_type_risk(self.forecast_risk(TYPE))
 
+    def gbt(self, max_iter: int = 5) -> tuple[DataFrame, DataFrame]:
+        """Test-day predictions and recursive forecast of a small boosted-tree model."""
+        dense = stage(self.panel(AREA, TYPE), "panel")
+        codes = features.category_codes(dense)
+        table = stage(boosted.model_table(features.lag_features(dense), codes), "model-table")
+        train, test = boosted.train_test(table, self.end)
+        model = boosted.fit_gbt(train, max_iter=max_iter)
+        return boosted.predict(model, test), boosted.recursive_forecast(model, dense, codes, self.end)
+
     def selected(self) -> DataFrame:
         city = self.panel()
         board = forecast.leaderboard({"Baseline": forecast.baseline_leaderboard(city)})
@@ -611,3 +620,137 @@ def type_detail(spark, folder):
     base = events(spark, folder)
     totals = counts.top_keys(base.cube, TYPE, 15).withColumnRenamed(COUNT, "total_count")
     return views.type_detail(totals, present.present_periods(base.periods()), "click")
+
+
+# ---------------------------------------------------------------- fitted models
+@query
+def evaluate_levels(spark, folder):
+    """Errors per row, per area and day and per type and day, taking the 7-day mean as prediction."""
+    base = orders(spark, folder, AREA, TYPE)
+    table = features.lag_features(base.panel(AREA, TYPE))
+    _, test = boosted.train_test(table, base.end)
+    rows = test.select(
+        DATE, AREA, TYPE, F.col(COUNT).cast("double").alias(metrics.ACTUAL),
+        F.round("rolling_mean_7", 6).alias("predicted_crime_count"),
+    )
+    return metrics.evaluate_levels(rows, "Mean")
+
+
+@query
+def model_table(spark, folder):
+    table = boosted.model_table(features.lag_features(orders(spark, folder, AREA, TYPE).panel(AREA, TYPE)))
+    shown = table.select(DATE, COUNT, *features.FEATURES)
+    return shown.withColumns({c: F.round(c, 6) for c in ("rolling_mean_7", "rolling_mean_30", "rolling_std_7")})
+
+
+@query
+def next_day_features(spark, folder):
+    """What the recursive forecast sees on its first day."""
+    base = orders(spark, folder, AREA, TYPE)
+    dense = stage(base.panel(AREA, TYPE), "panel")
+    state = features.series_arrays(dense, [AREA, TYPE], last=30, end=base.end)
+    state = state.join(features.category_codes(dense), TYPE)
+    made = boosted.step_features(state, base.end + dt.timedelta(days=1)).drop("history", TYPE)
+    return made.withColumns({c: F.round(c, 6) for c in ("rolling_mean_7", "rolling_mean_30", "rolling_std_7")})
+
+
+@query
+def ar_gram(spark, folder):
+    """Lag products of the once and the weekly differenced city series."""
+    rows = arima.differenced(orders(spark, folder).panel(), [], arima.SARIMA_ORDERS)
+    sums = arima.lag_products(rows, [])
+    return sums.select("differencing", "n", F.posexplode("products").alias("lag", "product"))
+
+
+@query
+def arima_grid(spark, folder):
+    base = orders(spark, folder)
+    return arima.grid_search(base.panel(), end=base.end).scores
+
+
+@query
+def sarima_grid(spark, folder):
+    base = orders(spark, folder)
+    return arima.grid_search(base.panel(), orders=arima.SARIMA_ORDERS, end=base.end).scores
+
+
+@query
+def arima_grid_area(spark, folder):
+    """One search over every area at once."""
+    base = orders(spark, folder, AREA)
+    return arima.grid_search(base.panel(AREA), [AREA], end=base.end).scores
+
+
+@query
+def arima_test_predictions(spark, folder):
+    base = orders(spark, folder)
+    return arima.grid_search(base.panel(), end=base.end).test_predictions()
+
+
+@query
+def arima_forecast(spark, folder):
+    base = orders(spark, folder)
+    series = stage(base.panel(), "city")
+    return arima.best_forecast(series, arima.grid_search(series, end=base.end))
+
+
+@query
+def sarima_forecast(spark, folder):
+    base = orders(spark, folder)
+    series = stage(base.panel(), "city")
+    grid = arima.grid_search(series, orders=arima.SARIMA_ORDERS, end=base.end)
+    return arima.best_forecast(series, grid, arima.SARIMA_ORDERS, bounds=True)
+
+
+def _all_groups(base: Counted) -> tuple[DataFrame, dict[str, DataFrame]]:
+    series = stage(base.panel(), "city")
+    plain = arima.grid_search(series, end=base.end)
+    weekly = arima.grid_search(series, orders=arima.SARIMA_ORDERS, end=base.end)
+    board = forecast.leaderboard(
+        {"Baseline": forecast.baseline_leaderboard(series), "ARIMA": plain.scores, "SARIMA": weekly.scores}
+    )
+    ahead = {
+        "Baseline": forecast.iterative_mean_forecast(series, end=base.end),
+        "ARIMA": arima.best_forecast(series, plain),
+        "SARIMA": arima.best_forecast(series, weekly, arima.SARIMA_ORDERS, bounds=True),
+    }
+    return board, ahead
+
+
+@query
+def leaderboard(spark, folder):
+    return _all_groups(orders(spark, folder))[0]
+
+
+@query
+def selected_of_all(spark, folder):
+    return forecast.select_forecast(*_all_groups(orders(spark, folder)))
+
+
+@query
+def gbt_metrics(spark, folder):
+    return metrics.evaluate_levels(orders(spark, folder, AREA, TYPE).gbt()[0], "GBT")
+
+
+@query
+def gbt_forecast(spark, folder):
+    return orders(spark, folder, AREA, TYPE).gbt()[1]
+
+
+@query
+def gbt_rollup(spark, folder):
+    detail = orders(spark, folder, AREA, TYPE).gbt()[1]
+    return forecast.forecast_rollups(detail, "Boosted Trees Aggregated")["citywide_30day"]
+
+
+# ---------------------------------------------------------------- file and schema reports
+@query
+def file_profile(spark, folder):
+    return delimited.file_profile(spark, f"{folder}/*.parquet")
+
+
+@query
+def describe_tables(spark, folder):
+    names = ("orders", "customer", "events", "lineitem")
+    parts = [delimited.describe(read_table(spark, folder, n)).withColumn("table_name", F.lit(n)) for n in names]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
