@@ -508,7 +508,7 @@ feat AS (
     ),
 }
 
-_FEATURES = ORACLE["lag_features"].rsplit("\n", 1)[0]
+_FEATURES = ORACLE["lag_features"].split("\nSELECT *, day(")[0]
 _LEVEL = "SELECT '{0}' AS model, '{1}' AS prediction_level, " + metrics("a", "p", (4, 4, 4, 4)) + " FROM {2}"
 ORACLE["evaluate_levels"] = (
     _FEATURES

@@ -13,7 +13,7 @@ from tsrisk.functions import cleaning as C, dates as D, scoring as S
 from tsrisk.names import AREA, COUNT, DATE, DAY, DOW, HOUR, RAW_COLUMNS, TIME, TYPE, VALID_AREAS
 from tsrisk.operators import arima, boosted, counts, features, forecast, metrics, panel, risk
 from tsrisk.operators.centroids import centroids
-from tsrisk.plans import present, quality, views
+from tsrisk.plans import pipeline, present, quality, views
 from tsrisk.plans.clean import clean_incidents
 from tsrisk.session import shared_dir, stage
 from tsrisk.sources import delimited
@@ -691,7 +691,7 @@ def arima_test_predictions(spark, folder):
 def arima_forecast(spark, folder):
     base = orders(spark, folder)
     series = stage(base.panel(), "city")
-    return arima.best_forecast(series, arima.grid_search(series, end=base.end))
+    return arima.best_forecast(arima.grid_search(series, end=base.end), arima.fit(series))
 
 
 @query
@@ -699,32 +699,23 @@ def sarima_forecast(spark, folder):
     base = orders(spark, folder)
     series = stage(base.panel(), "city")
     grid = arima.grid_search(series, orders=arima.SARIMA_ORDERS, end=base.end)
-    return arima.best_forecast(series, grid, arima.SARIMA_ORDERS, bounds=True)
-
-
-def _all_groups(base: Counted) -> tuple[DataFrame, dict[str, DataFrame]]:
-    series = stage(base.panel(), "city")
-    plain = arima.grid_search(series, end=base.end)
-    weekly = arima.grid_search(series, orders=arima.SARIMA_ORDERS, end=base.end)
-    board = forecast.leaderboard(
-        {"Baseline": forecast.baseline_leaderboard(series), "ARIMA": plain.scores, "SARIMA": weekly.scores}
-    )
-    ahead = {
-        "Baseline": forecast.iterative_mean_forecast(series, end=base.end),
-        "ARIMA": arima.best_forecast(series, plain),
-        "SARIMA": arima.best_forecast(series, weekly, arima.SARIMA_ORDERS, bounds=True),
-    }
-    return board, ahead
+    return arima.best_forecast(grid, arima.fit(series, orders=arima.SARIMA_ORDERS), bounds=True)
 
 
 @query
 def leaderboard(spark, folder):
-    return _all_groups(orders(spark, folder))[0]
+    base = orders(spark, folder)
+    series = stage(base.panel(), "city")
+    return pipeline.city_board(series, arima.grid_search(series, orders=arima.ALL_ORDERS, end=base.end))
 
 
 @query
 def selected_of_all(spark, folder):
-    return forecast.select_forecast(*_all_groups(orders(spark, folder)))
+    base = orders(spark, folder)
+    series = stage(base.panel(), "city")
+    grid = arima.grid_search(series, orders=arima.ALL_ORDERS, end=base.end)
+    board = pipeline.city_board(series, grid)
+    return forecast.select_forecast(board, pipeline.city_forecasts(series, grid, base.end))
 
 
 @query

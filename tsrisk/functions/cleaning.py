@@ -27,7 +27,9 @@ def clean_int(col: Column) -> Column:
 
 def clean_long(col: Column) -> Column:
     """As `clean_int`, but plain digits keep all 64 bits."""
-    return F.coalesce(text_or_null(col).try_cast("bigint"), F.round(clean_double(col)).try_cast("bigint"))
+    rounded = F.round(clean_double(col))
+    fitting = F.when(F.abs(rounded) < 2.0**63, rounded.try_cast("bigint"))
+    return F.coalesce(text_or_null(col).try_cast("bigint"), fitting)
 
 
 def clean_bool(col: Column) -> Column:

@@ -20,7 +20,7 @@ from __future__ import annotations
 import datetime as dt
 import sys
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -97,6 +97,7 @@ SARIMA_ORDERS = (
     Order(1, 1, 1, (1, 1, 1, 7)),
     Order(2, 1, 1, (1, 1, 1, 7)),
 )
+ALL_ORDERS = ARIMA_ORDERS + SARIMA_ORDERS
 
 
 # ---------------------------------------------------------------- shared shapes
@@ -345,7 +346,13 @@ class Grid:
     tested: DataFrame
     keys: list[str]
 
+    def family(self, seasonal: bool) -> Grid:
+        """Only the seasonal, or only the plain, candidates of a search over both."""
+        own = F.col("seasonal_order").isNotNull() if seasonal else F.col("seasonal_order").isNull()
+        return Grid(self.scores.where(own), self.tested.where(own), self.keys)
+
     def best(self) -> DataFrame:
+        """The candidate with the smallest MAE, per series."""
         ranked = self.scores.withColumn("_gain", -F.col("mae"))
         if self.keys:
             return best_per_key(ranked, self.keys, "_gain", ["model"]).drop("_gain")
@@ -377,16 +384,13 @@ def grid_search(
     return Grid(scores, tested, keys)
 
 
-def best_forecast(
-    series: DataFrame, grid: Grid, orders=ARIMA_ORDERS, y: str = COUNT, steps: int = FORECAST_DAYS, bounds: bool = False
-) -> DataFrame:
-    """Refit each series' best order on all days and forecast, with 95 % bounds if asked."""
-    fitted = fit(series, grid.keys, orders, y, steps)
+def best_forecast(grid: Grid, refit: Fitted, steps: int = FORECAST_DAYS, bounds: bool = False) -> DataFrame:
+    """Forecast with each series' best order, refitted on all days; 95 % bounds if asked."""
     chosen = grid.best().select(*grid.keys, "model")
-    fitted.fits = fitted.fits.join(chosen, [*grid.keys, "model"], "left_semi")
+    own = replace(refit, fits=refit.fits.join(chosen, [*grid.keys, "model"], "left_semi"))
     margin = F.col("spread") * NORMAL_95
     limits = {"lower_bound": F.col("value") - margin, "upper_bound": F.col("value") + margin} if bounds else {}
-    return forecast(fitted, steps).select(
+    return forecast(own, steps).select(
         DATE,
         STEP,
         *grid.keys,

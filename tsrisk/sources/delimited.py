@@ -23,7 +23,8 @@ def read_raw(spark: SparkSession, path: str, columns=None, sep: str = ",", multi
     options = {"header": True, "sep": sep, "quote": '"', "escape": '"', "multiLine": multiline, "mode": "PERMISSIVE"}
     if columns is None:
         columns = spark.read.options(**options, inferSchema=False).csv(path).columns
-    reader = spark.read.options(**options, columnNameOfCorruptRecord=CORRUPT)
+    # With pruned columns the parser would not notice rows that do not fit.
+    reader = spark.read.options(**options, columnNameOfCorruptRecord=CORRUPT, columnPruning=False)
     return reader.schema(raw_schema(columns)).csv(path)
 
 
