@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from catalog import rawtext
 from tsrisk.names import AREA_BANDS, AREA_REST, DAY_NAMES, RAW_COLUMNS, SLOT_BANDS, SLOT_REST, VALID_AREAS
+from tsrisk.operators.arima import LONG_AR
 
 ORDERS = """inc AS (
   SELECT o_orderdate AS ts, o_orderdate::DATE AS d, (c_nationkey + 1)::INTEGER AS district,
@@ -361,6 +362,21 @@ sides AS (
         ORDERS,
         "SELECT primary_type, count(*) AS crime_count FROM inc GROUP BY ALL ORDER BY 2 DESC, 1 LIMIT 3",
     ),
+    "rolling_median": sql(
+        f"{ORDERS},\n{BOUNDS}",
+        """SELECT date, n AS crime_count,
+             median(n) OVER (ORDER BY date ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING) AS typical FROM city""",
+    ),
+    "latest_rows_area": sql(
+        ORDERS,
+        """SELECT d AS date, district, count(*) AS crime_count FROM inc GROUP BY d, district
+           QUALIFY row_number() OVER (PARTITION BY district ORDER BY d DESC) <= 5""",
+    ),
+    "key_cardinality": sql(
+        ORDERS,
+        "SELECT count(DISTINCT district) AS distinct_district, count(DISTINCT primary_type) AS distinct_primary_type FROM inc",
+    ),
+    "key_combinations": sql(ORDERS, "SELECT DISTINCT district, primary_type FROM inc"),
     "top_areas": sql(
         ORDERS, "SELECT district, count(*) AS crime_count FROM inc GROUP BY ALL ORDER BY 2 DESC, 1 LIMIT 10"
     ),
@@ -440,6 +456,11 @@ feat AS (
         "FROM ahead WHERE forecast_day <= 7 GROUP BY ALL",
         recursive=True,
     ),
+    "forecast_totals_area": sql(
+        DETAIL,
+        "SELECT district, sum(predicted_crime_count)::BIGINT AS predicted_30_day_crime_count FROM ahead GROUP BY ALL",
+        recursive=True,
+    ),
     "forecast_risk_area": sql(RISK_AREA, "SELECT * FROM by_area", recursive=True),
     "forecast_risk_type": sql(RISK_TYPE, "SELECT * FROM by_type", recursive=True),
     "map_points": sql(
@@ -450,6 +471,7 @@ feat AS (
     "present_area_map": sql(RISK_MAP, "SELECT * FROM area_map", recursive=True),
     "present_type_risk": sql(TYPE_RISK, "SELECT * FROM type_shown", recursive=True),
     "present_periods_top500": sql(TOP500, "SELECT * FROM top500"),
+    "published_round_trip": sql(TOP500, "SELECT * FROM top500"),
     "present_history_area": sql(
         steps_for(ORDERS, "district"), "SELECT strftime(date, '%Y-%m-%d') AS date, district, crime_count FROM pan"
     ),
@@ -557,9 +579,9 @@ diffs AS (
                          + lag(crime_count, 8) OVER o)::DOUBLE
   FROM pan WINDOW o AS (ORDER BY date)),
 known AS (SELECT * FROM diffs WHERE w IS NOT NULL)""",
-    """SELECT a.differencing, (SELECT count(*) FROM known k WHERE k.differencing = a.differencing) AS n,
+    f"""SELECT a.differencing, (SELECT count(*) FROM known k WHERE k.differencing = a.differencing) AS n,
   (a.date - b.date)::INTEGER AS lag, sum(a.w * b.w) AS product
-FROM known a JOIN known b ON a.differencing = b.differencing AND b.date BETWEEN a.date - 21 AND a.date
+FROM known a JOIN known b ON a.differencing = b.differencing AND b.date BETWEEN a.date - {LONG_AR} AND a.date
 GROUP BY a.differencing, (a.date - b.date)::INTEGER""",
 )
 
@@ -598,6 +620,8 @@ FROM lim, top_a a, top_t t""",
     recursive=True,
 )
 
+ORACLE["summary_round_trip"] = ORACLE["summary_flat"]
+
 _HISTORY = """per_day AS (SELECT district, d, count(*) AS n FROM inc GROUP BY ALL),
 sides AS (
   SELECT district, 30 * avg(n) AS base,

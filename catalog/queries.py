@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -16,7 +17,7 @@ from tsrisk.operators.centroids import centroids
 from tsrisk.plans import pipeline, present, quality, views
 from tsrisk.plans.clean import clean_incidents
 from tsrisk.session import shared_dir, stage
-from tsrisk.sources import delimited
+from tsrisk.sources import delimited, tables
 from tsrisk.sources.adapters import incidents_events, incidents_lineitem, incidents_orders, read_table
 
 # Sizes that fit the sample tables: five types, small groups, coordinates that are amounts.
@@ -79,14 +80,22 @@ class Counted:
     def type_risk(self) -> DataFrame:
         return present.present_type_risk(self.forecast_risk(TYPE))
 
-    def gbt(self, max_iter: int = 5) -> tuple[DataFrame, DataFrame]:
-        """Test-day predictions and recursive forecast of a small boosted-tree model."""
-        dense = stage(self.panel(AREA, TYPE), "panel")
-        codes = features.category_codes(dense)
-        table = stage(boosted.model_table(features.lag_features(dense), codes), "model-table")
+    @cached_property
+    def dense(self) -> DataFrame:
+        return stage(self.panel(AREA, TYPE), "panel")
+
+    @cached_property
+    def codes(self) -> DataFrame:
+        return features.category_codes(self.top_types())
+
+    def gbt(self, max_iter: int = 5):
+        """A small boosted-tree model and its test days."""
+        table = stage(boosted.model_table(features.lag_features(self.dense), self.codes), "model-table")
         train, test = boosted.train_test(table, self.end)
-        model = boosted.fit_gbt(train, max_iter=max_iter)
-        return boosted.predict(model, test), boosted.recursive_forecast(model, dense, codes, self.end)
+        return boosted.fit_gbt(train, max_iter=max_iter), test
+
+    def gbt_forecast(self) -> DataFrame:
+        return boosted.recursive_forecast(self.gbt()[0], self.dense, self.codes, self.end)
 
     def selected(self) -> DataFrame:
         city = self.panel()
@@ -117,6 +126,10 @@ def raw_text(spark: SparkSession, folder: str) -> DataFrame:
     return read_table(spark, folder, "events").selectExpr(*[f"{sql} AS `{name}`" for name, sql in cols.items()])
 
 
+def _new_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/tsrisk/{name}-{uuid.uuid4().hex}"
+
+
 QUERIES: dict = {}
 
 
@@ -167,6 +180,11 @@ def safe_end_date(spark, folder):
     return panel.safe_end_date(counts.daily_counts(incidents_orders(spark, folder)))
 
 
+@query
+def rolling_median(spark, folder):
+    return panel.rolling_median(counts.daily_counts(incidents_orders(spark, folder)))
+
+
 @query
 def calendar_days(spark, folder):
     base = orders(spark, folder)
@@ -208,9 +226,7 @@ def area_risk_recent(spark, folder):
 @query
 def scan_delimited(spark, folder):
     """Write the events as raw text, scan the file again, and keep what comes back."""
-    import uuid
-
-    path = f"{shared_dir(spark)}/tsrisk/raw-{uuid.uuid4().hex}"
+    path = _new_path(spark, "raw")
     raw_text(spark, folder).write.csv(path, header=True, quote='"', escape='"', nullValue="", emptyValue="")
     rows = delimited.usable_rows(delimited.read_raw(spark, path))
     return rows.select(
@@ -351,6 +367,21 @@ def area_centroids_lineitem(spark, folder):
     )
 
 
+@query
+def latest_rows_area(spark, folder):
+    return features.tail_rows(counts.daily_counts(incidents_orders(spark, folder), [AREA]), [AREA], 5)
+
+
+@query
+def key_cardinality(spark, folder):
+    return counts.key_cardinality(incidents_orders(spark, folder))
+
+
+@query
+def key_combinations(spark, folder):
+    return counts.key_combinations(incidents_orders(spark, folder))
+
+
 @query
 def top_types(spark, folder):
     return counts.top_keys(incidents_orders(spark, folder).select(TYPE), TYPE, 3)
@@ -459,6 +490,11 @@ def forecast_rollup_week(spark, folder):
     return forecast.first_days(forecast.forecast_rollup(detail), 7)
 
 
+@query
+def forecast_totals_area(spark, folder):
+    return forecast.forecast_totals(orders(spark, folder, AREA, TYPE).detail, [AREA])
+
+
 @query
 def forecast_risk_area(spark, folder):
     return orders(spark, folder, AREA, TYPE).forecast_risk(AREA)
@@ -511,10 +547,8 @@ def present_history_area(spark, folder):
     return present.present_history(orders(spark, folder, AREA).panel(AREA), [AREA])
 
 
-@query
-def summary_flat(spark, folder):
-    base = orders(spark, folder, AREA, TYPE)
-    whole = present.summary(base.cube, base.panel(), base.selected(), base.area_map(), base.type_risk())
+def _flat(whole: DataFrame) -> DataFrame:
+    """The summary with its two nested records as plain columns."""
     area, kind = "top_district_by_risk", "top_crime_type_by_risk"
     nested = [F.col(f"{area}.{c}").alias(f"area_{c}") for c in (AREA, risk.TOTAL_30, "risk_percent", "risk_level")]
     nested += [
@@ -524,6 +558,31 @@ def summary_flat(spark, folder):
     return whole.select(*[c for c in whole.columns if c not in (area, kind)], *nested)
 
 
+def _summary(base: Counted) -> DataFrame:
+    return present.summary(base.cube, base.panel(), base.selected(), base.area_map(), base.type_risk())
+
+
+@query
+def summary_flat(spark, folder):
+    return _flat(_summary(orders(spark, folder, AREA, TYPE)))
+
+
+@query
+def summary_round_trip(spark, folder):
+    """The summary written as a JSON document and read back."""
+    path = _new_path(spark, "summary")
+    tables.export_json(_summary(orders(spark, folder, AREA, TYPE)), path)
+    return _flat(tables.read_summary(spark, path))
+
+
+@query
+def published_round_trip(spark, folder):
+    """The riskiest slots written as CSV and read back with their declared schema."""
+    path = _new_path(spark, "published")
+    tables.export_csv(present.present_periods(events(spark, folder).periods()), f"{path}/high_risk_time_periods")
+    return tables.read_output(spark, path, "high_risk_time_periods")
+
+
 @query
 def quality_range(spark, folder):
     return counts.date_range(incidents_orders(spark, folder))
@@ -548,7 +607,7 @@ def quality_latest_days(spark, folder):
 def quality_top_periods(spark, folder):
     base = events(spark, folder)
     slots = risk.risk_periods(counts.slot_counts(base.cube))
-    return quality.quality_report(base.incidents, base.daily(), slots, base.daily(AREA), {"events": base.incidents})[
+    return quality.quality_report(base.incidents, base.cube, slots, base.daily(AREA), {"events": base.incidents})[
         "top_periods"
     ]
 
@@ -638,7 +697,8 @@ def evaluate_levels(spark, folder):
 
 @query
 def model_table(spark, folder):
-    table = boosted.model_table(features.lag_features(orders(spark, folder, AREA, TYPE).panel(AREA, TYPE)))
+    base = orders(spark, folder, AREA, TYPE)
+    table = boosted.model_table(features.lag_features(base.panel(AREA, TYPE)), base.codes)
     shown = table.select(DATE, COUNT, *features.FEATURES)
     return shown.withColumns({c: F.round(c, 6) for c in ("rolling_mean_7", "rolling_mean_30", "rolling_std_7")})
 
@@ -647,9 +707,8 @@ def model_table(spark, folder):
 def next_day_features(spark, folder):
     """What the recursive forecast sees on its first day."""
     base = orders(spark, folder, AREA, TYPE)
-    dense = stage(base.panel(AREA, TYPE), "panel")
-    state = features.series_arrays(dense, [AREA, TYPE], last=30, end=base.end)
-    state = state.join(features.category_codes(dense), TYPE)
+    state = features.series_arrays(base.dense, [AREA, TYPE], last=30, end=base.end)
+    state = state.join(base.codes, TYPE)
     made = boosted.step_features(state, base.end + dt.timedelta(days=1)).drop("history", TYPE)
     return made.withColumns({c: F.round(c, 6) for c in ("rolling_mean_7", "rolling_mean_30", "rolling_std_7")})
 
@@ -720,21 +779,31 @@ def selected_of_all(spark, folder):
 
 @query
 def gbt_metrics(spark, folder):
-    return metrics.evaluate_levels(orders(spark, folder, AREA, TYPE).gbt()[0], "GBT")
+    model, test = orders(spark, folder, AREA, TYPE).gbt()
+    return metrics.evaluate_levels(stage(boosted.predict(model, test), "predicted"), "GBT")
 
 
 @query
 def gbt_forecast(spark, folder):
-    return orders(spark, folder, AREA, TYPE).gbt()[1]
+    return orders(spark, folder, AREA, TYPE).gbt_forecast()
 
 
 @query
 def gbt_rollup(spark, folder):
-    detail = orders(spark, folder, AREA, TYPE).gbt()[1]
+    detail = orders(spark, folder, AREA, TYPE).gbt_forecast()
     return forecast.forecast_rollups(detail, "Boosted Trees Aggregated")["citywide_30day"]
 
 
 # ---------------------------------------------------------------- file and schema reports
+@query
+def preview_lines(spark, folder):
+    """The first lines of the documents written out as text."""
+    path = _new_path(spark, "lines")
+    lines = read_table(spark, folder, "documents").select(F.explode(F.split("text", "\n")).alias("value"))
+    lines.write.text(path)
+    return delimited.preview_lines(spark, path)
+
+
 @query
 def file_profile(spark, folder):
     return delimited.file_profile(spark, f"{folder}/*.parquet")

@@ -8,15 +8,12 @@ from tsrisk.names import RAW_TIME_FORMAT
 
 # Spark would also read Java forms such as "1d" or "0x1p3" as numbers.
 _NUMBER = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|(?i:nan|inf|infinity))\s*$"
-
-
-def text_or_null(col: Column) -> Column:
-    """Trimmed text, NULL when blank."""
-    return F.nullif(F.trim(col), F.lit(""))
+_DIGITS = r"^\s*[+-]?\d+\s*$"
 
 
 def clean_double(col: Column) -> Column:
-    text = text_or_null(col)
+    """Number from text. The pattern comes first: a failing cast is far dearer than a match."""
+    text = F.trim(col)
     return F.when(text.rlike(_NUMBER), text.try_cast("double"))
 
 
@@ -26,10 +23,10 @@ def clean_int(col: Column) -> Column:
 
 
 def clean_long(col: Column) -> Column:
-    """As `clean_int`, but plain digits keep all 64 bits."""
-    rounded = F.round(clean_double(col))
+    """As `clean_int`, with all 64 bits of plain digits."""
+    text, rounded = F.trim(col), F.round(clean_double(col))
     fitting = F.when(F.abs(rounded) < 2.0**63, rounded.try_cast("bigint"))
-    return F.coalesce(text_or_null(col).try_cast("bigint"), fitting)
+    return F.when(text.rlike(_DIGITS), text.try_cast("bigint")).otherwise(fitting)
 
 
 def clean_bool(col: Column) -> Column:

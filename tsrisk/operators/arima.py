@@ -35,7 +35,8 @@ from tsrisk.session import stage
 # The solve helpers travel inside the task, so executors need not have this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-LONG_AR = 21
+# Five weeks of lags: seasonal differencing leaves shocks that a short autoregression misses.
+LONG_AR = 35
 NORMAL_95 = 1.959963984540054
 
 

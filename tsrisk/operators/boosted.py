@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tsrisk.functions.dates import DATE_PARTS, date_part
 from tsrisk.names import AREA, COUNT, DATE, FORECAST_DAYS, PREDICTED, STEP, TEST_DAYS, TYPE
-from tsrisk.operators.features import FEATURES, category_codes, chrono_split, series_arrays
+from tsrisk.operators.features import FEATURES, chrono_split, series_arrays
 from tsrisk.operators.forecast import array_sum, last_n
 from tsrisk.operators.metrics import ACTUAL
 from tsrisk.session import ensure_checkpoint_dir, stage
@@ -22,9 +22,11 @@ LABEL = "boosted"
 CUT_EVERY = 5
 
 
-def model_table(features: DataFrame, codes: DataFrame | None = None) -> DataFrame:
-    """The feature table as numbers: type codes, 0/1 weekend flag, 0 for what is missing."""
-    codes = category_codes(features) if codes is None else codes
+def model_table(features: DataFrame, codes: DataFrame) -> DataFrame:
+    """The feature table as numbers: type codes, 0/1 weekend flag, 0 for what is missing.
+
+    `codes` is best built from the short list of types, whose known size lets it be broadcast.
+    """
     numbers = features.join(codes, TYPE).withColumn("is_weekend", F.col("is_weekend").cast("int"))
     return numbers.fillna(0, list(FEATURES))
 

@@ -12,6 +12,7 @@ from tsrisk.session import stage
 # A rank error of 1/10,000 from the sketch against a margin five times as wide.
 _ACCURACY = 10_000
 _MARGIN = 0.0005
+_BUCKETS = 4096
 
 
 def exact_medians(df: DataFrame, keys, value: str) -> DataFrame:
@@ -19,9 +20,10 @@ def exact_medians(df: DataFrame, keys, value: str) -> DataFrame:
 
     1. A mergeable quantile sketch per group gives two bounds just outside the
        middle; its rank error is smaller than the margin left on each side.
-    2. Only rows between the bounds stay; they are counted per distinct value
-       before the shuffle, and the rows below the lower bound are only counted.
-    3. A running count over those few values finds the two middle ranks.
+    2. Rows between the bounds are counted per distinct value before the
+       shuffle; rows below are only counted.
+    3. A histogram of that band, at most `_BUCKETS` rows per group, tells which
+       bucket holds the middle ranks, and only its values are put in order.
 
     The built-in exact `median` would hold every distinct value of a group in
     one task's memory.
@@ -36,19 +38,29 @@ def exact_medians(df: DataFrame, keys, value: str) -> DataFrame:
         ),
         "median-bounds",
     )
+    low, high = F.col("bound")[0], F.col("bound")[1]
     # A NULL value stands for "below the lower bound": one counter row per group.
-    middle = rows.join(bounds, keys).where(F.col("v") <= F.col("bound")[1])
-    counted = middle.groupBy(
-        *keys, "n", F.when(F.col("v") >= F.col("bound")[0], F.col("v")).alias("v")
-    ).agg(F.count(F.lit(1)).alias("w"))
-    ranked = counted.withColumn("upto", F.sum("w").over(Window.partitionBy(*keys).orderBy(F.asc_nulls_first("v"))))
+    band = rows.join(bounds, keys).where(F.col("v") <= high)
+    band = band.select(*keys, "n", "bound", F.when(F.col("v") >= low, F.col("v")).alias("v"))
+    counted = stage(band.groupBy(*keys, "n", "bound", "v").agg(F.count(F.lit(1)).alias("w")), "median-band")
+
+    share = F.when(high > low, (F.col("v") - low) / (high - low)).otherwise(0.0)
+    bucket = F.when(F.col("v").isNull(), -1).otherwise(F.floor(share * _BUCKETS).cast("int"))
+    counted = counted.withColumn("bucket", bucket)
+    upto = F.sum("w").over(Window.partitionBy(*keys).orderBy("bucket"))
     lower, upper = F.floor((F.col("n") + 1) / 2), F.floor((F.col("n") + 2) / 2)
+    histogram = counted.groupBy(*keys, "n", "bucket").agg(F.sum("w").alias("w")).withColumn("upto", upto)
+    holding = histogram.where((F.col("upto") >= lower) & (F.col("upto") - F.col("w") < upper)).select(
+        *keys, "bucket", (F.col("upto") - F.col("w")).alias("before")
+    )
+    in_order = Window.partitionBy(*keys, "bucket").orderBy("v")
+    ranked = counted.join(holding, [*keys, "bucket"]).withColumn("upto", F.col("before") + F.sum("w").over(in_order))
     found = ranked.groupBy(*keys).agg(
         F.min(F.when(F.col("upto") >= lower, F.col("v"))).alias("low"),
         F.min(F.when(F.col("upto") >= upper, F.col("v"))).alias("high"),
-        F.bool_and(F.col("v").isNotNull() | (F.col("upto") < lower)).alias("not_missed"),
+        F.bool_and(F.col("v").isNotNull()).alias("inside"),
     )
-    median = F.when(F.col("not_missed") & F.col("high").isNotNull(), (F.col("low") + F.col("high")) / 2)
+    median = F.when(F.col("inside") & F.col("high").isNotNull(), (F.col("low") + F.col("high")) / 2)
     failed = F.raise_error("the sketch bounds do not hold the median").cast("double")
     return found.select(*keys, F.coalesce(median, failed).alias(value))
 

@@ -56,21 +56,38 @@ def top_keys(df: DataFrame, key: str, n: int) -> DataFrame:
     return totals.orderBy(F.desc(COUNT), key).limit(n)
 
 
-def yearly_totals(df: DataFrame, year: str = "year") -> DataFrame:
-    return not_null(df, [year]).groupBy(year).agg(_tally(None)).orderBy(year)
-
-
-def date_range(df: DataFrame, day: str = DAY) -> DataFrame:
-    """First day, last day, distinct days and rows."""
-    per_day = df.groupBy(day).agg(F.count(F.lit(1)).alias("rows"))
+def yearly_totals(df: DataFrame) -> DataFrame:
+    """Incidents per year, from incidents or from a count table."""
+    if COUNT in df.columns:
+        per_year = df.groupBy(date_part("year", F.col(DATE)).alias("year")).agg(_tally(COUNT))
+    else:
+        per_year = df.groupBy("year").agg(_tally(None))
+    return not_null(per_year, ["year"]).orderBy("year")
+
+
+def date_range(df: DataFrame) -> DataFrame:
+    """First day, last day, distinct days and incidents, from incidents or from a count table."""
+    day, weight = (DATE, COUNT) if COUNT in df.columns else (DAY, None)
+    per_day = df.groupBy(day).agg(_tally(weight))
     return per_day.agg(
         F.min(day).alias("min_date"),
         F.max(day).alias("max_date"),
         F.count(day).alias("unique_days"),
-        F.coalesce(F.sum("rows"), F.lit(0)).alias("total_records"),
+        F.coalesce(F.sum(COUNT), F.lit(0)).alias("total_records"),
     )
 
 
+def key_combinations(df: DataFrame, keys=(AREA, TYPE)) -> DataFrame:
+    """The key combinations that occur."""
+    return not_null(df, keys).select(*keys).distinct()
+
+
+def key_cardinality(df: DataFrame, keys=(AREA, TYPE)) -> DataFrame:
+    """Distinct values of each key, as one row; the keys are reduced to their combinations first."""
+    seen = df.select(*keys).distinct()
+    return seen.agg(*[F.count_distinct(F.col(k)).alias(f"distinct_{k}") for k in keys])
+
+
 def null_profile(df: DataFrame, columns) -> DataFrame:
     """Row count and missing values per column, as one row."""
     missing = [F.count_if(F.col(c).isNull()).alias(f"missing_{c}") for c in columns]

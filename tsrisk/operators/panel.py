@@ -31,15 +31,19 @@ def key_list(spark: SparkSession, values, name: str = AREA) -> DataFrame:
     return spark.range(1).select(F.explode(F.array(*map(F.lit, values))).alias(name))
 
 
-def _trusted_days(daily: DataFrame, fraction: float, rows: int) -> DataFrame:
-    """Flag the days whose count reaches `fraction` of the median of the `rows` days before.
+def rolling_median(daily: DataFrame, rows: int = 30) -> DataFrame:
+    """City-level counts with `typical`, the median of the `rows` days before.
 
-    Takes city-level counts, one row per day, so the unpartitioned window stays
-    as small as the calendar.
+    There is one row per day, so the unpartitioned window stays as small as the
+    calendar.
     """
     before = Window.orderBy(DATE).rowsBetween(-rows, -1)
-    typical = F.percentile(COUNT, F.lit(0.5)).over(before)
-    return daily.select(DATE, (F.col(COUNT) >= typical * fraction).alias("trusted"))
+    return daily.select(DATE, COUNT, F.percentile(COUNT, F.lit(0.5)).over(before).alias("typical"))
+
+
+def _trusted_days(daily: DataFrame, fraction: float, rows: int) -> DataFrame:
+    """Flag the days whose count reaches `fraction` of the median before them."""
+    return rolling_median(daily, rows).select(DATE, (F.col(COUNT) >= F.col("typical") * fraction).alias("trusted"))
 
 
 def _last_trusted():

@@ -25,20 +25,25 @@ def get_session(app: str = "tsrisk", master: str | None = None, **conf: str) ->
     return builder.getOrCreate()
 
 
+_local_dirs: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, `spark.checkpoint.dir`.
+    """The cluster's shared folder: `spark.checkpoint.dir`, or the checkpoint folder set on the context.
 
     Only a local session, where driver and tasks share one disk, gets a
-    temporary folder when the setting is missing.
+    temporary folder when neither is set.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-    folder = tempfile.mkdtemp(prefix="tsrisk-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    application = context.applicationId
+    if application not in _local_dirs:
+        _local_dirs[application] = tempfile.mkdtemp(prefix="tsrisk-")
+    return _local_dirs[application]
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
