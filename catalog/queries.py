@@ -69,7 +69,8 @@ class Counted:
 
     def forecast_risk(self, key: str) -> DataFrame:
         totals = forecast.forecast_totals(self.detail, [key])
-        return risk.forecast_risk(totals, risk.baseline_30(self.daily(key), [key], self.end, self.start), [key])
+        baseline = risk.baseline_30(self.daily(key), [key], self.end, self.start, among=totals)
+        return risk.forecast_risk(totals, baseline, [key])
 
     def map_points(self) -> DataFrame:
         return risk.map_points(self.forecast_risk(AREA), centroids(self.incidents, **BOX))

@@ -107,6 +107,15 @@ def test_forecast_risk_matches_published_rows(spark):
     assert [r["risk_confidence"] for r in rows] == ["Low Volume"] + ["Stable"] * 4
 
 
+def test_key_without_incidents_has_a_zero_baseline(spark):
+    daily = spark.createDataFrame([(day(300), 1, 12)], f"date date, {AREA} int, {COUNT} long")
+    totals = spark.createDataFrame([(1, 9), (2, 4)], f"{AREA} int, {risk.TOTAL_30} long")
+    base = risk.baseline_30(daily, [AREA], day(364), START, among=totals)
+    rows = {r[AREA]: r for r in risk.forecast_risk(totals, base, [AREA]).collect()}
+    assert rows[1][risk.EXPECTED] == round(12 / 365 * 30, 2)
+    assert (rows[2][risk.EXPECTED], rows[2][risk.AREA_RISK], rows[2]["risk_level"]) == (0.0, None, "Low")
+
+
 # ---------------------------------------------------------------- medians
 def test_medians_equal_brute_force(spark):
     rng = random.Random(11)

@@ -138,11 +138,18 @@ def area_risk_recent(daily: DataFrame, end: dt.date, start: dt.date, areas=N.VAL
 
 
 # ---------------------------------------------------------------- forecasts
-def baseline_30(daily: DataFrame, keys, end: dt.date, start: dt.date, days: int = 365) -> DataFrame:
-    """Thirty zero-filled mean days of the `days` up to `end`, per key."""
+def baseline_30(
+    daily: DataFrame, keys, end: dt.date, start: dt.date, among: DataFrame | None = None, days: int = 365
+) -> DataFrame:
+    """Thirty zero-filled mean days of the `days` up to `end`, per key.
+
+    Keys of `among` without any incident get a baseline of zero.
+    """
     after = end - dt.timedelta(days=days)
     length = max(calendar_length(after, end, start), 1)
     sums = not_null(daily.where(_between(after, end)), keys).groupBy(*keys).agg(F.sum(COUNT).alias("total"))
+    if among is not None:
+        sums = among.select(*keys).join(sums, list(keys), "left")
     return sums.select(*keys, F.round(_mean_month(F.col("total"), length), 2).alias(EXPECTED))
 
 

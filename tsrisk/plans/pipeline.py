@@ -146,10 +146,9 @@ class Pipeline:
         for name, table in rollups.items():
             self._keep(f"boosted_{name}", table)
         for key, name in ((AREA, "district"), (TYPE, "crime_type")):
-            base = risk.baseline_30(done[f"{name}_daily_counts"], [key], self.end, self.start)
-            self._keep(
-                f"{name}_risk_forecast_30day", risk.forecast_risk(done[f"boosted_{name}_total"], base, [key])
-            )
+            totals = done[f"boosted_{name}_total"]
+            base = risk.baseline_30(done[f"{name}_daily_counts"], [key], self.end, self.start, among=totals)
+            self._keep(f"{name}_risk_forecast_30day", risk.forecast_risk(totals, base, [key]))
         centers = centroids(
             done["crimes_clean"], latitude_box=s.latitude_box, longitude_box=s.longitude_box
         )
