@@ -357,7 +357,7 @@ sides AS (
               {DAY_NAME} AS day_name, {HOUR_LABEL} AS hour_label FROM scored""",
     ),
     "area_centroids": sql(f"{ORDERS},\n{ORDER_CENTERS}", "SELECT * FROM centers"),
-    "area_centroids_lineitem": sql(f"{LINES},\n{CENTERS.format(0, '1e9', '-1e9', '1e9')}", "SELECT * FROM centers"),
+    "area_centroids_lineitem": sql(f"{LINES},\n{CENTERS.format(0, 120000, -1000, 10000)}", "SELECT * FROM centers"),
     "top_types": sql(
         ORDERS,
         "SELECT primary_type, count(*) AS crime_count FROM inc GROUP BY ALL ORDER BY 2 DESC, 1 LIMIT 3",

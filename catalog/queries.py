@@ -362,7 +362,7 @@ def area_centroids(spark, folder):
 
 @query
 def area_centroids_lineitem(spark, folder):
-    box = {"latitude_box": (0, 1e9), "longitude_box": (-1e9, 1e9)}
+    box = {"latitude_box": (0, 120_000), "longitude_box": (-1_000, 10_000)}
     return centroids(incidents_lineitem(spark, folder), **box).select(
         AREA, F.round("latitude", 4).alias("latitude"), F.round("longitude", 4).alias("longitude")
     )

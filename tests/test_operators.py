@@ -131,8 +131,10 @@ def test_medians_equal_brute_force(spark):
     }
     rows = [(k, v) for k, vs in groups.items() for v in vs]
     df = spark.createDataFrame(pd.DataFrame(rows, columns=["k", "v"]))
-    got = {r["k"]: r["v"] for r in exact_medians(df, ["k"], "v").collect()}
-    assert got == {k: pytest.approx(statistics.median(v), rel=1e-12) for k, v in groups.items()}
+    want = {k: pytest.approx(statistics.median(v), rel=1e-12) for k, v in groups.items()}
+    # Also with a position that puts nearly everything into one coarse bucket, and one that clips both ends.
+    for position in (None, F.col("v") / 1e6 + 0.5, F.col("v") - 1):
+        assert {r["k"]: r["v"] for r in exact_medians(df, ["k"], "v", position).collect()} == want
 
 
 def test_centroids_keep_to_the_box(spark):

@@ -2,67 +2,69 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tsrisk import names as N
 from tsrisk.functions.scoring import not_null
 from tsrisk.names import AREA
 from tsrisk.session import stage
 
-# A rank error of 1/10,000 from the sketch against a margin five times as wide.
-_ACCURACY = 10_000
-_MARGIN = 0.0005
-_BUCKETS = 4096
+# Powers of two, so that fine buckets nest in coarse ones without rounding.
+_COARSE = 1024
+_FINE = 4096
 
 
-def exact_medians(df: DataFrame, keys, value: str) -> DataFrame:
+def _holding(histogram: DataFrame, group, bucket: str, before: Column) -> DataFrame:
+    """The buckets in which the middle ranks fall, with the number of values before each."""
+    running = F.sum("w").over(Window.partitionBy(*group).orderBy(bucket))
+    first = before + running - F.col("w")
+    ranks = histogram.withColumn("first", first)
+    return ranks.where((F.col("first") + F.col("w") >= F.col("lower")) & (F.col("first") < F.col("upper")))
+
+
+def exact_medians(df: DataFrame, keys, value: str, position: Column | None = None) -> DataFrame:
     """Exact median of `value` per key group, of any size and skew.
 
-    1. A mergeable quantile sketch per group gives two bounds just outside the
-       middle; its rank error is smaller than the margin left on each side.
-    2. Rows between the bounds are counted per distinct value before the
-       shuffle; rows below are only counted.
-    3. A histogram of that band, at most `_BUCKETS` rows per group, tells which
-       bucket holds the middle ranks, and only its values are put in order.
+    `position` maps the value, without ever decreasing, to 0..1; by default the
+    place between the least and greatest value of the group.
+
+    1. A histogram per group, counted before its shuffle, tells which of 1024
+       coarse buckets hold the two middle ranks.
+    2. Only rows of those buckets go on, as one count per distinct value.
+    3. Their fine histogram picks one of 4096 parts, and only the values of
+       that part are put in order.
 
-    The built-in exact `median` would hold every distinct value of a group in
-    one task's memory.
+    No task sees a group as a whole; the built-in exact `median` would hold
+    every distinct value of a group in one task's memory.
     """
     keys = list(keys)
-    rows = not_null(df, [*keys, value]).select(*keys, F.col(value).alias("v"))
-    # One row per group; staged, so that the join below broadcasts it only by its true size.
-    bounds = stage(
-        rows.groupBy(*keys).agg(
-            F.count(F.lit(1)).alias("n"),
-            F.percentile_approx("v", [0.5 - _MARGIN, 0.5 + _MARGIN], _ACCURACY).alias("bound"),
-        ),
-        "median-bounds",
-    )
-    low, high = F.col("bound")[0], F.col("bound")[1]
-    # A NULL value stands for "below the lower bound": one counter row per group.
-    band = rows.join(bounds, keys).where(F.col("v") <= high)
-    band = band.select(*keys, "n", "bound", F.when(F.col("v") >= low, F.col("v")).alias("v"))
-    counted = stage(band.groupBy(*keys, "n", "bound", "v").agg(F.count(F.lit(1)).alias("w")), "median-band")
-
-    share = F.when(high > low, (F.col("v") - low) / (high - low)).otherwise(0.0)
-    bucket = F.when(F.col("v").isNull(), -1).otherwise(F.floor(share * _BUCKETS).cast("int"))
-    counted = counted.withColumn("bucket", bucket)
-    upto = F.sum("w").over(Window.partitionBy(*keys).orderBy("bucket"))
-    lower, upper = F.floor((F.col("n") + 1) / 2), F.floor((F.col("n") + 2) / 2)
-    histogram = counted.groupBy(*keys, "n", "bucket").agg(F.sum("w").alias("w")).withColumn("upto", upto)
-    holding = histogram.where((F.col("upto") >= lower) & (F.col("upto") - F.col("w") < upper)).select(
-        *keys, "bucket", (F.col("upto") - F.col("w")).alias("before")
-    )
-    in_order = Window.partitionBy(*keys, "bucket").orderBy("v")
-    ranked = counted.join(holding, [*keys, "bucket"]).withColumn("upto", F.col("before") + F.sum("w").over(in_order))
-    found = ranked.groupBy(*keys).agg(
-        F.min(F.when(F.col("upto") >= lower, F.col("v"))).alias("low"),
-        F.min(F.when(F.col("upto") >= upper, F.col("v"))).alias("high"),
-        F.bool_and(F.col("v").isNotNull()).alias("inside"),
-    )
-    median = F.when(F.col("inside") & F.col("high").isNotNull(), (F.col("low") + F.col("high")) / 2)
-    failed = F.raise_error("the sketch bounds do not hold the median").cast("double")
-    return found.select(*keys, F.coalesce(median, failed).alias(value))
+    rows = not_null(df, [*keys, value])
+    if position is None:
+        # One row per group; staged, so that the join broadcasts it only by its true size.
+        ends = stage(rows.groupBy(*keys).agg(F.min(value).alias("_min"), F.max(value).alias("_max")), "median-ends")
+        rows = rows.join(ends, keys)
+        position = F.coalesce(F.try_divide(F.col(value) - F.col("_min"), F.col("_max") - F.col("_min")), F.lit(0.0))
+    last = float(_COARSE * _FINE - 1)
+    fine = F.floor(F.greatest(F.lit(0.0), F.least(F.lit(last), position * (_COARSE * _FINE)))).cast("int")
+    rows = rows.select(*keys, F.col(value).alias("v"), fine.alias("fine"))
+    rows = rows.withColumn("coarse", F.shiftright("fine", 12))
+
+    histogram = rows.groupBy(*keys, "coarse").agg(F.count(F.lit(1)).alias("w"))
+    n = F.sum("w").over(Window.partitionBy(*keys))
+    histogram = histogram.withColumns({"lower": F.floor((n + 1) / 2), "upper": F.floor((n + 2) / 2)})
+    holding = _holding(histogram, keys, "coarse", F.lit(0))
+    holding = stage(holding.select(*keys, "coarse", "lower", "upper", F.col("first").alias("before")), "median-buckets")
+
+    part = [*keys, "coarse", "lower", "upper", "before"]
+    band = rows.join(holding, [*keys, "coarse"]).groupBy(*part, "fine", "v").agg(F.count(F.lit(1)).alias("w"))
+    band = stage(band, "median-band")
+    parts = band.groupBy(*part, "fine").agg(F.sum("w").alias("w"))
+    chosen = _holding(parts, [*keys, "coarse"], "fine", F.col("before")).select(*keys, "coarse", "fine", "first")
+    in_order = Window.partitionBy(*keys, "coarse", "fine").orderBy("v")
+    ranked = band.join(chosen, [*keys, "coarse", "fine"]).withColumn("upto", F.col("first") + F.sum("w").over(in_order))
+    low = F.min(F.when(F.col("upto") >= F.col("lower"), F.col("v")))
+    high = F.min(F.when(F.col("upto") >= F.col("upper"), F.col("v")))
+    return ranked.groupBy(*keys).agg(((low + high) / 2).alias(value))
 
 
 def centroids(
@@ -75,9 +77,13 @@ def centroids(
 ) -> DataFrame:
     """Median latitude and longitude per area over the incidents inside the box."""
     boxed = df.where(F.col(latitude).between(*latitude_box) & F.col(longitude).between(*longitude_box))
-    inside = not_null(boxed, [key])
-    both = inside.unpivot(key, [latitude, longitude], "axis", "value")
-    centre = exact_medians(both, [key, "axis"], "value")
+    both = not_null(boxed, [key]).unpivot(key, [latitude, longitude], "axis", "value")
+
+    def place(box):
+        return (F.col("value") - box[0]) / float(box[1] - box[0])
+
+    position = F.when(F.col("axis") == latitude, place(latitude_box)).otherwise(place(longitude_box))
+    centre = exact_medians(both, [key, "axis"], "value", position)
     return centre.groupBy(key).agg(
         F.max(F.when(F.col("axis") == latitude, F.col("value"))).alias(latitude),
         F.max(F.when(F.col("axis") == longitude, F.col("value"))).alias(longitude),
