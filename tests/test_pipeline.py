@@ -16,7 +16,7 @@ from tsrisk.operators import counts, features, panel, risk
 from tsrisk.plans import present, quality, views
 from tsrisk.plans.clean import clean_incidents
 from tsrisk.plans.pipeline import Pipeline, Settings
-from tsrisk.session import shared_dir
+from tsrisk.session import shared_dir, shuffles_sized_for
 from tsrisk.sources import delimited, tables
 from tsrisk.streaming.daily import daily_counts_stream, write_daily_counts
 
@@ -259,3 +259,16 @@ def test_grids_need_no_cross_join(spark, run):
 def test_shared_dir_is_the_configured_one(spark):
     configured = spark.conf.get("spark.checkpoint.dir", None)
     assert shared_dir(spark) == (configured or shared_dir(spark))
+
+
+def test_shuffles_grow_with_the_input(spark):
+    key = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    before = spark.conf.get(key, None)
+    floor = int(before or spark.conf.get("spark.sql.shuffle.partitions"))
+    with shuffles_sized_for(spark, 1 << 20) as small:
+        assert small == floor
+    with shuffles_sized_for(spark, 4 << 40) as large:
+        assert large == 8192 and spark.conf.get(key) == "8192"
+    with shuffles_sized_for(spark, 100 << 40) as huge:
+        assert huge == 20_000
+    assert spark.conf.get(key, None) == before

@@ -17,8 +17,9 @@ from tsrisk.operators import arima, boosted, counts, features, forecast, metrics
 from tsrisk.operators.centroids import centroids
 from tsrisk.plans import present
 from tsrisk.plans.clean import clean_incidents
+from tsrisk.session import shuffles_sized_for
 from tsrisk.sources import tables
-from tsrisk.sources.delimited import read_raw, usable_rows
+from tsrisk.sources.delimited import read_raw, total_bytes, usable_rows
 
 
 @dataclass
@@ -181,9 +182,10 @@ class Pipeline:
         tables.export_json(done["summary"], f"{self.folder}/published/summary")
 
     def run(self, raw_path: str) -> dict[str, DataFrame]:
-        self.count(self.load(raw_path))
-        self.prepare()
-        self.forecast_city()
-        self.forecast_series()
-        self.publish()
+        with shuffles_sized_for(self.spark, total_bytes(self.spark, raw_path)):
+            self.count(self.load(raw_path))
+            self.prepare()
+            self.forecast_city()
+            self.forecast_series()
+            self.publish()
         return self.done

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -65,3 +67,27 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_dir(spark))
+
+
+_INITIAL_PARTITIONS = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+
+
+@contextmanager
+def shuffles_sized_for(spark: SparkSession, input_bytes: int, per_partition: int = 512 << 20) -> Iterator[int]:
+    """Start shuffles with a partition count that fits the input; adaptive execution merges small ones.
+
+    Counting shrinks rows before they are shuffled, hence half a gigabyte of
+    input per partition. Adaptive execution cannot split partitions that are all
+    too large, so the count has to be high enough from the start.
+    """
+    before = spark.conf.get(_INITIAL_PARTITIONS, None)
+    floor = int(before or spark.conf.get("spark.sql.shuffle.partitions"))
+    count = max(floor, min(-(-input_bytes // per_partition), 20_000))
+    spark.conf.set(_INITIAL_PARTITIONS, str(count))
+    try:
+        yield count
+    finally:
+        if before is None:
+            spark.conf.unset(_INITIAL_PARTITIONS)
+        else:
+            spark.conf.set(_INITIAL_PARTITIONS, before)

@@ -58,6 +58,11 @@ def file_profile(spark: SparkSession, path: str) -> DataFrame:
     return files.withColumn("gigabytes", F.round(F.col("bytes") / F.lit(1024.0**3), 2))
 
 
+def total_bytes(spark: SparkSession, path: str) -> int:
+    """Size of all files under `path`, from their listing."""
+    return file_profile(spark, path).agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+
+
 def _occurrences(text: Column, delimiter: str) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(delimiter), F.lit("")))
 
