@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from catalog import rawtext
 from tsrisk.functions import cleaning as C, dates as D, scoring as S
-from tsrisk.names import AREA, COUNT, DATE, DAY, DOW, HOUR, RAW_COLUMNS, TIME, TYPE, VALID_AREAS
+from tsrisk.names import AREA, COUNT, DATE, DOW, HOUR, RAW_COLUMNS, TIME, TYPE, VALID_AREAS
 from tsrisk.operators import arima, boosted, counts, features, forecast, metrics, panel, risk
 from tsrisk.operators.centroids import centroids
 from tsrisk.plans import pipeline, present, quality, views

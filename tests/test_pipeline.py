@@ -1,11 +1,10 @@
 """Sources, sinks, the whole run on a hand-made file, views, the stream, and plan checks."""
 
+import contextlib
 import csv
 import datetime as dt
 import io
-import json
 import random
-import contextlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,8 +12,7 @@ from pyspark.sql import functions as F
 from tsrisk import names as N
 from tsrisk.names import AREA, COUNT, DATE, RAW_COLUMNS, TYPE
 from tsrisk.operators import counts, features, panel, risk
-from tsrisk.plans import present, quality, views
-from tsrisk.plans.clean import clean_incidents
+from tsrisk.plans import quality, views
 from tsrisk.plans.pipeline import Pipeline, Settings
 from tsrisk.session import shared_dir, shuffles_sized_for
 from tsrisk.sources import delimited, tables

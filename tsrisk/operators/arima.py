@@ -321,7 +321,8 @@ def forecast(fitted: Fitted, steps: int = FORECAST_DAYS) -> DataFrame:
         (F.size("values") == back) & (F.size("shocks") == depth)
     )
     names = [*fitted.keys, "model", "order", "seasonal_order", "aic"]
-    return ahead.select(*names, F.posexplode(F.arrays_zip("ahead", F.slice("spread", 1, steps).alias("spread"))).alias("_pos", "_day")).select(
+    days = F.arrays_zip("ahead", F.slice("spread", 1, steps).alias("spread"))
+    return ahead.select(*names, F.posexplode(days).alias("_pos", "_day")).select(
         F.date_add(F.lit(fitted.end), F.col("_pos") + 1).alias(DATE),
         (F.col("_pos") + 1).alias(STEP),
         *names,
@@ -367,7 +368,12 @@ class Grid:
 
 
 def grid_search(
-    series: DataFrame, keys=(), orders=ARIMA_ORDERS, y: str = COUNT, test_days: int = TEST_DAYS, end: dt.date | None = None
+    series: DataFrame,
+    keys=(),
+    orders=ARIMA_ORDERS,
+    y: str = COUNT,
+    test_days: int = TEST_DAYS,
+    end: dt.date | None = None,
 ) -> Grid:
     """Fit all orders without the last `test_days` days, forecast those days and score them."""
     keys = list(keys)

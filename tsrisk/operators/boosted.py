@@ -97,7 +97,8 @@ def step_features(state: DataFrame, day: dt.date) -> DataFrame:
         "rolling_mean_30": array_sum(month) / F.size(month),
         "rolling_std_7": _spread(week),
     }
-    return state.withColumns(made).fillna(0, list(FEATURES))
+    zero = F.lit(0)
+    return state.select("*", *[F.coalesce(c, zero).alias(name) for name, c in made.items()])
 
 
 def recursive_forecast(
@@ -111,7 +112,6 @@ def recursive_forecast(
     """
     state = series_arrays(panel, [AREA, TYPE], last=30, end=end).join(codes, TYPE)
     state = stage(state.withColumn("ahead", F.array().cast("array<bigint>")), "boosted-state")
-    kept = [AREA, TYPE, CODE, "history", "ahead"]
     for step in range(1, steps + 1):
         predicted = model.transform(step_features(state, end + dt.timedelta(days=step)))
         count = F.bround(_predicted(), 0)
@@ -121,7 +121,7 @@ def recursive_forecast(
             CODE,
             F.concat(last_n(F.col("history"), 29), F.array(count)).alias("history"),
             F.concat("ahead", F.array(count.cast("bigint"))).alias("ahead"),
-        ).select(*kept)
+        )
         if step % CUT_EVERY == 0 or step == steps:
             state = stage(state, "boosted-state")
     return state.select(AREA, TYPE, F.posexplode("ahead").alias("_pos", PREDICTED)).select(
