@@ -57,9 +57,35 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     size which join side to broadcast.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tsrisk/{name}-{uuid.uuid4().hex}"
+    path = f"{_run_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    staged = spark.read.schema(df.schema).parquet(path)
+    staged._staged_path = path
+    return staged
+
+
+def unstage(*staged: DataFrame) -> None:
+    """Remove tables that `stage` wrote, once no later step reads them."""
+    for df in staged:
+        if path := getattr(df, "_staged_path", None):
+            target = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
+
+
+_run_dirs: dict[str, str] = {}
+
+
+def _run_dir(spark: SparkSession) -> str:
+    """This application's own part of the shared folder; the file system removes it when the driver ends."""
+    application = spark.sparkContext.applicationId
+    if application not in _run_dirs:
+        path = f"{shared_dir(spark)}/tsrisk/{application}"
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        system = target.getFileSystem(spark._jsc.hadoopConfiguration())
+        system.mkdirs(target)
+        system.deleteOnExit(target)
+        _run_dirs[application] = path
+    return _run_dirs[application]
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
