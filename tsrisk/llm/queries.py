@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tsrisk.llm import language_id, mixing, near_dedup
+from tsrisk.llm import decontaminate, language_id, mixing, near_dedup, pii, secrets
 from tsrisk.llm.common import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,3 +37,39 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def _count(kind: str) -> Column:
+    return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+
+
+def _joined(spans: Column) -> Column:
+    return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])))
+
+
+def _spans_of(found: DataFrame, base: tuple[str, ...]) -> DataFrame:
+    """Counts of the base kinds, the digest of their spans, and all spans as text."""
+    own = F.filter("spans", lambda s: s["kind"].isin(*base))
+    return found.select(
+        "doc_id", *[_count(k).alias(f"n_{k}") for k in base], F.sha2(_joined(own), 256).alias("base_sha256"),
+        _joined(F.col("spans")).alias("spans"),
+    )
+
+
+@query
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _spans_of(secrets.find_secrets(table(spark, sf_dir, "documents")), secrets.BASE_KINDS)
+
+
+@query
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark"))
+    hits = found.select("doc_id", F.explode("hits").alias("hit"))
+    return hits.select("doc_id", "hit.item_id", F.col("hit.distance").cast("long").alias("distance"))
+
+
+@query
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = tuple(name for name, kind in pii.KINDS.items() if kind.base)
+    return _spans_of(pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text")), base)
