@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tsrisk.llm import decontaminate, language_id, mixing, near_dedup, pii, secrets
+from tsrisk.llm import decontaminate, html_text, language_id, mixing, near_dedup, pii, secrets, topk
 from tsrisk.llm.common import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,3 +73,13 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = tuple(name for name, kind in pii.KINDS.items() if kind.base)
     return _spans_of(pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text")), base)
+
+
+@query
+def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@query
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
