@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tsrisk.llm import decontaminate, html_text, language_id, mixing, near_dedup, pii, secrets, topk
+from tsrisk.llm import decontaminate, html_text, language_id, lm_scoring, mixing, near_dedup, pii, secrets, topk
 from tsrisk.llm.common import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,3 +83,12 @@ def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+@query
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lm_scoring.score(table(spark, sf_dir, "documents"), remainder(F.col("doc_id"), 10) != 0)
+    held_out = remainder(F.col("doc_id"), 10) == 0
+    return found.select(
+        "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
