@@ -25,14 +25,14 @@ from tsrisk.llm.shingles import word_hashes
 from tsrisk.session import stage
 
 #: Words with outputs of their own: GROUPS groups of GROUP_WORDS, by frequency.
-GROUPS, GROUP_WORDS = 32, 32
+GROUPS, GROUP_WORDS = 16, 64
 #: Words with context vectors of their own, tokens of context, and length of all vectors.
-CONTEXT_WORDS, CONTEXT, DIM = 8192, 4, 16
+CONTEXT_WORDS, CONTEXT, DIM = 8192, 3, 12
 #: Most frequent words whose counts are broadcast, at the most.
 TABLE_WORDS = 1 << 19
 #: Rounds of averaging; each training text is visited in one of them.
 ROUNDS = 4
-BATCH, RATE = 8192, 0.1
+BATCH, RATE = 4096, 0.1
 NOISE_GROUPS, NOISE_WORDS = 16, 8
 #: Added to each count, and to the count of all unseen words together.
 SMOOTH = 0.1
@@ -41,6 +41,7 @@ REST, END = GROUPS, GROUPS + 1
 #: Stands for the end token among the hashes of words.
 END_HASH = np.uint64(0x5E4D_0F7E_3A1C_9B27)
 _CHUNK = 4096
+_ONE_GROUP, _ONE_WORD = np.eye(GROUPS + 2, dtype=np.float32), np.eye(GROUP_WORDS, dtype=np.float32)
 
 
 def _tokens(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -198,7 +199,7 @@ def _contrast(q, own_vector, own_score, own_noise, noise_vector, noise_bias, noi
 
     All tokens of a batch share the samples, so both are matrix products.
     """
-    k = np.log(len(noise_log))
+    k = np.float32(np.log(len(noise_log)))
     miss = 1.0 / (1.0 + np.exp(np.clip(own_score - own_noise - k, -30, 30)))
     hit = 1.0 / (1.0 + np.exp(-np.clip(q @ noise_vector.T + noise_bias - noise_log - k, -30, 30)))
     return miss, hit, miss[:, None] * own_vector - hit @ noise_vector
@@ -212,6 +213,7 @@ class Trainer:
         self.table = table
         self.seen = {name: np.full(p.shape, 1e-9, np.float32) for name, p in model.part.items()}
         self.group_share, self.word_share = _shares(table)
+        self.log_group, self.log_word = (np.log(x).astype(np.float32) for x in (self.group_share, self.word_share))
         self.tokens = 0
 
     def _step(self, name: str, gradient: np.ndarray, rows: np.ndarray | slice = slice(None)) -> None:
@@ -222,35 +224,33 @@ class Trainer:
     def batch(self, group: np.ndarray, word: np.ndarray, context: np.ndarray) -> None:
         p, n = self.part, len(group)
         q = _predicted(p, context)
-        log_group = np.log(self.group_share).astype(np.float32)
+        log_group = self.log_group
         noise = self.draw.choice(GROUPS + 2, NOISE_GROUPS, p=self.group_share)
         own = p["group"][group]
         score = np.einsum("ij,ij->i", q, own) + p["group_bias"][group]
         miss, hit, dq = _contrast(q, own, score, log_group[group], p["group"][noise], p["group_bias"][noise], log_group[noise])
-        one = np.zeros((n, GROUPS + 2), np.float32)
-        one[np.arange(n), group] = miss
-        np.subtract.at(one.T, noise, hit.T)
+        one = -hit @ _ONE_GROUP[noise]
+        one[np.arange(n), group] += miss
         self._step("group", one.T @ q / n)
         self._step("group_bias", one.sum(axis=0) / n)
         for g, at in _runs(group):
             first = g * GROUP_WORDS
             rows = slice(first, first + GROUP_WORDS)
-            share = self.word_share[g]
-            log_word = np.log(share).astype(np.float32)
-            drawn = self.draw.choice(GROUP_WORDS, NOISE_WORDS, p=share)
+            log_word = self.log_word[g]
+            drawn = self.draw.choice(GROUP_WORDS, NOISE_WORDS, p=self.word_share[g])
             vectors, bias, qg, target = p["out"][rows], p["out_bias"][rows], q[at], word[at] - first
             score = np.einsum("ij,ij->i", qg, vectors[target]) + bias[target]
             miss, hit, more = _contrast(qg, vectors[target], score, log_word[target], vectors[drawn], bias[drawn], log_word[drawn])
             dq[at] += more
-            one = np.zeros((len(at), GROUP_WORDS), np.float32)
-            one[np.arange(len(at)), target] = miss
-            np.subtract.at(one.T, drawn, hit.T)
+            one = -hit @ _ONE_WORD[drawn]
+            one[np.arange(len(at)), target] += miss
             self._step("out", one.T @ qg / n, rows)
             self._step("out_bias", one.sum(axis=0) / n, rows)
-        d_place = np.stack([(dq * p["context"][context[j]]).sum(axis=0) for j in range(CONTEXT)])
-        back, where = (dq[None] * p["place"][:, None]).reshape(-1, DIM), context.ravel()
-        d_context = np.stack([np.bincount(where, back[:, k], CONTEXT_WORDS + 2) for k in range(DIM)], axis=1)
-        self._step("context", (d_context / n).astype(np.float32))
+        d_place = np.stack([np.einsum("ij,ij->j", dq, p["context"][context[j]]) for j in range(CONTEXT)])
+        back, where = (p["place"].T[:, :, None] * dq.T[:, None]).reshape(DIM, -1), context.ravel()
+        used = np.flatnonzero(np.bincount(where, minlength=CONTEXT_WORDS + 2))
+        d_context = np.stack([np.bincount(where, b, CONTEXT_WORDS + 2)[used] for b in back], axis=1)
+        self._step("context", (d_context / n).astype(np.float32), used)
         self._step("place", d_place / n)
         self.tokens += n
 
