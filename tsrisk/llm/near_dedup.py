@@ -3,8 +3,9 @@
 Documents with one shingle set are one node from the start, named by a 128-bit fingerprint of the set. Nodes
 that agree on a band of minima meet in a bucket. Each bucket first compares all its nodes with one of them, and
 the confirmed links give components. What is left are buckets whose nodes are still in several components:
-there, bounded blocks of nodes are compared by signature, and only likely links leave a task. So neither the
-rows nor any task grow with the square of a group's size, and no pair that shares a band is left out.
+there, bounded blocks of nodes are compared by signature, which gives clusters of components that look linked,
+and each such cluster is compared on full sets, again in bounded blocks. What leaves a task is a forest, never all pairs
+of a group, and no pair that shares a band is left out.
 """
 
 from __future__ import annotations
@@ -28,8 +29,8 @@ THRESHOLD = 75
 BANDS, ROWS = 42, 5
 #: Likely links: agreement of minima five standard deviations below the threshold's mean, over all minima or the sketch.
 SIGNATURE_SHARE, SKETCH, SKETCH_SHARE = 0.60, 64, 0.48
-#: Nodes of a bucket in one block.
-BLOCK = 128
+#: Nodes in one group of a cell that compares signatures, and of one that compares full sets.
+BLOCK, SET_BLOCK = 256, 64
 
 FEATURES = "doc_id long, n_shingles long, node binary, bands array<long>, signature binary"
 
@@ -162,52 +163,137 @@ def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
 
 
-def _blocks(open_rows: DataFrame) -> DataFrame:
-    """Pairs `u, cu, v, cv, agree` of likely links between components, from rows `key, hub, n, node, root, sketch`.
+class _Forest:
+    """Joins labels; tells which pairs of labels were new to each other."""
 
-    A bucket of n nodes is dealt into n / BLOCK groups, and each pair of groups
-    is a cell of its own, so a task holds two groups at a time.
+    def __init__(self) -> None:
+        self.up: dict[bytes, bytes] = {}
+
+    def top(self, x: bytes) -> bytes:
+        while (y := self.up.get(x, x)) != x:
+            self.up[x] = self.up.get(y, y)
+            x = y
+        return x
+
+    def join(self, x: bytes, y: bytes) -> bool:
+        x, y = self.top(x), self.top(y)
+        if x != y:
+            self.up[max(x, y)] = min(x, y)
+        return x != y
+
+
+def _cells(rows: DataFrame, block: int) -> DataFrame:
+    """Rows `key, n, node, ...` dealt into cells `key, i, j` of two groups each; `own` is the row's group.
+
+    The n nodes of a key make n / `block` groups, and each pair of groups is a
+    cell, so every two nodes of a key meet while a task holds two groups.
     """
-    groups = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("node", "key"), groups).cast("int")
-    dealt = open_rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), groups - 1)))
-    cells = dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
-    cells = cells.select("key", "i", "j", "own", "hub", "node", "root", "sketch")
-    cells = cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
-
-    def pairs_of(cell: list[tuple]) -> Iterator[tuple]:
-        i, j = cell[0][1], cell[0][2]
-        left = [r for r in cell if r[3] == i]
-        right = left if i == j else [r for r in cell if r[3] == j]
-        if not left or not right:
+    groups = F.ceil(F.col("n") / block).cast("int")
+    dealt = rows.withColumn("own", F.pmod(F.xxhash64("node", "key"), groups).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), groups - 1)))
+    cells = dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other", "n")
+    return cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
+
+
+def _per_cell(batches: Iterable[pa.RecordBatch]) -> Iterator[list[dict]]:
+    """The rows of each cell, which lead with `key, i, j`."""
+    rows = (r for batch in batches for r in batch.to_pylist())
+    for _, cell in groupby(rows, key=lambda r: (r["key"], r["i"], r["j"])):
+        yield list(cell)
+
+
+def _sides(cell: list[dict]) -> tuple[list[dict], list[dict]]:
+    """The cell's two groups, which are one list if it compares a group with itself."""
+    i, j = cell[0]["i"], cell[0]["j"]
+    left = [r for r in cell if r["own"] == i]
+    return left, (left if i == j else [r for r in cell if r["own"] == j])
+
+
+def _root_pairs(found: Iterator[tuple[bytes, bytes]]) -> Iterator[pa.RecordBatch]:
+    """Batches of the pairs."""
+    out: list[tuple] = []
+
+    def pack() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*out)], names=["u", "v"])
+
+    for pair in found:
+        out.append(pair)
+        if len(out) >= 4096:
+            yield pack()
+            out.clear()
+    if out:
+        yield pack()
+
+
+def _likely(rows: DataFrame) -> DataFrame:
+    """Pairs `u, v` of roots that signatures make look linked, from rows `key, n, hub, node, root, signature`.
+
+    Inside a cell the pairs form a forest: any two roots with a likely link
+    are connected, but no more pairs leave the task than it holds roots.
+    """
+
+    def pairs(cell: list[dict]) -> Iterator[tuple[bytes, bytes]]:
+        left, right = _sides(cell)
+        if len({r["root"] for r in cell}) < 2 or not left or not right:
             return
-        a, b = (np.frombuffer(b"".join(r[7] for r in side), np.uint8).reshape(-1, SKETCH) for side in (left, right))
-        agree = np.stack([(row == b).sum(axis=1) for row in a])
-        for x, y in zip(*np.nonzero(agree >= SKETCH_SHARE * SKETCH)):
-            p, q = left[x], right[y]
-            # Pairs with the hub have been looked at; of the two orders inside a group one is enough.
-            if p[6] != q[6] and p[5] != p[4] and q[5] != p[4] and (i != j or x < y):
-                p, q = (p, q) if p[5] < q[5] else (q, p)
-                yield p[5], p[6], q[5], q[6], int(agree[x, y])
-
-    def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
-        for batch in batches:
-            yield from zip(*(c.to_pylist() for c in batch.columns))
+        forest = _Forest()
+        other = np.frombuffer(b"".join(r["signature"] for r in right), np.uint8).reshape(len(right), -1)
+        for x in left:
+            # Pairs with the hub have been confirmed or refused already.
+            if x["node"] == x["hub"]:
+                continue
+            agree = (np.frombuffer(x["signature"], np.uint8) == other).sum(axis=1)
+            for k in np.flatnonzero(agree >= SIGNATURE_SHARE * BANDS * ROWS):
+                y = right[k]
+                if y["node"] != y["hub"] and x["root"] != y["root"] and forest.join(x["root"], y["root"]):
+                    yield x["root"], y["root"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple] = []
-        names, kinds = ["u", "cu", "v", "cv", "agree"], [pa.binary()] * 4 + [pa.int32()]
-        pack = lambda: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
-        for _, cell in groupby(rows(batches), key=lambda r: r[:3]):
-            out += pairs_of(list(cell))
-            if len(out) > 4096:
-                yield pack()
-                out.clear()
-        if out:
-            yield pack()
+        yield from _root_pairs(p for cell in _per_cell(batches) for p in pairs(cell))
+
+    return _cells(rows, BLOCK).mapInArrow(run, "u binary, v binary")
+
+
+def _shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets of two lists, by products of bounded parts of their incidence."""
+    sets = left + right
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    values, where, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    common = np.cumsum(times > 1) - 1
+    used = (times > 1)[where]
+    owner, where = owner[used], common[where[used]]
+    order = np.argsort(where, kind="stable")
+    owner, where = owner[order], where[order]
+    out = np.zeros((len(left), len(right)))
+    width = 4096
+    for first in range(0, int(where[-1]) + 1 if len(where) else 0, width):
+        a, b = np.searchsorted(where, [first, first + width])
+        held = np.zeros((len(sets), width), np.float32)
+        held[owner[a:b], where[a:b] - first] = 1
+        out += held[: len(left)] @ held[len(left) :].T
+    return out
+
+
+def _linked(rows: DataFrame, threshold: int) -> DataFrame:
+    """Pairs `u, v` of roots with a link on full sets, from rows `key, n, node, root, members`; a forest for each cell."""
+
+    def pairs(cell: list[dict]) -> Iterator[tuple[bytes, bytes]]:
+        left, right = _sides(cell)
+        if len({r["root"] for r in cell}) < 2 or not left or not right:
+            return
+        a, b = ([np.frombuffer(r["members"], np.uint64) for r in side] for side in (left, right))
+        shared = _shared(a, b)
+        sizes = np.array([len(x) for x in a])[:, None] + np.array([len(x) for x in b])[None, :]
+        forest = _Forest()
+        for x, y in zip(*np.nonzero(100 * shared >= threshold * (sizes - shared))):
+            u, v = left[x]["root"], right[y]["root"]
+            if u != v and forest.join(u, v):
+                yield u, v
 
-    found = cells.mapInArrow(run, "u binary, cu binary, v binary, cv binary, agree int")
-    return found.groupBy("u", "v").agg(F.first("cu").alias("cu"), F.first("cv").alias("cv"), F.max("agree").alias("agree"))
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _root_pairs(p for cell in _per_cell(batches) for p in pairs(cell))
+
+    return _cells(rows, SET_BLOCK).mapInArrow(run, "u binary, v binary")
 
 
 def _rooted(rows: DataFrame, roots: DataFrame, node: str, name: str) -> DataFrame:
@@ -233,28 +319,30 @@ def links_between(docs: DataFrame, found: DataFrame, threshold: int = THRESHOLD)
     links = _confirm(_by_signature(first, signatures), docs, reps, threshold)
     roots = stage(components(links), "nd-roots")
 
+    # Buckets whose nodes are still in several components: which roots look linked, by signature?
     seen = _rooted(buckets, roots, "node", "root")
     still = seen.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("a"), F.max("root").alias("b"))
     still = still.filter("n > 2 and a < b").select("key", "n")
-    sketches = signatures.select("node", F.substring("signature", 1, SKETCH).alias("sketch"))
-    likely = stage(_blocks(seen.join(still, "key").join(sketches, "node")), "nd-blocks")
-    done = likely.limit(0).select("u", "v")
-    for last in (False, True):
-        between = _rooted(_rooted(likely.drop("cu", "cv"), roots, "u", "cu"), roots, "v", "cv").filter("cu != cv")
-        between = between.join(done, ["u", "v"], "left_anti")
-        if not last:
-            # The best partner of each node in each other component; most of the rest then fall into one component.
-            best = between.groupBy("u", "cv").agg(F.max_by("v", "agree").alias("v"))
-            pairs = done = stage(best.select("u", "v"), "nd-best")
-        else:
-            pairs = between.select("u", "v")
-        more = _confirm(_by_signature(pairs, signatures), docs, reps, threshold)
-        if more.isEmpty():
-            continue
-        links = links.unionByName(more)
-        roots = stage(components(links), "nd-roots")
-    unstage(buckets, signatures)
-    return roots
+    open_rows = seen.join(still, "key").join(signatures, "node").select("key", "n", "hub", "node", "root", "signature")
+    clusters = stage(components(stage(_likely(open_rows).distinct(), "nd-likely")), "nd-clusters")
+    if clusters.isEmpty():
+        return roots
+
+    # Every likely link lies inside one cluster of roots, so each cluster is compared once more, on full sets.
+    rooted = _rooted(in_buckets, roots, "node", "root")
+    own = stage(
+        rooted.join(clusters.select(F.col("node").alias("root"), F.col("root").alias("key")), "root").select("key", "node", "root"),
+        "nd-own",
+    )
+    sizes = own.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    sets = stage(_sets_of(docs, own.select("node").distinct(), reps), "nd-sets")
+    full = own.join(sizes, "key").join(sets, "node").select("key", "n", "node", "root", "members")
+    more = stage(_linked(full, threshold), "nd-links")
+    unstage(buckets, signatures, sets)
+    if more.isEmpty():
+        return roots
+    joined = roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more)
+    return stage(components(joined), "nd-roots")
 
 
 def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
