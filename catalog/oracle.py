@@ -105,8 +105,13 @@ top500 AS (
          share_of_group_percent, risk_percent_vs_group_avg, risk_level
   FROM (SELECT * FROM supported
         ORDER BY risk_percent_vs_group_avg DESC, district, primary_type, day_of_week, hour LIMIT 500))"""
+PERIODS = V2 + f""",
+periods AS (
+  SELECT district, primary_type, {DAY_NAME} AS day_name, {HOUR_LABEL} AS hour_label, crime_count,
+         share_of_group_percent, risk_percent_vs_group_avg, risk_level FROM supported)"""
 PERIOD_ORDER = "risk_percent_vs_group_avg DESC, district, primary_type, day_name, hour_label"
 
+# Below, 1e2 stands for 100.0, which DuckDB would read as a decimal.
 # ---------------------------------------------------------------- forecast steps
 LAGGED = """lagged AS (
   SELECT date{cols}, crime_count::DOUBLE AS crime_count,
@@ -521,11 +526,11 @@ feat AS (
     ),
     "view_type_risk": sql(TYPE_RISK, "SELECT * FROM type_shown", recursive=True),
     "view_periods": sql(
-        TOP500, f"SELECT * FROM top500 WHERE district = 3 AND primary_type = 'click' ORDER BY {PERIOD_ORDER} LIMIT 50"
+        PERIODS, f"SELECT * FROM periods WHERE district = 3 AND primary_type = 'click' ORDER BY {PERIOD_ORDER} LIMIT 50"
     ),
     "worst_slot_per_area": sql(
-        TOP500,
-        """SELECT * FROM top500 WHERE primary_type = 'click' QUALIFY 1 = row_number() OVER (
+        PERIODS,
+        """SELECT * FROM periods WHERE primary_type = 'click' QUALIFY 1 = row_number() OVER (
              PARTITION BY district ORDER BY risk_percent_vs_group_avg DESC, day_name, hour_label)""",
     ),
 }
@@ -585,13 +590,13 @@ FROM known a JOIN known b ON a.differencing = b.differencing AND b.date BETWEEN
 GROUP BY a.differencing, (a.date - b.date)::INTEGER""",
 )
 
+_REPEATS = ", ".join(f"'{label}'" for column, label in LABELS.items() if "lag" in column)
 _BOARD = ",\n".join([
     steps_for(ORDERS, "district"), lagged("district"), models("district"),
-    """board AS (
-  SELECT * EXCLUDE (district), 'Area ' || district AS model_group,
-         CASE WHEN district = 3 THEN 'only here' END AS note
-  FROM models WHERE district <= 3
-  QUALIFY 1 = row_number() OVER (PARTITION BY district ORDER BY mae, model))""",
+    f"""board AS (
+  SELECT *, CASE WHEN model_group = 'Repeats' THEN 'only here' END AS note
+  FROM (SELECT *, CASE WHEN model IN ({_REPEATS}) THEN 'Repeats' ELSE 'Means' END AS model_group FROM models)
+  QUALIFY 1 = row_number() OVER (PARTITION BY district, model_group ORDER BY mae, model))""",
 ])
 ORACLE["leaderboard_baseline"] = ORACLE["view_leaderboard"] = sql(_BOARD, "SELECT * FROM board")
 
@@ -628,20 +633,36 @@ sides AS (
          sum(n) FILTER (d > (SELECT max(d) FROM inc) - 30)::BIGINT AS seen FROM per_day GROUP BY district)"""
 _SLOT_COLUMNS = """day_name, hour_label, crime_count, risk_percent_vs_group_avg, risk_level AS period_level"""
 ORACLE["area_detail"] = sql(
-    f"{TOP500},\n{_HISTORY}",
+    f"{PERIODS},\n{_HISTORY}",
     f"""SELECT * FROM (
   SELECT district, seen AS recent_30_day_count, round(base, 2) AS expected_30_day_count,
          round({deviation('seen', 'base')}, 2) AS risk_percent_vs_historical_avg FROM sides WHERE district = 2)
 LEFT JOIN (
-  SELECT district, primary_type, {_SLOT_COLUMNS} FROM top500
+  SELECT district, primary_type, {_SLOT_COLUMNS} FROM periods
   WHERE district = 2 AND (primary_type = 'view'
-    OR NOT EXISTS (SELECT 1 FROM top500 WHERE district = 2 AND primary_type = 'view'))
+    OR NOT EXISTS (SELECT 1 FROM periods WHERE district = 2 AND primary_type = 'view'))
   ORDER BY {PERIOD_ORDER} LIMIT 12) USING (district)""",
 )
 ORACLE["type_detail"] = sql(
-    TOP500,
+    PERIODS,
     f"""SELECT * FROM (SELECT primary_type, count(*) AS total_count FROM inc WHERE primary_type = 'click' GROUP BY 1)
 LEFT JOIN (
-  SELECT primary_type, district, {_SLOT_COLUMNS} FROM top500 WHERE primary_type = 'click'
+  SELECT primary_type, district, {_SLOT_COLUMNS} FROM periods WHERE primary_type = 'click'
   ORDER BY {PERIOD_ORDER} LIMIT 15) USING (primary_type)""",
 )
+
+ORACLE["raw_line_accounts"] = """SELECT outcome, sum(n)::BIGINT AS lines FROM (
+  SELECT CASE event_id % 7 WHEN 0 THEN 'set aside' WHEN 2 THEN 'set aside' WHEN 4 THEN 'dropped'
+         WHEN 1 THEN CASE WHEN event_id % 2 = 0 THEN 'clean' ELSE 'dropped' END ELSE 'clean' END AS outcome,
+         CASE WHEN event_id % 7 = 2 THEN 2 ELSE 1 END AS n FROM events) GROUP BY outcome"""
+ORACLE["preview_lines"] = """SELECT substr(line, 1, 1000) AS line FROM (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS place
+  FROM documents) ORDER BY doc_id, place LIMIT 5"""
+ORACLE["describe_columns"] = " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, '{k}' AS column_type, count({c}) AS n_values, "
+    f"sum(({c} IS NULL)::BIGINT)::BIGINT AS n_missing, count(DISTINCT {c}) AS n_distinct FROM events"
+    for c, k in (
+        ("event_id", "bigint"), ("ts", "timestamp_ntz"), ("user_id", "bigint"), ("event_type", "string"),
+        ("value", "double"), ("props", "string"),
+    )
+)

@@ -25,6 +25,9 @@ TOP, MIN_GROUP, MIN_SLOT = 4, 60, 2
 BOX = {"latitude_box": (50_000, 450_000), "longitude_box": (-500, 9_000)}
 
 
+_FITTED: dict[tuple, tuple] = {}
+
+
 @dataclass
 class Counted:
     """Incidents with their staged count cube: the fact table is read once."""
@@ -89,11 +92,15 @@ class Counted:
     def codes(self) -> DataFrame:
         return features.category_codes(self.top_types())
 
-    def gbt(self, max_iter: int = 5):
-        """A small boosted-tree model and its test days."""
-        table = stage(boosted.model_table(features.lag_features(self.dense), self.codes), "model-table")
-        train, test = boosted.train_test(table, self.end)
-        return boosted.fit_gbt(train, max_iter=max_iter), test
+    def gbt(self):
+        """The boosted-tree model and its test days; queries of one session share the fit."""
+        spark = self.incidents.sparkSession
+        key = (spark.sparkContext.applicationId, *self.incidents.inputFiles())
+        if key not in _FITTED:
+            table = stage(boosted.model_table(features.lag_features(self.dense), self.codes), "model-table")
+            train, test = boosted.train_test(table, self.end)
+            _FITTED[key] = boosted.fit_gbt(train), test
+        return _FITTED[key]
 
     def gbt_forecast(self) -> DataFrame:
         return boosted.recursive_forecast(self.gbt()[0], self.dense, self.codes, self.end)
@@ -236,6 +243,24 @@ def scan_delimited(spark, folder):
     )
 
 
+@query
+def raw_line_accounts(spark, folder):
+    """Raw text of two column orders with long, short and broken rows: each line is clean, dropped or set aside."""
+    events = read_table(spark, folder, "events")
+    path = _new_path(spark, "lines")
+    for order, header in enumerate(("ID,Date,Note", "ID,Note,Date")):
+        lines = events.where(f"event_id % 2 = {order}").select(F.explode(F.expr(rawtext.raw_lines(order))).alias(header))
+        # One column, no quotes and a separator that never occurs: the lines are written as they are.
+        lines.write.csv(f"{path}/{order}", header=True, quote="", sep="\u0001", escape="\u0002")
+    raw = delimited.read_raw(spark, f"{path}/*")
+    stamped = C.parse_ts(F.col("Date")).isNotNull()
+    outcome = F.when(stamped, "clean").otherwise("dropped").alias("outcome")
+    kept = delimited.usable_rows(raw).select(outcome).unionByName(
+        delimited.quarantined_rows(raw).select(F.lit("set aside").alias("outcome"))
+    )
+    return kept.groupBy("outcome").agg(F.count(F.lit(1)).alias("lines"))
+
+
 @query
 def parse_timestamps(spark, folder):
     raw = raw_text(spark, folder)
@@ -514,11 +539,11 @@ def map_points(spark, folder):
 
 @query
 def leaderboard_baseline(spark, folder):
-    """The best simple predictor of three areas of the city, each area as one group."""
-    models = forecast.baseline_leaderboard(orders(spark, folder, AREA).panel(AREA), [AREA])
-    groups = {f"Area {a}": models.where(F.col(AREA) == a).drop(AREA) for a in (1, 2, 3)}
-    groups["Area 3"] = groups["Area 3"].withColumn("note", F.lit("only here"))
-    return forecast.leaderboard(groups)
+    """The best simple predictor of every area, of those that repeat a day and of those that average."""
+    models = stage(forecast.baseline_leaderboard(orders(spark, folder, AREA).panel(AREA), [AREA]), "models")
+    repeats = F.col("model").isin([label for column, label in forecast.BASELINES.items() if "lag" in column])
+    groups = {"Repeats": models.where(repeats).withColumn("note", F.lit("only here")), "Means": models.where(~repeats)}
+    return forecast.leaderboard(groups, [AREA])
 
 
 @query
@@ -659,27 +684,27 @@ def view_type_risk(spark, folder):
 
 @query
 def view_periods(spark, folder):
-    periods = present.present_periods(events(spark, folder).periods())
+    periods = present.present_periods(events(spark, folder).periods(), rows=None)
     return views.risk_period_view(periods, area=3, kind="CLICK", limit=50)
 
 
 @query
 def worst_slot_per_area(spark, folder):
-    return views.worst_slot_per_area(present.present_periods(events(spark, folder).periods()), "click")
+    return views.worst_slot_per_area(present.present_periods(events(spark, folder).periods(), rows=None), "click")
 
 
 @query
 def area_detail(spark, folder):
     base = events(spark, folder)
     history = risk.area_risk_history(base.cube, features.latest_date(base.cube))
-    return views.area_detail(history, present.present_periods(base.periods()), 2, "view")
+    return views.area_detail(history, present.present_periods(base.periods(), rows=None), 2, "view")
 
 
 @query
 def type_detail(spark, folder):
     base = events(spark, folder)
-    totals = counts.top_keys(base.cube, TYPE, 15).withColumnRenamed(COUNT, "total_count")
-    return views.type_detail(totals, present.present_periods(base.periods()), "click")
+    totals = base.cube.groupBy(TYPE).agg(F.sum(COUNT).alias("total_count"))
+    return views.type_detail(totals, present.present_periods(base.periods(), rows=None), "click")
 
 
 # ---------------------------------------------------------------- fitted models
@@ -798,20 +823,21 @@ def gbt_rollup(spark, folder):
 # ---------------------------------------------------------------- file and schema reports
 @query
 def preview_lines(spark, folder):
-    """The first lines of the documents written out as text."""
-    path = _new_path(spark, "lines")
-    lines = read_table(spark, folder, "documents").select(F.explode(F.split("text", "\n")).alias("value"))
-    lines.write.text(path)
-    return delimited.preview_lines(spark, path)
-
-
-@query
-def file_profile(spark, folder):
-    return delimited.file_profile(spark, f"{folder}/*.parquet")
-
-
-@query
-def describe_tables(spark, folder):
-    names = ("orders", "customer", "events", "lineitem")
-    parts = [delimited.describe(read_table(spark, folder, n)).withColumn("table_name", F.lit(n)) for n in names]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    """The first lines of all documents, by id and place in the text."""
+    docs = read_table(spark, folder, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    return docs.orderBy("doc_id", "at").limit(5).select(F.substring("line", 1, 1000).alias("line"))
+
+
+@query
+def describe_columns(spark, folder):
+    """Each column of the events with its type, values, missing values and distinct values, in one pass."""
+    events = read_table(spark, folder, "events")
+    kinds = dict(events.dtypes)
+    rows = events.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("column_name"), F.lit(kinds[c]).alias("column_type"), F.col(c).cast("string").alias("value"))
+        for c in events.columns
+    ])))
+    return rows.groupBy("column_name", "column_type").agg(
+        F.count("value").alias("n_values"), F.sum(F.col("value").isNull().cast("bigint")).alias("n_missing"),
+        F.countDistinct("value").alias("n_distinct"),
+    )

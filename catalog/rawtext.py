@@ -48,3 +48,22 @@ def raw_columns(padded: str, bare: str, iso: str) -> dict[str, str]:
         "Location": "concat('(', user_id, ', ', event_id, ')')",
         "Updated On": time,
     }
+
+
+def raw_lines(order: int) -> str:
+    """Array of the raw lines of one event: ID, date and note, in two orders."""
+    good = "date_format(ts, 'MM/dd/yyyy hh:mm:ss a')"
+
+    def row(date: str, note: str) -> str:
+        second, third = (date, note) if order == 0 else (note, date)
+        return f"concat(event_id, ',', {second}, ',', {third})"
+
+    long = """concat('"', repeat('ab, ', 2500), '"')"""
+    short = good if order == 0 else "event_type"
+    return (
+        f"CASE event_id % 7 WHEN 0 THEN array(concat({row(good, 'event_type')}, ',extra')) "
+        f"WHEN 1 THEN array(concat(event_id, ',', {short})) "
+        f"""WHEN 2 THEN array(concat(event_id, ',"', event_type), concat('more",', {good})) """
+        f"WHEN 3 THEN array({row(good, long)}) WHEN 4 THEN array({row("'no date'", 'event_type')}) "
+        f"ELSE array({row(good, 'event_type')}) END"
+    )

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from tsrisk.names import RAW_TIME_FORMAT
-
 # Spark would also read Java forms such as "1d" or "0x1p3" as numbers.
 _NUMBER = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|(?i:nan|inf|infinity))\s*$"
 _DIGITS = r"^\s*[+-]?\d+\s*$"
@@ -35,6 +33,22 @@ def clean_bool(col: Column) -> Column:
     return F.when(word == "true", True).when(word == "false", False)
 
 
-def parse_ts(col: Column, fmt: str = RAW_TIME_FORMAT) -> Column:
-    """12-hour clock text to a zone-free timestamp, NULL when it does not parse."""
-    return F.try_to_timestamp(F.trim(col), F.lit(fmt)).cast("timestamp_ntz")
+# Month, day, year, hour, minute, second and half of the day, as RAW_TIME_FORMAT has them.
+_TIME = r"^(\d{1,2})/(\d{1,2})/(\d{4}) (\d{1,2}):(\d{1,2}):(\d{1,2}) ((?i:am|pm))$"
+
+
+def parse_ts(col: Column) -> Column:
+    """12-hour clock text to a zone-free timestamp, NULL when it does not parse; no session zone is involved."""
+    text = F.trim(col)
+
+    def part(i: int) -> Column:
+        return F.regexp_extract(text, _TIME, i)
+
+    hour = part(4).try_cast("int")
+    shifted = hour % 12 + F.when(F.lower(part(7)) == "pm", 12).otherwise(0)
+    made = F.try_make_timestamp_ntz(
+        part(3).try_cast("int"), part(1).try_cast("int"), part(2).try_cast("int"), shifted,
+        part(5).try_cast("int"), part(6).try_cast("decimal(8,6)"),
+    )
+    # A minute has 60 seconds here; the builder would carry a 60th over.
+    return F.when(text.rlike(_TIME) & hour.between(1, 12) & (part(6).try_cast("int") < 60), made)

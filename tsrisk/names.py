@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import types as T
 
 TIME = "crime_datetime"
@@ -18,6 +20,9 @@ STEP = "forecast_day"
 # --- fixed values: areas that take part in panels and risk tables ---------
 VALID_AREAS = (1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 14, 15, 16, 17, 18, 19, 20, 22, 24, 25)
 
+# --- fixed value: first day of the calendar; earlier dates are mistyped ----
+FIRST_DAY = dt.date(2001, 1, 1)
+
 # --- fixed values: sizes and thresholds, each also a function argument ----
 TOP_TYPES = 15
 TEST_DAYS = 90

@@ -19,7 +19,7 @@ from tsrisk.plans import present
 from tsrisk.plans.clean import clean_incidents
 from tsrisk.session import shuffles_sized_for
 from tsrisk.sources import tables
-from tsrisk.sources.delimited import read_raw, total_bytes, usable_rows
+from tsrisk.sources.delimited import quarantined_rows, read_raw, total_bytes, usable_rows
 
 
 @dataclass
@@ -28,7 +28,8 @@ class Settings:
 
     areas: tuple[int, ...] = N.VALID_AREAS
     top_types: int = N.TOP_TYPES
-    start: dt.date | None = None
+    start: dt.date | None = N.FIRST_DAY
+    multiline: bool = False
     min_group: int = N.MIN_GROUP
     min_slot: int = N.MIN_SLOT
     trees: int = 250
@@ -72,7 +73,10 @@ class Pipeline:
 
     # -- 1: load, clean, count
     def load(self, raw_path: str) -> DataFrame:
-        return self._keep("crimes_clean", clean_incidents(usable_rows(read_raw(self.spark, raw_path))))
+        """Clean rows; lines that do not fit are kept beside them."""
+        raw = read_raw(self.spark, raw_path, multiline=self.settings.multiline)
+        self._keep("crimes_quarantined", quarantined_rows(raw))
+        return self._keep("crimes_clean", clean_incidents(usable_rows(raw)))
 
     def count(self, incidents: DataFrame) -> None:
         """All count tables from one pass over the incidents."""
@@ -90,6 +94,7 @@ class Pipeline:
         s, done = self.settings, self.done
         cube = done["incident_cube"]
         first, self.end = panel.calendar_bounds(done["citywide_daily_counts"])
+        # Earlier days are mistyped years; a later first day shortens the calendar only where no start is set.
         self.start = s.start or first
         until_end = cube.where(F.col(DATE) <= F.lit(self.end))
         types = self._keep("top_types", counts.top_keys(until_end, TYPE, s.top_types)).select(TYPE)

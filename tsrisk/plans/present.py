@@ -33,10 +33,10 @@ def present_type_risk(risk: DataFrame) -> DataFrame:
     return labelled.select(*columns).orderBy(F.desc(SHOWN_RISK), TYPE)
 
 
-def present_periods(periods: DataFrame, rows: int = PERIOD_ROWS) -> DataFrame:
-    """The `rows` riskiest slots with readable day and hour."""
-    top = periods.orderBy(F.desc(SLOT_RISK), AREA, TYPE, DOW, HOUR).limit(rows)
-    return top.select(
+def present_periods(periods: DataFrame, rows: int | None = PERIOD_ROWS) -> DataFrame:
+    """The `rows` riskiest slots with readable day and hour; all of them, unordered, for None."""
+    top = periods if rows is None else periods.orderBy(F.desc(SLOT_RISK), AREA, TYPE, DOW, HOUR).limit(rows)
+    shown = top.select(
         AREA,
         TYPE,
         day_name(F.col(DOW)).alias("day_name"),
@@ -45,7 +45,8 @@ def present_periods(periods: DataFrame, rows: int = PERIOD_ROWS) -> DataFrame:
         "share_of_group_percent",
         SLOT_RISK,
         slot_band(F.col(SLOT_RISK)).alias("risk_level"),
-    ).orderBy(*period_order())
+    )
+    return shown if rows is None else shown.orderBy(*period_order())
 
 
 def present_history(panel: DataFrame, keys=()) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tsrisk.functions.scoring import finite_or_null, match_label
 from tsrisk.names import AREA, DATE, STEP, TYPE
@@ -29,8 +29,9 @@ def _latest(history: DataFrame, limit: int | None) -> DataFrame:
     return rows.orderBy(DATE)
 
 
-def summary_view(summary: DataFrame) -> DataFrame:
-    return summary
+def summary_view(spark: SparkSession, path: str) -> DataFrame:
+    """The stored summary document."""
+    return spark.read.json(path)
 
 
 def leaderboard_view(board: DataFrame) -> DataFrame:

@@ -108,7 +108,7 @@ def shuffles_sized_for(spark: SparkSession, input_bytes: int, per_partition: int
     """
     before = spark.conf.get(_INITIAL_PARTITIONS, None)
     floor = int(before or spark.conf.get("spark.sql.shuffle.partitions"))
-    count = max(floor, min(-(-input_bytes // per_partition), 20_000))
+    count = max(floor, -(-input_bytes // per_partition))
     spark.conf.set(_INITIAL_PARTITIONS, str(count))
     try:
         yield count

@@ -2,54 +2,124 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+import csv
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tsrisk.names import CORRUPT, raw_schema
 
 # --- fixed values: the delimiters that are tried ---------------------------
 DELIMITERS = (",", "\t", "|", ";")
 
-_QUOTED = r'"([^"]|"")*"'
+# No group in the pattern: Java would recurse once for each repetition of it.
+_QUOTED = r'"[^"]*"'
+
+
+def _options(sep: str) -> dict[str, str]:
+    return {"sep": sep, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+
+
+def headers(spark: SparkSession, path: str, sep: str = ",") -> dict[str, list[str]]:
+    """Each distinct header line with the files it leads; one line of each file is read, in parallel, on the driver."""
+    files = [r.path for r in spark.read.format("binaryFile").load(path).select("path", "length").where("length > 0").collect()]
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+
+    def first_line(file: str) -> str:
+        location = jvm.org.apache.hadoop.fs.Path(file)
+        stream = location.getFileSystem(conf).open(location)
+        codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(location)
+        plain = codec.createInputStream(stream) if codec else stream
+        lines = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(plain, "UTF-8"))
+        try:
+            return (lines.readLine() or "").removeprefix("\ufeff")
+        finally:
+            lines.close()
+
+    found: dict[str, list[str]] = {}
+    with ThreadPoolExecutor(16) as pool:
+        for file, line in zip(files, pool.map(first_line, files)):
+            found.setdefault(line, []).append(file)
+    return found
+
+
+def _names(header: str, sep: str) -> list[str]:
+    return next(csv.reader([header], delimiter=sep), [])
 
 
 def read_raw(spark: SparkSession, path: str, columns=None, sep: str = ",", multiline: bool = False) -> DataFrame:
     """Scan delimited text with a header; every column is text.
 
-    Column names come from the header unless given. Short rows are padded with
-    NULL; a row that does not fit keeps its line in `_corrupt_record` for
-    `usable_rows` and `quarantined_rows` to tell apart. Line breaks inside
-    quotes need `multiline`, which makes a file one task, so it is off.
+    Files are read by their own header, so their columns may stand in any
+    order; a header with other names is an error. `columns` renames the first
+    header's columns by position. Short rows are padded with NULL. A row that
+    does not fit, or whose quotes do not close on its line, keeps its line in
+    `_corrupt_record` for `usable_rows` and `quarantined_rows` to tell apart.
+    Line breaks inside quotes need `multiline`, which makes a file one task, so
+    it is off.
     """
-    options = {"header": True, "sep": sep, "quote": '"', "escape": '"', "multiLine": multiline, "mode": "PERMISSIVE"}
-    if columns is None:
-        columns = spark.read.options(**options, inferSchema=False).csv(path).columns
-    # With pruned columns the parser would not notice rows that do not fit.
-    reader = spark.read.options(**options, columnNameOfCorruptRecord=CORRUPT, columnPruning=False)
-    return reader.schema(raw_schema(columns)).csv(path)
-
-
-def _too_long(raw: DataFrame, sep: str) -> Column:
-    """Has the kept line more fields than the header? Separators inside quotes do not count."""
+    by_header = headers(spark, path, sep)
+    if not by_header:
+        if columns is None:
+            raise ValueError(f"no header in {path}")
+        return spark.createDataFrame([], raw_schema(columns))
+    first = _names(next(iter(sorted(by_header))), sep)
+    parts = []
+    for header, files in sorted(by_header.items()):
+        names = _names(header, sep)
+        if sorted(names) != sorted(first):
+            raise ValueError(f"header {names} of {files[0]} does not match {first}")
+        schema = raw_schema(names)
+        if multiline:
+            # With pruned columns the parser would not notice rows that do not fit.
+            reader = spark.read.options(**_options(sep), header=True, multiLine=True, columnPruning=False)
+            rows = reader.schema(schema).csv(files)
+        else:
+            lines = spark.read.text(files).where((F.trim("value") != "") & (F.ltrim("value", F.lit("\ufeff")) != header))
+            rows = lines.select(F.from_csv("value", _ddl(schema), _options(sep)).alias("row"), "value")
+            broken = F.coalesce(F.col(f"row.{CORRUPT}"), F.when(_quotes(F.col("value")) % 2 == 1, F.col("value")))
+            rows = rows.select(*[F.col(f"row.`{n}`") for n in names], broken.alias(CORRUPT))
+        parts.append(rows.select(*[f"`{n}`" for n in first], CORRUPT))
+    whole = reduce(DataFrame.unionByName, parts)
+    return whole.toDF(*columns, CORRUPT) if columns is not None else whole
+
+
+def _ddl(schema: T.StructType) -> str:
+    return ", ".join(f"`{f.name}` string" for f in schema)
+
+
+def _quotes(line: Column) -> Column:
+    return F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))
+
+
+def _unusable(raw: DataFrame, sep: str) -> Column:
+    """Has the kept line more fields than the header, or an open quote? Separators inside quotes do not count."""
     bare = F.regexp_replace(F.col(CORRUPT), _QUOTED, "")
     fields = F.length(bare) - F.length(F.replace(bare, F.lit(sep), F.lit(""))) + 1
     # The reader refuses a plan that needs the kept line alone, so one data column stays in use.
-    reads_data = F.coalesce(F.length(raw.columns[0]), F.lit(0)) >= 0
-    return F.coalesce(fields > len(raw.columns) - 1, F.lit(False)) & reads_data
+    reads_data = F.coalesce(F.length(F.col(f"`{raw.columns[0]}`")), F.lit(0)) >= 0
+    bad = (fields > len(raw.columns) - 1) | (_quotes(F.col(CORRUPT)) % 2 == 1)
+    return F.coalesce(bad, F.lit(False)) & reads_data
 
 
 def usable_rows(raw: DataFrame, sep: str = ",") -> DataFrame:
     """Whole rows and short, padded rows."""
-    return raw.where(~_too_long(raw, sep)).drop(CORRUPT)
+    return raw.where(~_unusable(raw, sep)).drop(CORRUPT)
 
 
 def quarantined_rows(raw: DataFrame, sep: str = ",") -> DataFrame:
-    """The lines with more fields than the header."""
-    return raw.where(_too_long(raw, sep)).select(F.col(CORRUPT).alias("line"))
+    """The lines with more fields than the header, and those with an open quote."""
+    return raw.where(_unusable(raw, sep)).select(F.col(CORRUPT).alias("line"))
 
 
 def preview_lines(spark: SparkSession, path: str, n: int = 5, width: int = 1000) -> DataFrame:
-    """The first `n` lines, cut to `width` characters."""
-    return spark.read.text(path).limit(n).select(F.substring("value", 1, width).alias("line"))
+    """The first `n` lines, by file name and place in the file, cut to `width` characters."""
+    lines = spark.read.text(path).select(
+        F.substring("value", 1, width).alias("line"), F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"),
+    )
+    return lines.orderBy("file", "block", "place").limit(n).select("line")
 
 
 def file_profile(spark: SparkSession, path: str) -> DataFrame:

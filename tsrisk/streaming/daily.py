@@ -13,13 +13,12 @@ from tsrisk.names import COUNT, DATE, TIME
 
 def daily_counts_stream(incidents: DataFrame, keys=(), late: str = "2 days") -> DataFrame:
     """`daily_counts` over a stream; a day is final once the watermark has passed it."""
-    timed = not_null(incidents, [TIME, *keys]).withColumn("at", F.col(TIME).cast("timestamp"))
-    counted = (
-        timed.withWatermark("at", late)
-        .groupBy(F.window("at", "1 day"), *keys)
-        .agg(F.count(F.lit(1)).alias(COUNT))
-    )
-    return counted.select(F.col("window.start").cast("date").alias(DATE), *keys, COUNT)
+    # The watermark needs a zoned time; days are grouped by the zone-free date, read as one at midnight UTC.
+    day = F.to_timestamp(F.concat(F.date_format(F.col(TIME).cast("date"), "yyyy-MM-dd"), F.lit("T00:00:00Z")))
+    timed = not_null(incidents, [TIME, *keys]).withColumn("at", day)
+    counted = timed.withWatermark("at", late).groupBy("at", *keys).agg(F.count(F.lit(1)).alias(COUNT))
+    date = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.unix_timestamp("at") / 86_400).cast("int"))
+    return counted.select(date.alias(DATE), *keys, COUNT)
 
 
 def write_daily_counts(counts: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
