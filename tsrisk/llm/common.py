@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import io
+import uuid
+import zipfile
 from collections.abc import Iterable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tsrisk.session import shared_dir
+
 #: A word, for functions that take Java or Python patterns.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -53,9 +59,28 @@ def remainder(doc_id: Column, divisor: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % divisor
 
 
-def columns(df: DataFrame, *names: str) -> DataFrame:
-    """Only the named columns, so that others of clashing names play no part."""
-    return df.select(*names)
+_shipped: set[str] = set()
+
+
+def ship(df: DataFrame) -> None:
+    """Give the executors this package, once in an application; it goes through the shared folder."""
+    spark = df.sparkSession
+    application = spark.sparkContext.applicationId
+    package = Path(__file__).resolve().parents[1]
+    if application in _shipped or not package.is_dir():  # from an archive it was shipped with the job
+        return
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as archive:
+        for file in sorted(package.rglob("*.py")):
+            archive.write(file, file.relative_to(package.parent))
+    target = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tsrisk/package-{uuid.uuid4().hex}.zip")
+    system = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    stream = system.create(target)
+    stream.write(data.getvalue())
+    stream.close()
+    system.deleteOnExit(target)
+    spark.sparkContext.addPyFile(system.makeQualified(target).toString())
+    _shipped.add(application)
 
 
 def table(spark, sf_dir: str, name: str) -> DataFrame:

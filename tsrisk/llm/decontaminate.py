@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tsrisk.llm.common import by_bytes
+from tsrisk.llm.common import by_bytes, ship
 
 #: Edits allowed per character of an item.
 ERROR_RATE = 0.06
@@ -160,6 +160,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE,
     Repeated rows give repeated rows, an empty table on either side no hits,
     and a column `hits` of the input is replaced.
     """
+    ship(docs)
     docs = docs.drop(name)
     types = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
     context = docs.sparkSession.sparkContext

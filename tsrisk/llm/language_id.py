@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tsrisk.llm.common import by_bytes
+from tsrisk.llm.common import by_bytes, ship
 
 BINS = 1 << 15
 PENALTY = 12.0
@@ -95,6 +95,7 @@ def split_words(texts: list[str | None]) -> Words:
 
 def count_grams(docs: DataFrame, training: Column) -> DataFrame:
     """`lang, bin, n` over all training rows; bins from BINS on count letters by script."""
+    ship(docs)
     rows = docs.filter(training & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,6 +239,7 @@ def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
     language in code point order. Repeated rows give repeated rows, an empty
     table an empty result, and other columns play no part.
     """
+    ship(docs)
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(tuple(model))
     rows = docs.select(*[F.col(c).alias(f"keep_{c}") for c in keep], "text")

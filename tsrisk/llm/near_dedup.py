@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tsrisk.llm.common import binary, by_bytes
+from tsrisk.llm.common import binary, by_bytes, ship
 from tsrisk.llm.components import components
 from tsrisk.llm.shingles import mix, shingle_sets
 from tsrisk.session import stage, unstage
@@ -356,6 +356,7 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     own, and each of them is kept if its id names the component. An empty table
     gives an empty result.
     """
+    ship(docs)
     found = stage(features(docs), "nd-features")
     roots = links_between(docs, found, threshold)
     held = found.filter(F.col("node").isNotNull())

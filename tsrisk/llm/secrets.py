@@ -15,7 +15,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tsrisk.llm.common import by_bytes
+from tsrisk.llm.common import by_bytes, ship
 
 # The plain patterns, the group that counts, and its least length.
 ASSIGN = re.compile(r"(?ai:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
@@ -118,6 +118,7 @@ def find_secrets(docs: DataFrame, keep: Sequence[str] = ("doc_id",)) -> DataFram
     repeated rows give repeated rows, an empty table an empty result, and other
     columns play no part.
     """
+    ship(docs)
     types = dict(docs.dtypes)
     names = [f"keep_{c}" for c in keep]
     rows = docs.select(*[F.col(c).alias(n) for c, n in zip(keep, names)], "text")
@@ -138,6 +139,7 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
 
     Rows without spans stay as they are. Overlapping spans are replaced as one.
     """
+    ship(docs)
     names = docs.columns
 
     def clean(text: str | None) -> str | None:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tsrisk.llm.common import binary, by_bytes
+from tsrisk.llm.common import binary, by_bytes, ship
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 #: Leads every word, as in the vocabulary's pieces.
@@ -96,6 +96,7 @@ def count_tokens(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
     for each byte. Repeated rows give repeated rows, an empty table an empty
     result, and other columns play no part. `path` is read on the driver.
     """
+    ship(docs)
     shared = docs.sparkSession.sparkContext.broadcast(tuple(load_pieces(path)))
     kind = dict(docs.dtypes)["doc_id"]
 

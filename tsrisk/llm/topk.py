@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tsrisk.llm.common import ship
 from tsrisk.session import stage
 
 SCALE = 256
@@ -130,6 +131,7 @@ def top_k(rows: DataFrame, is_query: Column, k: int = 5, vector: str = "embeddin
     repeated rows each count as a row; repeated query rows count once. With
     fewer than k other rows all are given; an empty table gives no rows.
     """
+    ship(rows)
     spark = rows.sparkSession
     used = rows.filter(F.col("vec_id").isNotNull() & F.col(vector).isNotNull()).select(
         F.col("vec_id").cast("long"), F.col(vector).cast("array<double>").alias(vector)
