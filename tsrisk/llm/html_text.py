@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tsrisk.llm.common import by_bytes
+from tsrisk.llm.common import by_bytes, ship
 from tsrisk.session import stage
 
 #: Share of content in a node's importance; the rest is presentation.
@@ -38,6 +38,7 @@ SELF_CLOSING = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
     "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tr", "td", "th"},
 }
+CONTAINERS = frozenset("details div dl figure ol section table ul".split())
 #: An implied end tag never reaches beyond these.
 FENCES = frozenset("html body table ul ol dl div article section main td th nav aside header footer form".split())
 # Words in a class, id or role that name something beside the article.
@@ -182,8 +183,9 @@ def page_nodes(page: str) -> dict[int, tuple[int, int]]:
 def main_text(page: str | None, low: frozenset[int] | set[int] = frozenset()) -> str:
     """Blocks of the main text, joined by an empty line; `low` holds the paths that the host's tree cuts.
 
-    If an article (else main) element has text, only such text counts. If
-    cutting by the tree would leave nothing, only names decide.
+    If an article (else main) element has text, only such text counts, and
+    there the tree may cut containers, but not most of the text. If cutting by
+    the tree would leave nothing, only names decide.
     """
     if not page:
         return ""
@@ -208,15 +210,17 @@ def main_text(page: str | None, low: frozenset[int] | set[int] = frozenset()) ->
             if breaks:
                 flush()
             if event == "open":
-                cut = stack[-1][1] or (node.path in low and not node.article)
+                cut = stack[-1][1] or (node.path in low and (not node.article or node.tag in CONTAINERS))
                 stack.append((node, cut))
             else:
                 stack.pop()
     flush()
     for level in (2, 1):
-        inside = [text for text, place, _ in blocks if place >= level]
+        inside = [(text, cut) for text, place, cut in blocks if place >= level]
         if inside:
-            return "\n\n".join(inside)
+            kept = [text for text, cut in inside if not cut]
+            whole = [text for text, _ in inside]
+            return "\n\n".join(kept if 2 * sum(map(len, kept)) >= sum(map(len, whole)) else whole)
     kept = [text for text, _, cut in blocks if not cut]
     return "\n\n".join(kept or [text for text, _, _ in blocks])
 
@@ -271,6 +275,7 @@ def extract(pages: DataFrame) -> DataFrame:
     Repeated rows give repeated rows and count as pages of their own in the
     tree; an empty table gives an empty result.
     """
+    ship(pages)
     cut = site_tree(pages).filter((F.col("pages") >= LEAST_PAGES) & (F.col("importance") < LEAST_IMPORTANCE))
     # One row for each host; its file size decides whether the join sends it to every task.
     low = stage(cut.groupBy("host").agg(F.collect_list("path").alias("low")), "html-tree")
