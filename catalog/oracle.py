@@ -214,7 +214,8 @@ SELECTED = CITY_AHEAD + """,
 selected AS (
   SELECT strftime(date, '%Y-%m-%d') AS date, forecast_day, predicted_crime_count,
          'Baseline Rolling 7-Day Iterative Forecast' AS model,
-         (SELECT model FROM models ORDER BY mae, model LIMIT 1) AS selected_model, 'Baseline' AS model_group
+         (SELECT model FROM models ORDER BY mae, model LIMIT 1) AS selected_model, 'Baseline' AS model_group,
+         NULL::BIGINT AS lower_bound, NULL::BIGINT AS upper_bound
   FROM ahead)"""
 
 # ---------------------------------------------------------------- raw text
@@ -472,6 +473,7 @@ feat AS (
         f"{RISK_AREA},\n{ORDER_CENTERS}", "SELECT * FROM by_area LEFT JOIN centers USING (district)", recursive=True
     ),
     "selected_forecast": sql(SELECTED, "SELECT * FROM selected", recursive=True),
+    "selected_week": sql(SELECTED, "SELECT * FROM selected WHERE forecast_day <= 7", recursive=True),
     # presentation and quality
     "present_area_map": sql(RISK_MAP, "SELECT * FROM area_map", recursive=True),
     "present_type_risk": sql(TYPE_RISK, "SELECT * FROM type_shown", recursive=True),

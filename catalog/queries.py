@@ -551,6 +551,11 @@ def selected_forecast(spark, folder):
     return present.present_forecast(orders(spark, folder).selected())
 
 
+@query
+def selected_week(spark, folder):
+    return present.present_forecast(orders(spark, folder).selected(), 7)
+
+
 # ---------------------------------------------------------------- presentation and quality
 @query
 def present_area_map(spark, folder):

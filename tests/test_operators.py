@@ -270,10 +270,15 @@ def test_arima_many_series_and_flat_ones(spark):
     df = series(spark, simulated(400, seed=1), k=1).unionByName(series(spark, simulated(400, seed=2), k=2))
     df = df.unionByName(series(spark, [5] * 400, k=3))
     grid = arima.grid_search(df, ["k"], test_days=30)
-    assert sorted({r["k"] for r in grid.scores.select("k").collect()}) == [1, 2]
+    lost = grid.scores.where("model is null").collect()
+    assert [(r["k"], r["mae"], r["reason"]) for r in lost] == [(3, None, arima.UNFITTED)]
+    assert {r["k"] for r in grid.scores.where("model is not null").collect()} == {1, 2}
     ahead = arima.best_forecast(grid, arima.fit(df, ["k"], steps=5), steps=5, bounds=True)
-    rows = ahead.collect()
+    rows = ahead.where("k < 3").collect()
     assert len(rows) == 10
+    flat = ahead.where("k = 3").collect()
+    assert [r["predicted_crime_count"] for r in flat] == [5] * 5
+    assert all(arima.UNFITTED in r["model"] and r["lower_bound"] is None for r in flat)
     assert all(r["lower_bound"] <= r["predicted_crime_count"] <= r["upper_bound"] for r in rows)
     with pytest.raises(RuntimeError):
         arima.grid_search(series(spark, [5] * 200), test_days=30)

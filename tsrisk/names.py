@@ -93,7 +93,14 @@ _s, _i, _l, _d, _day = T.StringType(), T.IntegerType(), T.LongType(), T.DoubleTy
 # Declared schemas of the published outputs, so no read infers types.
 OUTPUT_SCHEMAS = {
     "citywide_forecast": _struct(
-        date=_day, forecast_day=_i, predicted_crime_count=_l, model=_s, selected_model=_s, model_group=_s
+        date=_day, forecast_day=_i, predicted_crime_count=_l, model=_s, selected_model=_s, model_group=_s,
+        lower_bound=_l,
+        upper_bound=_l,
+    ),
+    "citywide_7day_forecast": _struct(
+        date=_day, forecast_day=_i, predicted_crime_count=_l, model=_s, selected_model=_s, model_group=_s,
+        lower_bound=_l,
+        upper_bound=_l,
     ),
     "district_risk_map": _struct(
         district=_i, predicted_30_day_crime_count=_l, expected_30_day_count=_d, display_risk_percent=_d,

@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tsrisk.names import COUNT, DATE, FORECAST_DAYS, PREDICTED, STEP, TEST_DAYS
 from tsrisk.operators.features import best_per_key, latest_date, series_arrays
+from tsrisk.operators.forecast import ITERATIVE_MEAN, iterative_mean_forecast
 from tsrisk.operators.metrics import ACTUAL, error_metrics
 from tsrisk.session import stage
 
@@ -272,6 +273,10 @@ def fit_orders(grams: DataFrame, keys, orders, steps: int) -> DataFrame:
     return grams.mapInPandas(solve, schema)
 
 
+#: Why a series has no candidate.
+UNFITTED = "no order fits: flat, short or singular"
+
+
 @dataclass
 class Fitted:
     """Candidates with the latest values and shocks a forecast starts from."""
@@ -280,6 +285,8 @@ class Fitted:
     starts: DataFrame
     keys: list[str]
     end: dt.date
+    series: DataFrame
+    y: str
 
 
 def fit(series: DataFrame, keys=(), orders=ARIMA_ORDERS, y: str = COUNT, steps: int = FORECAST_DAYS) -> Fitted:
@@ -300,7 +307,7 @@ def fit(series: DataFrame, keys=(), orders=ARIMA_ORDERS, y: str = COUNT, steps:
     starts = shock_tails.join(tails, keys) if keys else shock_tails.withColumn(
         "values", tails.select("values").scalar()
     )
-    return Fitted(fits, starts, keys, end)
+    return Fitted(fits, starts, keys, end, series, y)
 
 
 def forecast(fitted: Fitted, steps: int = FORECAST_DAYS) -> DataFrame:
@@ -342,23 +349,29 @@ def _count(value: Column) -> Column:
 # ---------------------------------------------------------------- outputs
 @dataclass
 class Grid:
-    """Scores of all candidates and the test-day forecasts behind them."""
+    """Scores of all candidates, with the exact error as `_gain`, and the test-day forecasts behind them.
+
+    With keys, a series that no order fits has one row without a model, and the reason.
+    """
 
-    scores: DataFrame
+    ranked: DataFrame
     tested: DataFrame
     keys: list[str]
 
+    @property
+    def scores(self) -> DataFrame:
+        return self.ranked.drop("_gain")
+
     def family(self, seasonal: bool) -> Grid:
         """Only the seasonal, or only the plain, candidates of a search over both."""
         own = F.col("seasonal_order").isNotNull() if seasonal else F.col("seasonal_order").isNull()
-        return Grid(self.scores.where(own), self.tested.where(own), self.keys)
+        return Grid(self.ranked.where(own | F.col("model").isNull()), self.tested.where(own), self.keys)
 
     def best(self) -> DataFrame:
-        """The candidate with the smallest MAE, per series."""
-        ranked = self.scores.withColumn("_gain", -F.col("mae"))
+        """The candidate with the smallest MAE before rounding, per series."""
         if self.keys:
-            return best_per_key(ranked, self.keys, "_gain", ["model"]).drop("_gain")
-        return self.scores.orderBy("mae", "model").limit(1)
+            return best_per_key(self.ranked, self.keys, "_gain", ["model"]).drop("_gain")
+        return self.ranked.orderBy(F.desc("_gain"), "model").limit(1).drop("_gain")
 
     def test_predictions(self) -> DataFrame:
         """Actual and predicted counts of the best candidate on the test days."""
@@ -384,20 +397,27 @@ def grid_search(
     ahead = forecast(fitted, test_days).withColumn("value", _clamped(F.col("value")))
     tested = stage(ahead.join(actual, [*keys, DATE]), "arima-tested")
     described = [*keys, "model", "order", "seasonal_order", "aic"]
-    scores = error_metrics(tested, ACTUAL, "value", by=described).where(F.col("mae").isNotNull())
-    scores = stage(scores.withColumn("aic", F.bround("aic", 2)), "arima-scores")
+    scores = error_metrics(tested, ACTUAL, "value", by=described, exact="_mae").where(F.col("mae").isNotNull())
+    scores = scores.withColumns({"aic": F.bround("aic", 2), "_gain": -F.col("_mae")}).drop("_mae")
+    scores = stage(scores, "arima-scores")
     if scores.isEmpty():
         raise RuntimeError("no candidate order could be fitted")
+    if keys:
+        lost = series.select(*keys).distinct().join(scores.select(*keys).distinct(), keys, "left_anti")
+        scores = scores.withColumn("reason", F.lit(None).cast("string")).unionByName(
+            lost.withColumn("reason", F.lit(UNFITTED)), allowMissingColumns=True
+        )
     return Grid(scores, tested, keys)
 
 
 def best_forecast(grid: Grid, refit: Fitted, steps: int = FORECAST_DAYS, bounds: bool = False) -> DataFrame:
     """Forecast with each series' best order, refitted on all days; 95 % bounds if asked."""
-    chosen = grid.best().select(*grid.keys, "model")
+    best = grid.best()
+    chosen = best.where(F.col("model").isNotNull()).select(*grid.keys, "model")
     own = replace(refit, fits=refit.fits.join(chosen, [*grid.keys, "model"], "left_semi"))
     margin = F.col("spread") * NORMAL_95
     limits = {"lower_bound": F.col("value") - margin, "upper_bound": F.col("value") + margin} if bounds else {}
-    return forecast(own, steps).select(
+    ahead = forecast(own, steps).select(
         DATE,
         STEP,
         *grid.keys,
@@ -405,3 +425,12 @@ def best_forecast(grid: Grid, refit: Fitted, steps: int = FORECAST_DAYS, bounds:
         *[_count(c).alias(name) for name, c in limits.items()],
         "model",
     )
+    if not grid.keys:
+        return ahead
+    # A series that no order fits keeps a forecast, the mean one, and its name says so.
+    unfitted = best.where(F.col("model").isNull()).select(*grid.keys)
+    mean = iterative_mean_forecast(
+        refit.series.join(unfitted, grid.keys, "left_semi"), grid.keys, refit.y, steps=steps, end=refit.end,
+        model=f"{ITERATIVE_MEAN} ({UNFITTED})",
+    )
+    return ahead.unionByName(mean.withColumn(PREDICTED, F.col(PREDICTED).cast("bigint")), allowMissingColumns=True)

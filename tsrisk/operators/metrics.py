@@ -11,8 +11,13 @@ from tsrisk.names import AREA, DATE, PREDICTED, TYPE
 ACTUAL = "actual_crime_count"
 
 
-def error_metrics(df: DataFrame, actual: str, predicted: str, by=(), digits=(2, 2, 2, 4)) -> DataFrame:
-    """MAE, RMSE, MAPE (zero actuals left out) and R² in one aggregation, rounded half to even."""
+def error_metrics(
+    df: DataFrame, actual: str, predicted: str, by=(), digits=(2, 2, 2, 4), exact: str | None = None
+) -> DataFrame:
+    """MAE, RMSE, MAPE (zero actuals left out) and R² in one aggregation, rounded half to even.
+
+    `exact` names a further column with the MAE as it is, for ranking.
+    """
     y = F.col(actual).cast("double")
     miss = y - F.col(predicted)
     total = F.var_pop(y) * F.count(y)
@@ -22,7 +27,8 @@ def error_metrics(df: DataFrame, actual: str, predicted: str, by=(), digits=(2,
         "mape": F.avg(F.when(y != 0, F.abs(miss / F.nullif(y, F.lit(0.0))))) * 100,
         "r2": 1 - F.try_divide(F.sum(miss * miss), total),
     }
-    return df.groupBy(*by).agg(*[F.bround(c, d).alias(name) for (name, c), d in zip(scores.items(), digits)])
+    shown = [F.bround(c, d).alias(name) for (name, c), d in zip(scores.items(), digits)]
+    return df.groupBy(*by).agg(*shown, *([scores["mae"].alias(exact)] if exact else []))
 
 
 def evaluate_levels(predictions: DataFrame, label: str) -> DataFrame:

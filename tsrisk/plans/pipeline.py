@@ -15,7 +15,7 @@ from tsrisk import names as N
 from tsrisk.names import AREA, DATE, TYPE
 from tsrisk.operators import arima, boosted, counts, features, forecast, metrics, panel, risk
 from tsrisk.operators.centroids import centroids
-from tsrisk.plans import present
+from tsrisk.plans import present, quality
 from tsrisk.plans.clean import clean_incidents
 from tsrisk.session import shuffles_sized_for
 from tsrisk.sources import tables
@@ -129,7 +129,8 @@ class Pipeline:
             self._keep(f"{name}_test_predictions", family.test_predictions())
         self._keep("model_comparison_current", city_board(series, grid))
         for group, ahead in city_forecasts(series, grid, self.end).items():
-            self._keep(f"citywide_30day_forecast_{group.lower()}", ahead)
+            kept = self._keep(f"citywide_30day_forecast_{group.lower()}", ahead)
+            self._keep(f"citywide_7day_forecast_{group.lower()}", forecast.first_days(kept, 7))
 
     # -- 4: boosted trees
     def forecast_series(self) -> None:
@@ -167,6 +168,7 @@ class Pipeline:
         selected = forecast.select_forecast(done["model_comparison_current"], ahead)
         outputs = {
             "citywide_forecast": present.present_forecast(selected),
+            "citywide_7day_forecast": present.present_forecast(selected, 7),
             "district_risk_map": present.present_area_map(done["district_map_points"]),
             "crime_type_risk": present.present_type_risk(done["crime_type_risk_forecast_30day"]),
             "high_risk_time_periods": present.present_periods(done["high_risk_time_periods_v2"]),
@@ -186,6 +188,16 @@ class Pipeline:
         )
         tables.export_json(done["summary"], f"{self.folder}/published/summary")
 
+    # -- 6: quality report
+    def report(self) -> None:
+        done = self.done
+        found = quality.quality_report(
+            done["crimes_clean"], done["incident_cube"], done["high_risk_time_periods"], done["district_risk_summary"],
+            {name: done[name] for name in ("crimes_clean", "crimes_quarantined", "citywide_daily_counts")},
+        )
+        for name, table in found.items():
+            self._keep(f"quality_{name}", table)
+
     def run(self, raw_path: str) -> dict[str, DataFrame]:
         with shuffles_sized_for(self.spark, total_bytes(self.spark, raw_path)):
             self.count(self.load(raw_path))
@@ -193,4 +205,5 @@ class Pipeline:
             self.forecast_city()
             self.forecast_series()
             self.publish()
+            self.report()
         return self.done

@@ -54,9 +54,14 @@ def present_history(panel: DataFrame, keys=()) -> DataFrame:
     return panel.select(iso_date(F.col(DATE)).alias(DATE), *keys, COUNT).orderBy(DATE, *keys)
 
 
-def present_forecast(selected: DataFrame) -> DataFrame:
+def present_forecast(selected: DataFrame, days: int | None = None) -> DataFrame:
+    """The chosen forecast, of all or the first `days` days; bounds are NULL where its group has none."""
     columns = [STEP, PREDICTED, "model", "selected_model", "model_group"]
-    return selected.select(iso_date(F.col(DATE)).alias(DATE), *columns).orderBy(STEP)
+    bounds = [
+        (F.col(c) if c in selected.columns else F.lit(None)).cast("bigint").alias(c) for c in ("lower_bound", "upper_bound")
+    ]
+    rows = selected if days is None else selected.where(F.col(STEP) <= days)
+    return rows.select(iso_date(F.col(DATE)).alias(DATE), *columns, *bounds).orderBy(STEP)
 
 
 def summary(
