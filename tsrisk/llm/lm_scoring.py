@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tsrisk.llm.common import binary, by_bytes
+from tsrisk.llm.common import binary, by_bytes, ship
 from tsrisk.llm.shingles import word_hashes
 from tsrisk.session import stage
 
@@ -32,15 +32,23 @@ CONTEXT_WORDS, CONTEXT, DIM = 8192, 3, 12
 TABLE_WORDS = 1 << 19
 #: Rounds of averaging; each training text is visited in one of them.
 ROUNDS = 4
-BATCH, RATE = 4096, 0.1
+RATE = 0.1
+#: Tokens of a step, and steps that the whole input makes at least: a small input takes more and smaller steps.
+BATCH, LEAST_BATCH, STEPS = 4096, 256, 1024
 NOISE_GROUPS, NOISE_WORDS = 16, 8
+#: Tokens that a task should see in a round; smaller inputs are trained in fewer tasks.
+TASK_TOKENS = 1_000_000
 #: Added to each count, and to the count of all unseen words together.
 SMOOTH = 0.1
 
 REST, END = GROUPS, GROUPS + 1
+#: Place by frequency of tokens that have none: the end, and words outside the table.
+NO_RANK = 1 << 40
 #: Stands for the end token among the hashes of words.
 END_HASH = np.uint64(0x5E4D_0F7E_3A1C_9B27)
 _CHUNK = 4096
+#: Distinct words of several texts that a task merges before they leave it.
+_MERGE = 500_000
 _ONE_GROUP, _ONE_WORD = np.eye(GROUPS + 2, dtype=np.float32), np.eye(GROUP_WORDS, dtype=np.float32)
 
 
@@ -58,10 +66,21 @@ def _tokens(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
 def count_words(docs: DataFrame, training: Column) -> DataFrame:
     """`word, n`: the count of every token, by 64-bit hash, over all training rows."""
 
+    def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        word, where = np.unique(np.concatenate([w for w, _ in parts]), return_inverse=True)
+        n = np.bincount(where, np.concatenate([n for _, n in parts]), len(word)).astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n)], names=["word", "n"])
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches, "text", 8 << 20):
-            word, n = np.unique(_tokens(binary(batch.column("text")))[0], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n)], names=["word", "n"])
+        parts, held = [], 0
+        for batch in by_bytes(batches, "text", 2 << 20):
+            parts.append(np.unique(_tokens(binary(batch.column("text")))[0], return_counts=True))
+            held += len(parts[-1][0])
+            if held > _MERGE:
+                yield merged(parts)
+                parts, held = [], 0
+        if parts:
+            yield merged(parts)
 
     return docs.filter(training).select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -71,7 +90,7 @@ class Table(NamedTuple):
 
     word: np.ndarray
     n: np.ndarray
-    rank: np.ndarray  # place by frequency; the end token has none
+    rank: np.ndarray  # place by frequency
     total: int
     distinct: int
     least: int  # words with smaller counts are not in the table
@@ -98,7 +117,7 @@ def frequent(counts: DataFrame) -> Table:
     rank = np.empty(len(word), np.int64)
     is_end = word == END_HASH
     rank[np.lexsort((word, -n, is_end))] = np.arange(len(word))
-    rank[is_end] = len(word)
+    rank[is_end] = NO_RANK
     return Table(word, n, rank, int(sums.n), int(sums.v), int(least))
 
 
@@ -143,7 +162,7 @@ def _places(table: Table, tokens: np.ndarray) -> np.ndarray:
 def _shares(table: Table) -> tuple[np.ndarray, np.ndarray]:
     """Smoothed share of each group, and of each word inside its group."""
     words = np.zeros(GROUPS * GROUP_WORDS)
-    own = table.rank < len(words)
+    own = (table.rank < len(words)) & (table.word != END_HASH)
     words[table.rank[own]] = table.n[own]
     end = float(table.n[table.word == END_HASH].sum())
     groups = np.concatenate([words.reshape(GROUPS, GROUP_WORDS).sum(axis=1), [table.total - words.sum() - end, end]]) + 1.0
@@ -165,7 +184,7 @@ class Stream(NamedTuple):
 def _stream(table: Table, texts: list[bytes | None]) -> Stream:
     tokens, counts = _tokens(texts)
     place = _places(table, tokens)
-    rank = np.where(place >= 0, table.rank[place] if len(table.rank) else 0, len(table.word))
+    rank = np.where(place >= 0, table.rank[place] if len(table.rank) else 0, NO_RANK)
     is_end = tokens == END_HASH
     words = GROUPS * GROUP_WORDS
     group = np.where(is_end, END, np.where(rank < words, rank // GROUP_WORDS, REST)).astype(np.uint8)
@@ -211,9 +230,10 @@ class Trainer:
     def __init__(self, model: Model, table: Table, rate: float, seed: int) -> None:
         self.part, self.rate, self.draw = model.part, rate, np.random.default_rng(seed)
         self.table = table
-        self.seen = {name: np.full(p.shape, 1e-9, np.float32) for name, p in model.part.items()}
+        self.seen = {name: np.full(p.shape, 1e-7, np.float32) for name, p in model.part.items()}
         self.group_share, self.word_share = _shares(table)
         self.log_group, self.log_word = (np.log(x).astype(np.float32) for x in (self.group_share, self.word_share))
+        self.size = min(BATCH, max(LEAST_BATCH, table.total // STEPS))
         self.tokens = 0
 
     def _step(self, name: str, gradient: np.ndarray, rows: np.ndarray | slice = slice(None)) -> None:
@@ -256,8 +276,8 @@ class Trainer:
 
     def texts(self, texts: list[bytes | None]) -> None:
         s = _stream(self.table, texts)
-        for at in range(0, len(s.group), BATCH):
-            part = slice(at, at + BATCH)
+        for at in range(0, len(s.group), self.size):
+            part = slice(at, at + self.size)
             self.batch(s.group[part], s.word[part], s.context[:, part])
 
 
@@ -266,6 +286,7 @@ def train(docs: DataFrame, training: Column, table: Table, rounds: int = ROUNDS)
     spark = docs.sparkSession
     model = Model.start(*_shares(table))
     chunks = -(-len(model.flat) // _CHUNK)
+    tasks = max(1, table.total // (rounds * TASK_TOKENS))  # never more than the input has
     for number in range(rounds):
         chosen = training & (F.pmod(F.xxhash64("text"), F.lit(rounds)) == number)
         shared = spark.sparkContext.broadcast((model.flat, tuple(table)))
@@ -302,7 +323,7 @@ def train(docs: DataFrame, training: Column, table: Table, rounds: int = ROUNDS)
             )
 
         schema = "chunk int, tokens long, values binary"
-        parts = docs.filter(chosen).select("text").mapInArrow(run, schema).repartition("chunk").mapInArrow(add, schema)
+        parts = docs.filter(chosen).select("text").coalesce(tasks).mapInArrow(run, schema).repartition("chunk").mapInArrow(add, schema)
         found = sorted(parts.collect(), key=lambda r: r.chunk)  # one row for each chunk of the parameters
         if found:
             model = Model(np.concatenate([np.frombuffer(r["values"], np.float32) for r in found]).copy())
@@ -346,6 +367,7 @@ def score(docs: DataFrame, training: Column, rounds: int = ROUNDS) -> DataFrame:
     empty table an empty result, and other columns play no part. Words are
     counted by 64-bit hashes.
     """
+    ship(docs)
     spark = docs.sparkSession
     rows = docs.select("doc_id", "text", training.alias("training"))
     counts = stage(count_words(rows, F.col("training")), "lm-counts")

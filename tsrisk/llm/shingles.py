@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 
 from tsrisk.llm.common import LOWER
@@ -26,33 +24,23 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(32))
 
 
-@lru_cache(maxsize=2)
-def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2^64, 2^bits of each."""
-    inverse = pow(int(_BASE), -1, 1 << 64)
-    out = []
-    for base in (int(_BASE), inverse):
-        held = np.ones(1, np.uint64)
-        with np.errstate(over="ignore"):
-            for k in range(bits):
-                held = np.concatenate([held, held * np.uint64(pow(base, 1 << k, 1 << 64))])
-        out.append(held)
-    return out[0], out[1]
-
-
 def word_hashes(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all lower-cased words, and the number of words of each text."""
+    """Hashes of all lower-cased words, polynomials of their bytes, and the number of words of each text."""
     joined = b" " + b" ".join([t or b"" for t in texts]) + b" "
     raw = np.frombuffer(joined.translate(LOWER), np.uint8)
     space = _SPACE[raw]
     edges = np.flatnonzero(space[1:] != space[:-1]) + 1
     begin, end = edges[::2], edges[1::2]
-    power, inverse = _powers(max(16, int(len(raw)).bit_length()))
+    size = end - begin
+    first = np.cumsum(size) - size
     with np.errstate(over="ignore"):
-        total = np.empty(len(raw) + 1, np.uint64)
-        total[0] = 0
-        np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * power[: len(raw)], out=total[1:])
-        hashes = mix((total[end] - total[begin]) * inverse[begin] + (end - begin).astype(np.uint64))
+        power = np.ones(int(size.max(initial=1)), np.uint64)
+        power[1:] = _BASE
+        power = np.cumprod(power)
+        letters = raw[~space].astype(np.uint64) + np.uint64(1)
+        letters *= power[np.arange(len(letters)) - np.repeat(first, size)]
+        sums = np.add.reduceat(letters, first) if len(size) else np.zeros(0, np.uint64)
+        hashes = mix(sums + size.astype(np.uint64))
     lengths = np.array([len(t or b"") for t in texts], np.int64)
     at = 1 + np.cumsum(lengths + 1) - (lengths + 1)
     return hashes, np.searchsorted(begin, at + lengths) - np.searchsorted(begin, at)
