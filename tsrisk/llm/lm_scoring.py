@@ -93,23 +93,28 @@ class Table(NamedTuple):
     rank: np.ndarray  # place by frequency
     total: int
     distinct: int
-    least: int  # words with smaller counts are not in the table
+    within: str  # SQL condition on `word, n` for the words that are in the table
 
 
 def frequent(counts: DataFrame) -> Table:
-    """The words down to the count at which the table is full; a histogram of a few hundred bins finds it."""
+    """The words down to the count at which the table is full; a histogram of a few hundred bins finds it.
+
+    Of the last bin, which does not fit whole, the table has a share by hash.
+    """
     sums = counts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
     bins = counts.groupBy(F.floor(F.log2("n") * 16).alias("bin")).agg(F.count(F.lit(1)).alias("words"), F.min("n").alias("least"))
-    least, held = None, 0
+    within, held = "false", 0
     for row in sorted(bins.collect(), key=lambda r: -r.bin):
-        held += row.words
-        if held > TABLE_WORDS and least is not None:
+        if held + row.words > TABLE_WORDS:
+            share = -(-row.words // max(1, TABLE_WORDS - held))
+            within = f"{within} or (n >= {row.least} and pmod(word, {share}) = 0)"
             break
-        least = row.least
-    if least is None:
+        held += row.words
+        within = f"n >= {row.least}"
+    if not sums.n:
         empty = np.zeros(0, np.int64)
-        return Table(empty.view(np.uint64), empty, empty, 0, 0, 1)
-    rows = counts.filter(F.col("n") >= least).toArrow()
+        return Table(empty.view(np.uint64), empty, empty, 0, 0, within)
+    rows = counts.filter(within).toArrow()
     word, n = (rows.column(c).to_numpy() for c in ("word", "n"))
     word = word.view(np.uint64)
     order = np.argsort(word)
@@ -118,7 +123,7 @@ def frequent(counts: DataFrame) -> Table:
     is_end = word == END_HASH
     rank[np.lexsort((word, -n, is_end))] = np.arange(len(word))
     rank[is_end] = NO_RANK
-    return Table(word, n, rank, int(sums.n), int(sums.v), int(least))
+    return Table(word, n, rank, int(sums.n), int(sums.v), within)
 
 
 class Model:
@@ -411,7 +416,7 @@ def score(docs: DataFrame, training: Column, rounds: int = ROUNDS) -> DataFrame:
     scored = stage(rows.select("doc_id", "text").mapInArrow(run, schema), "lm-scored")
     # Words outside the table: their counts are joined, and what they add is summed for each row.
     tail = scored.select("row", F.explode(F.arrays_zip("word", "times")).alias("t")).select("row", "t.word", "t.times")
-    rare = counts.filter(F.col("n") < table.least)
+    rare = counts.filter(f"not ({table.within})")
     n = F.coalesce(F.col("n"), F.lit(0))
     added = tail.join(rare, "word", "left").groupBy("row").agg(
         F.sum(F.when(n > 0, F.col("times")).otherwise(0)).alias("more_known"),
