@@ -66,10 +66,13 @@ class _Best:
 
     def __init__(self, queries: int, k: int) -> None:
         self.k, self.held = k, [[] for _ in range(queries)]
+        self.least = np.full(queries, -np.inf)  # k-th best so far; lower scores need no look
 
     def add(self, query: int, scores: np.ndarray, ids: np.ndarray) -> None:
         held = self.held[query] + [(-int(s), int(i)) for s, i in zip(scores, ids)]
         self.held[query] = sorted(held)[: self.k]
+        if len(self.held[query]) == self.k:
+            self.least[query] = -self.held[query][-1][0]
 
     def batch(self, numbers: np.ndarray) -> pa.RecordBatch:
         found = [(int(n), i, min(max(-s, _I64.min), _I64.max)) for n, own in zip(numbers, self.held) for s, i in own]
@@ -101,9 +104,10 @@ def _task(batches: Iterable[pa.RecordBatch], block: dict, k: int, vector: str) -
                     hit &= foreign
                 q, r = np.nonzero(hit.T)
                 total = reduce(np.add, [p[r, q] for p in lists])
+                keep = total >= best[size].least[q]
                 if "cutoff" in own:
-                    keep = total >= own["cutoff"][q]
-                    q, r, total = q[keep], r[keep], total[keep]
+                    keep &= total >= own["cutoff"][q]
+                q, r, total = q[keep], r[keep], total[keep]
                 # Of the rows of one query only the k best matter; whole groups of ties shrink here already.
                 order = np.lexsort((vec_ids[r], -total, q)) if total.dtype != object else np.array(sorted(range(len(q)), key=lambda x: (q[x], -total[x], vec_ids[r[x]])), np.int64)
                 q, r, total = q[order], r[order], total[order]
