@@ -668,3 +668,17 @@ ORACLE["describe_columns"] = " UNION ALL ".join(
         ("value", "double"), ("props", "string"),
     )
 )
+ORACLE["stored_table"] = ORACLE["daily_city"]
+ORACLE["registered_view"] = ORACLE["daily_area"]
+ORACLE["sorted_export"] = ORACLE["panel_area"]
+ORACLE["guard_outcomes"] = sql(
+    steps_for(ORDERS, "district"),
+    """SELECT request, outcome, (SELECT count(*) FROM pan) AS days FROM (VALUES ('known', '30 rows'),
+  ('unknown', 'no history found for district 99'), ('small limit', 'limit must be at least 30')) AS t(request, outcome)""",
+)
+ORACLE["gbt_facts"] = sql(
+    PAIRS,
+    """SELECT count(DISTINCT (district, primary_type)) AS series, 30::BIGINT AS days, min(hi) + 1 AS first_day,
+  min(hi) + 30 AS last_day, 30 * count(DISTINCT (district, primary_type)) AS n_rows, true AS none_below_zero, true AS adds_up
+FROM pan, lim""",
+)

@@ -68,7 +68,9 @@ class Counted:
     @cached_property
     def detail(self) -> DataFrame:
         """The mean forecast of every area and type."""
-        return forecast.iterative_mean_forecast(self.panel(AREA, TYPE), (AREA, TYPE), end=self.end, model=None)
+        return stage(
+            forecast.iterative_mean_forecast(self.panel(AREA, TYPE), (AREA, TYPE), end=self.end, model=None), "detail"
+        )
 
     def forecast_risk(self, key: str) -> DataFrame:
         totals = forecast.forecast_totals(self.detail, [key])
@@ -590,7 +592,8 @@ def _flat(whole: DataFrame) -> DataFrame:
 
 
 def _summary(base: Counted) -> DataFrame:
-    return present.summary(base.cube, base.panel(), base.selected(), base.area_map(), base.type_risk())
+    area_map, type_risk = stage(base.area_map(), "area-map"), stage(base.type_risk(), "type-risk")
+    return present.summary(base.cube, stage(base.panel(), "city"), stage(base.selected(), "selected"), area_map, type_risk)
 
 
 @query
@@ -603,7 +606,43 @@ def summary_round_trip(spark, folder):
     """The summary written as a JSON document and read back."""
     path = _new_path(spark, "summary")
     tables.export_json(_summary(orders(spark, folder, AREA, TYPE)), path)
-    return _flat(tables.read_summary(spark, path))
+    return _flat(views.summary_view(spark, path))
+
+
+@query
+def stored_table(spark, folder):
+    """Daily counts kept as a named table; the name that does not exist is passed over."""
+    name = f"daily_{uuid.uuid4().hex}"
+    tables.save_table(counts.daily_counts(incidents_orders(spark, folder)), name)
+    return tables.table_or(spark, f"missing_{name}", name)
+
+
+@query
+def registered_view(spark, folder):
+    """Daily counts of each area by name in SQL."""
+    name = f"daily_{uuid.uuid4().hex}"
+    tables.register(counts.daily_counts(incidents_orders(spark, folder), [AREA]), name)
+    return spark.sql(f"SELECT * FROM {name}")
+
+
+@query
+def sorted_export(spark, folder):
+    """The area panel written in sorted key ranges and read back."""
+    dense = stage(orders(spark, folder, AREA).panel(AREA), "dense")
+    return tables.export_parquet(tables.sort_for_storage(dense, [DATE, AREA]), _new_path(spark, "sorted"))
+
+
+@query
+def guard_outcomes(spark, folder):
+    """What the views' guards say to a known and an unknown area and to a limit that is too small."""
+    history = stage(present.present_history(orders(spark, folder, AREA).panel(AREA), [AREA]), "history")
+    found = []
+    for name, area, limit in (("known", 1, 30), ("unknown", 99, 30), ("small limit", 1, 5)):
+        try:
+            found.append((name, f"{views.area_history(history, area, limit).count()} rows"))
+        except (LookupError, ValueError) as error:
+            found.append((name, str(error)))
+    return spark.createDataFrame(found, "request string, outcome string").withColumn("days", F.lit(history.count()).cast("bigint"))
 
 
 @query
@@ -755,26 +794,26 @@ def ar_gram(spark, folder):
 @query
 def arima_grid(spark, folder):
     base = orders(spark, folder)
-    return arima.grid_search(base.panel(), end=base.end).scores
+    return arima.grid_search(stage(base.panel(), "city"), end=base.end).scores
 
 
 @query
 def sarima_grid(spark, folder):
     base = orders(spark, folder)
-    return arima.grid_search(base.panel(), orders=arima.SARIMA_ORDERS, end=base.end).scores
+    return arima.grid_search(stage(base.panel(), "city"), orders=arima.SARIMA_ORDERS, end=base.end).scores
 
 
 @query
 def arima_grid_area(spark, folder):
     """One search over every area at once."""
     base = orders(spark, folder, AREA)
-    return arima.grid_search(base.panel(AREA), [AREA], end=base.end).scores
+    return arima.grid_search(stage(base.panel(AREA), "areas"), [AREA], end=base.end).scores
 
 
 @query
 def arima_test_predictions(spark, folder):
     base = orders(spark, folder)
-    return arima.grid_search(base.panel(), end=base.end).test_predictions()
+    return arima.grid_search(stage(base.panel(), "city"), end=base.end).test_predictions()
 
 
 @query
@@ -819,6 +858,21 @@ def gbt_forecast(spark, folder):
     return orders(spark, folder, AREA, TYPE).gbt_forecast()
 
 
+@query
+def gbt_facts(spark, folder):
+    """Facts that hold for any fit: series, days, dates, signs, and roll-ups that add up to the detail."""
+    detail = stage(orders(spark, folder, AREA, TYPE).gbt_forecast(), "gbt-detail")
+    parts = forecast.forecast_rollups(detail, "GBT")
+    sums = [parts[n].agg(F.sum("predicted_crime_count").alias("n")).scalar() for n in ("district_30day", "crime_type_30day", "citywide_30day")]
+    own = detail.agg(
+        F.countDistinct(AREA, TYPE).alias("series"), F.countDistinct(DATE).alias("days"), F.min(DATE).alias("first_day"),
+        F.max(DATE).alias("last_day"), F.count(F.lit(1)).alias("n_rows"), F.min("predicted_crime_count").alias("least"),
+        F.sum("predicted_crime_count").alias("total"),
+    )
+    adds_up = (F.col("total") == sums[0]) & (F.col("total") == sums[1]) & (F.col("total") == sums[2])
+    return own.select("series", "days", "first_day", "last_day", "n_rows", (F.col("least") >= 0).alias("none_below_zero"), adds_up.alias("adds_up"))
+
+
 @query
 def gbt_rollup(spark, folder):
     detail = orders(spark, folder, AREA, TYPE).gbt_forecast()

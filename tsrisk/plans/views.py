@@ -9,6 +9,7 @@ from tsrisk.names import AREA, DATE, STEP, TYPE
 from tsrisk.operators.features import best_per_key, tail_rows
 from tsrisk.operators.risk import SLOT_RISK
 from tsrisk.plans.present import SHOWN_RISK, period_order
+from tsrisk.sources.tables import read_summary
 
 ALL = "ALL"
 
@@ -31,7 +32,7 @@ def _latest(history: DataFrame, limit: int | None) -> DataFrame:
 
 def summary_view(spark: SparkSession, path: str) -> DataFrame:
     """The stored summary document."""
-    return spark.read.json(path)
+    return read_summary(spark, path)
 
 
 def leaderboard_view(board: DataFrame) -> DataFrame:
