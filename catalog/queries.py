@@ -16,7 +16,7 @@ from tsrisk.operators import arima, boosted, counts, features, forecast, metrics
 from tsrisk.operators.centroids import centroids
 from tsrisk.plans import pipeline, present, quality, views
 from tsrisk.plans.clean import clean_incidents
-from tsrisk.session import shared_dir, stage
+from tsrisk.session import new_path, stage
 from tsrisk.sources import delimited, tables
 from tsrisk.sources.adapters import incidents_events, incidents_lineitem, incidents_orders, read_table
 
@@ -136,10 +136,6 @@ def raw_text(spark: SparkSession, folder: str) -> DataFrame:
     return read_table(spark, folder, "events").selectExpr(*[f"{sql} AS `{name}`" for name, sql in cols.items()])
 
 
-def _new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tsrisk/{name}-{uuid.uuid4().hex}"
-
-
 QUERIES: dict = {}
 
 
@@ -236,7 +232,7 @@ def area_risk_recent(spark, folder):
 @query
 def scan_delimited(spark, folder):
     """Write the events as raw text, scan the file again, and keep what comes back."""
-    path = _new_path(spark, "raw")
+    path = new_path(spark, "raw")
     raw_text(spark, folder).write.csv(path, header=True, quote='"', escape='"', nullValue="", emptyValue="")
     rows = delimited.usable_rows(delimited.read_raw(spark, path))
     return rows.select(
@@ -249,7 +245,7 @@ def scan_delimited(spark, folder):
 def raw_line_accounts(spark, folder):
     """Raw text of two column orders with long, short and broken rows: each line is clean, dropped or set aside."""
     events = read_table(spark, folder, "events")
-    path = _new_path(spark, "lines")
+    path = new_path(spark, "lines")
     for order, header in enumerate(("ID,Date,Note", "ID,Note,Date")):
         lines = events.where(f"event_id % 2 = {order}").select(F.explode(F.expr(rawtext.raw_lines(order))).alias(header))
         # One column, no quotes and a separator that never occurs: the lines are written as they are.
@@ -604,7 +600,7 @@ def summary_flat(spark, folder):
 @query
 def summary_round_trip(spark, folder):
     """The summary written as a JSON document and read back."""
-    path = _new_path(spark, "summary")
+    path = new_path(spark, "summary")
     tables.export_json(_summary(orders(spark, folder, AREA, TYPE)), path)
     return _flat(views.summary_view(spark, path))
 
@@ -629,7 +625,7 @@ def registered_view(spark, folder):
 def sorted_export(spark, folder):
     """The area panel written in sorted key ranges and read back."""
     dense = stage(orders(spark, folder, AREA).panel(AREA), "dense")
-    return tables.export_parquet(tables.sort_for_storage(dense, [DATE, AREA]), _new_path(spark, "sorted"))
+    return tables.export_parquet(tables.sort_for_storage(dense, [DATE, AREA]), new_path(spark, "sorted"))
 
 
 @query
@@ -648,7 +644,7 @@ def guard_outcomes(spark, folder):
 @query
 def published_round_trip(spark, folder):
     """The riskiest slots written as CSV and read back with their declared schema."""
-    path = _new_path(spark, "published")
+    path = new_path(spark, "published")
     tables.export_csv(present.present_periods(events(spark, folder).periods()), f"{path}/high_risk_time_periods")
     return tables.read_output(spark, path, "high_risk_time_periods")
 

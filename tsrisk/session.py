@@ -57,7 +57,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     size which join side to broadcast.
     """
     spark = df.sparkSession
-    path = f"{_run_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = new_path(spark, name)
     df.write.parquet(path)
     staged = spark.read.schema(df.schema).parquet(path)
     staged._staged_path = path
@@ -72,6 +72,11 @@ def unstage(*staged: DataFrame) -> None:
             target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path of its own in the application's part of the shared folder."""
+    return f"{_run_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 _run_dirs: dict[str, str] = {}
 
 
