@@ -126,6 +126,7 @@ def test_medians_equal_brute_force(spark):
         "even": [rng.gauss(0, 1) for _ in range(1000)],
         "ties": [float(rng.randint(0, 3)) for _ in range(5000)],
         "same": [7.5] * 3000,
+        "outlier": [1e300, -1e300, *[rng.gauss(0, 1) for _ in range(2000)]],
         "split": [0.0] * 2500 + [1.0] * 2500,
         "hot": [rng.random() ** 5 for _ in range(60_000)],
     }

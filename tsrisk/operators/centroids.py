@@ -25,8 +25,10 @@ def _holding(histogram: DataFrame, group, bucket: str, before: Column) -> DataFr
 def exact_medians(df: DataFrame, keys, value: str, position: Column | None = None) -> DataFrame:
     """Exact median of `value` per key group, of any size and skew.
 
-    `position` maps the value, without ever decreasing, to 0..1; by default the
-    place between the least and greatest value of the group.
+    `position` maps the value, without ever decreasing, to 0..1. By default the
+    buckets lie between two approximate quantiles on either side of the middle,
+    and all that is below or above has a bucket of its own, so outliers move
+    nothing.
 
     1. A histogram per group, counted before its shuffle, tells which of 1024
        coarse buckets hold the two middle ranks.
@@ -41,9 +43,17 @@ def exact_medians(df: DataFrame, keys, value: str, position: Column | None = Non
     rows = not_null(df, [*keys, value])
     if position is None:
         # One row per group; staged, so that the join broadcasts it only by its true size.
-        ends = stage(rows.groupBy(*keys).agg(F.min(value).alias("_min"), F.max(value).alias("_max")), "median-ends")
-        rows = rows.join(ends, keys)
-        position = F.coalesce(F.try_divide(F.col(value) - F.col("_min"), F.col("_max") - F.col("_min")), F.lit(0.0))
+        near = F.percentile_approx(value, [0.49, 0.51], 10_000)
+        ends = rows.groupBy(*keys).agg(near.alias("_near")).select(
+            *keys, F.col("_near")[0].alias("_low"), F.col("_near")[1].alias("_high")
+        )
+        rows = rows.join(stage(ends, "median-ends"), keys)
+        between = F.coalesce(F.try_divide(F.col(value) - F.col("_low"), F.col("_high") - F.col("_low")), F.lit(0.5))
+        position = (
+            F.when(F.col(value) < F.col("_low"), 0.0)
+            .when(F.col(value) > F.col("_high"), 1.0)
+            .otherwise((1 + between * (_COARSE - 2)) / _COARSE)
+        )
     last = float(_COARSE * _FINE - 1)
     fine = F.floor(F.greatest(F.lit(0.0), F.least(F.lit(last), position * (_COARSE * _FINE)))).cast("int")
     rows = rows.select(*keys, F.col(value).alias("v"), fine.alias("fine"))
