@@ -26,10 +26,20 @@ KEPT = 200_000
 
 class Pieces(NamedTuple):
     score: dict[str, float]
-    longest: int
     byte: float  # score of one byte of a character without a piece
 
 
+def endings(score: dict[str, float]) -> dict:
+    """The pieces as a trie read from their last character; a node holds its piece's score under the empty text."""
+    root: dict = {}
+    for piece, own in score.items():
+        node = root
+        for letter in reversed(piece):
+            node = node.setdefault(letter, {})
+        node[""] = own
+    return root
+
+
 def load_pieces(path: str = VOCABULARY) -> Pieces:
     """Pieces of a sentencepiece vocabulary.
 
@@ -47,16 +57,16 @@ def load_pieces(path: str = VOCABULARY) -> Pieces:
     ]
     norm = math.log(sum(1.0 / (rank + 1) for rank in range(len(names))))
     score = {name: -math.log(rank + 1) - norm for rank, name in enumerate(names)}
-    return Pieces(score, max(map(len, names), default=1), -math.log(len(names) + 1) - norm - math.log(256))
+    return Pieces(score, -math.log(len(names) + 1) - norm - math.log(256))
 
 
-def best_counts(words: list[str], pieces: Pieces) -> list[tuple[int, float]]:
+def best_counts(words: list[str], pieces: Pieces, ends: dict | None = None) -> list[tuple[int, float]]:
     """Tokens and score of the best segmentation of each of the sorted words.
 
     Of equal scores the one with fewer tokens is best. The stack holds, for each
     prefix of the present word, its best score and token count.
     """
-    score, longest = pieces.score.get, pieces.longest
+    ends = endings(pieces.score) if ends is None else ends
     best, tokens = [0.0], [0]
     before = ""
     out = []
@@ -70,13 +80,17 @@ def best_counts(words: list[str], pieces: Pieces) -> list[tuple[int, float]]:
         del best[shared + 1 :], tokens[shared + 1 :]
         for end in range(shared + 1, len(text) + 1):
             top, count = -math.inf, 0
-            for start in range(max(0, end - longest), end):
-                own = score(text[start:end])
+            start, node = end - 1, ends.get(text[end - 1])
+            alone = node is not None and "" in node
+            while node is not None:
+                own = node.get("")
                 if own is not None:
                     total = best[start] + own
                     if total > top or (total == top and tokens[start] + 1 < count):
                         top, count = total, tokens[start] + 1
-            if score(text[end - 1]) is None:
+                start -= 1
+                node = node.get(text[start]) if start >= 0 else None
+            if not alone:
                 size = len(text[end - 1].encode("utf-8", "surrogatepass"))
                 total = best[end - 1] + size * pieces.byte
                 if total > top:
@@ -102,6 +116,7 @@ def count_tokens(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces(*shared.value)
+        ends = endings(pieces.score)
         held: dict[bytes, tuple[int, float]] = {}
         for batch in by_bytes(batches, "text", 4 << 20):
             split = [t.split() if t else [] for t in binary(batch.column("text"))]
@@ -110,7 +125,7 @@ def count_tokens(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
                 held.clear()
                 new = set().union(*split)
             ordered = sorted((w.decode("utf-8", "replace"), w) for w in new)
-            held.update(zip((w for _, w in ordered), best_counts([t for t, _ in ordered], pieces)))
+            held.update(zip((w for _, w in ordered), best_counts([t for t, _ in ordered], pieces, ends)))
             found = [[held[w] for w in words] for words in split]
             yield pa.RecordBatch.from_arrays(
                 [
