@@ -33,6 +33,12 @@ def test_mixed_text_has_a_span_for_each_language(docs_of, model):
     assert text[spans[1].start :].startswith("der garten") and spans[1].end == len(text)
 
 
+def test_columns_of_any_name_are_carried(docs_of, model):
+    docs = docs_of((1, EN)).withColumn("a b.c`d", F.array(F.lit(1))).withColumn("lang_pred", F.lit("x"))
+    row = L.identify(docs, model, ("doc_id", "a b.c`d", "spans")).first()
+    assert tuple(row)[:3] == (1, [1], 1) and row[3] == "en"
+
+
 def test_empty_tables_and_repeated_rows(docs_of, model):
     assert L.identify(docs_of((1, EN)).limit(0), model).count() == 0
     nothing = L.fit(docs_of((1, EN)).limit(0), F.lit(True))

@@ -5,13 +5,14 @@ from __future__ import annotations
 import io
 import uuid
 import zipfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tsrisk.session import shared_dir
 
@@ -54,6 +55,19 @@ def by_bytes(batches: Iterable[pa.RecordBatch], column: str, limit: int = 8 << 2
             yield batch.slice(start)
 
 
+def kept(df: DataFrame, keep: Sequence[str]) -> tuple[list[Column], list[str], list[T.StructField], list[Column]]:
+    """Columns to carry through a Python step under names that clash with none.
+
+    Their selection, the names, the fields of the step's schema, and the selection that gives the own names back.
+    """
+    names = [f"keep_{i}" for i in range(len(keep))]
+    fields = [T.StructField(n, df.schema[c].dataType) for c, n in zip(keep, names)]
+    quoted = ["`" + c.replace("`", "``") + "`" for c in keep]
+    return (
+        [F.col(q).alias(n) for q, n in zip(quoted, names)], names, fields, [F.col(n).alias(c) for c, n in zip(keep, names)],
+    )
+
+
 def remainder(doc_id: Column, divisor: int) -> Column:
     """crc32 of the id as text, modulo `divisor`; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % divisor

@@ -16,6 +16,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tsrisk.llm.common import by_bytes, ship
 
@@ -162,7 +163,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE,
     """
     ship(docs)
     docs = docs.drop(name)
-    types = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
+    schema = T.StructType([*docs.schema, *T.StructType.fromDDL(f"{name} {HITS}")])
     context = docs.sparkSession.sparkContext
     found = docs.withColumn(name, F.array().cast(HITS))
     for block in _blocks(benchmark, rate):
@@ -181,5 +182,5 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE,
                     [*batch.columns[:-1], pa.array(hits, _ARROW)], names=batch.schema.names
                 )
 
-        found = found.mapInArrow(run, f"{types}, {name} {HITS}")
+        found = found.mapInArrow(run, schema)
     return found

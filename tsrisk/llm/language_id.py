@@ -15,8 +15,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tsrisk.llm.common import by_bytes, ship
+from tsrisk.llm.common import by_bytes, kept, ship
 
 BINS = 1 << 15
 PENALTY = 12.0
@@ -242,8 +243,9 @@ def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
     ship(docs)
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(tuple(model))
-    rows = docs.select(*[F.col(c).alias(f"keep_{c}") for c in keep], "text")
-    schema = ", ".join([*[f"keep_{c} {dict(docs.dtypes)[c]}" for c in keep], RESULT])
+    inward, carried, fields, outward = kept(docs, keep)
+    rows = docs.select(*inward, "text")
+    schema = T.StructType([*fields, *T.StructType.fromDDL(RESULT)])
     spans_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,11 +254,11 @@ def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
             names, score, spans = predict(batch.column("text").to_pylist(), own)
             yield pa.RecordBatch.from_arrays(
                 [
-                    *[batch.column(f"keep_{c}") for c in keep],
+                    *[batch.column(c) for c in carried],
                     pa.array(names, pa.string()), pa.array(score, pa.float64()), pa.array(spans, spans_type),
                 ],
-                names=[*[f"keep_{c}" for c in keep], "lang_pred", "score", "spans"],
+                names=[*carried, "lang_pred", "score", "spans"],
             )
 
     found = rows.mapInArrow(run, schema)
-    return found.select(*[F.col(f"keep_{c}").alias(c) for c in keep], "lang_pred", "score", "spans")
+    return found.select(*outward, "lang_pred", "score", "spans")

@@ -13,9 +13,9 @@ from collections.abc import Iterable, Iterator, Sequence
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tsrisk.llm.common import by_bytes, ship
+from tsrisk.llm.common import by_bytes, kept, ship
 
 # The plain patterns, the group that counts, and its least length.
 ASSIGN = re.compile(r"(?ai:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
@@ -119,9 +119,8 @@ def find_secrets(docs: DataFrame, keep: Sequence[str] = ("doc_id",)) -> DataFram
     columns play no part.
     """
     ship(docs)
-    types = dict(docs.dtypes)
-    names = [f"keep_{c}" for c in keep]
-    rows = docs.select(*[F.col(c).alias(n) for c, n in zip(keep, names)], "text")
+    inward, names, fields, outward = kept(docs, keep)
+    rows = docs.select(*inward, "text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "text"):
@@ -130,8 +129,8 @@ def find_secrets(docs: DataFrame, keep: Sequence[str] = ("doc_id",)) -> DataFram
             ]
             yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(spans, _ARROW)], names=[*names, "spans"])
 
-    schema = ", ".join([*[f"{n} {types[c]}" for c, n in zip(keep, names)], f"spans {SPANS}"])
-    return rows.mapInArrow(run, schema).select(*[F.col(n).alias(c) for c, n in zip(keep, names)], "spans")
+    schema = T.StructType([*fields, *T.StructType.fromDDL(f"spans {SPANS}")])
+    return rows.mapInArrow(run, schema).select(*outward, "spans")
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
