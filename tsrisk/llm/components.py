@@ -43,12 +43,14 @@ def components(edges: DataFrame) -> DataFrame:
     Each round is written to the shared folder, which cuts the lineage.
     Self-loops and repeated edges are dropped; without edges the result is empty.
     """
-    now = stage(edges.filter(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc")
+    down = edges.filter(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    now = stage(down.distinct(), "cc")
     before = _state(now)
     while before[0]:
-        following = stage(_small_star(stage_once := stage(_large_star(now), "cc-large")), "cc-small")
+        large = stage(_large_star(now), "cc-large")
+        following = stage(_small_star(large), "cc-small")
         after = _state(following)
-        unstage(now, stage_once)
+        unstage(now, large)
         now = following
         if after == before:
             break

@@ -206,8 +206,8 @@ def main_text(page: str | None, low: frozenset[int] | set[int] = frozenset()) ->
             line.append(" ")
         elif event in ("open", "close"):
             node = value
-            breaks = node.tag not in INLINE or node.beside != (stack[-2][0].beside if event == "close" and len(stack) > 1 else stack[-1][0].beside)
-            if breaks:
+            outer = stack[-2 if event == "close" and len(stack) > 1 else -1][0]
+            if node.tag not in INLINE or node.beside != outer.beside:
                 flush()
             if event == "open":
                 cut = stack[-1][1] or (node.path in low and (not node.article or node.tag in CONTAINERS))
@@ -294,7 +294,10 @@ def extract(pages: DataFrame) -> DataFrame:
                     paths[key] = frozenset(v & _MASK for v in key)
                 texts.append(main_text(page, paths[key]))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
+                [
+                    batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()),
+                    pa.array([len(t) for t in texts], pa.int64()),
+                ],
                 names=["page_id", "url", "text", "n_chars"],
             )
 

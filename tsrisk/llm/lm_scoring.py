@@ -307,7 +307,10 @@ def train(docs: DataFrame, training: Column, table: Table, rounds: int = ROUNDS)
                 sums = (own.flat * np.float32(trainer.tokens)).astype(np.float64)
                 parts = [sums[k * _CHUNK : (k + 1) * _CHUNK].astype(np.float32).tobytes() for k in range(chunks)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(range(chunks), pa.int32()), pa.array([trainer.tokens] * chunks, pa.int64()), pa.array(parts, pa.binary())],
+                    [
+                        pa.array(range(chunks), pa.int32()), pa.array([trainer.tokens] * chunks, pa.int64()),
+                        pa.array(parts, pa.binary()),
+                    ],
                     names=["chunk", "tokens", "values"],
                 )
 
@@ -328,8 +331,9 @@ def train(docs: DataFrame, training: Column, table: Table, rounds: int = ROUNDS)
             )
 
         schema = "chunk int, tokens long, values binary"
-        parts = docs.filter(chosen).select("text").coalesce(tasks).mapInArrow(run, schema).repartition("chunk").mapInArrow(add, schema)
-        found = sorted(parts.collect(), key=lambda r: r.chunk)  # one row for each chunk of the parameters
+        trained = docs.filter(chosen).select("text").coalesce(tasks).mapInArrow(run, schema)
+        means = trained.repartition("chunk").mapInArrow(add, schema)
+        found = sorted(means.collect(), key=lambda r: r.chunk)  # one row for each chunk of the parameters
         if found:
             model = Model(np.concatenate([np.frombuffer(r["values"], np.float32) for r in found]).copy())
     return model
@@ -399,14 +403,15 @@ def score(docs: DataFrame, training: Column, rounds: int = ROUNDS) -> DataFrame:
             # A word of the table is in its own group or in the last; those outside are always in the last.
             logp = log_probabilities(lm, s.group, s.word, s.context) / np.log(10)
             whole = _sums(logp + np.where((s.group == REST) & inside, log_count - log_rest, 0.0), s.counts)
-            outside = np.split(s.tokens[~inside].view(np.int64), np.cumsum(_sums((~inside).astype(np.int64), s.counts))[:-1]) if len(s.counts) else []
+            ends = np.cumsum(_sums((~inside).astype(np.int64), s.counts))
+            outside = np.split(s.tokens[~inside].view(np.int64), ends[:-1]) if len(ends) else []
             tails = [np.unique(x, return_counts=True) for x in outside]
             n = batch.num_rows
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(partition + number + np.arange(n)), batch.column("doc_id"), pa.array(s.counts.astype(np.int64)),
                     pa.array(_sums(inside.astype(np.int64), s.counts)), pa.array(_sums(log_count, s.counts) - s.counts * log_base),
-                    pa.array(whole), pa.array([t[0] for t in tails], pa.list_(pa.int64())), pa.array([t[1] for t in tails], pa.list_(pa.int64())),
+                    pa.array(whole), *[pa.array([t[k] for t in tails], pa.list_(pa.int64())) for k in (0, 1)],
                 ],
                 names=["row", "doc_id", "n_tokens", "n_known", "base", "score", "word", "times"],
             )

@@ -76,13 +76,10 @@ def features(docs: DataFrame) -> DataFrame:
             sets = shingle_sets(binary(batch.column("text")))
             node, bands, signature = [], [], []
             for s in sets:
-                if not len(s):
-                    node.append(None), bands.append([]), signature.append(None)
-                    continue
                 least = minima(s)
-                node.append(xxhash.xxh3_128_digest(s.tobytes()))
-                bands.append(band_keys(least))
-                signature.append((least & np.uint32(255)).astype(np.uint8).tobytes())
+                node.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
+                bands.append(band_keys(least) if len(s) else [])
+                signature.append((least & np.uint32(255)).astype(np.uint8).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(node, pa.binary()),
@@ -311,10 +308,8 @@ def links_between(docs: DataFrame, found: DataFrame, threshold: int = THRESHOLD)
     ends = rows.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("top")).filter("hub < top")
     buckets = stage(rows.join(ends.select("key", "hub"), "key").distinct(), "nd-buckets")
     in_buckets = buckets.select("node").distinct()
-    signatures = stage(
-        held.select("node", "signature").join(in_buckets, "node", "left_semi").groupBy("node").agg(F.first("signature").alias("signature")),
-        "nd-signatures",
-    )
+    signatures = held.select("node", "signature").join(in_buckets, "node", "left_semi")
+    signatures = stage(signatures.groupBy("node").agg(F.first("signature").alias("signature")), "nd-signatures")
     first = buckets.filter("node != hub").select(F.col("hub").alias("u"), F.col("node").alias("v")).distinct()
     links = _confirm(_by_signature(first, signatures), docs, reps, threshold)
     roots = stage(components(links), "nd-roots")
@@ -330,10 +325,8 @@ def links_between(docs: DataFrame, found: DataFrame, threshold: int = THRESHOLD)
 
     # Every likely link lies inside one cluster of roots, so each cluster is compared once more, on full sets.
     rooted = _rooted(in_buckets, roots, "node", "root")
-    own = stage(
-        rooted.join(clusters.select(F.col("node").alias("root"), F.col("root").alias("key")), "root").select("key", "node", "root"),
-        "nd-own",
-    )
+    keys = clusters.select(F.col("node").alias("root"), F.col("root").alias("key"))
+    own = stage(rooted.join(keys, "root").select("key", "node", "root"), "nd-own")
     sizes = own.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     sets = stage(_sets_of(docs, own.select("node").distinct(), reps), "nd-sets")
     full = own.join(sizes, "key").join(sets, "node").select("key", "n", "node", "root", "members")

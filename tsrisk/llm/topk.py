@@ -99,7 +99,8 @@ def _task(batches: Iterable[pa.RecordBatch], block: dict, k: int, vector: str) -
                     hit = np.zeros(foreign.shape, bool)
                     head = min(len(part), k + 1)
                     for p in lists:
-                        top = np.argsort(-p, axis=0, kind="stable")[:head] if p.dtype == object else np.argpartition(-p, head - 1, axis=0)[:head]
+                        order = np.argsort(-p, axis=0) if p.dtype == object else np.argpartition(-p, head - 1, axis=0)
+                        top = order[:head]
                         np.put_along_axis(hit, top, True, axis=0)
                     hit &= foreign
                 q, r = np.nonzero(hit.T)
@@ -109,7 +110,10 @@ def _task(batches: Iterable[pa.RecordBatch], block: dict, k: int, vector: str) -
                     keep &= total >= own["cutoff"][q]
                 q, r, total = q[keep], r[keep], total[keep]
                 # Of the rows of one query only the k best matter; whole groups of ties shrink here already.
-                order = np.lexsort((vec_ids[r], -total, q)) if total.dtype != object else np.array(sorted(range(len(q)), key=lambda x: (q[x], -total[x], vec_ids[r[x]])), np.int64)
+                if total.dtype == object:
+                    order = np.array(sorted(range(len(q)), key=lambda x: (q[x], -total[x], vec_ids[r[x]])), np.int64)  # noqa: B023
+                else:
+                    order = np.lexsort((vec_ids[r], -total, q))
                 q, r, total = q[order], r[order], total[order]
                 begin = np.searchsorted(q, np.arange(len(own["id"]) + 1))
                 for query in np.unique(q).tolist():
