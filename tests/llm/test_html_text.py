@@ -32,6 +32,25 @@ def test_edges(page, text):
     assert H.main_text(page) == text
 
 
+STORY = " ".join("The story goes on." for _ in range(20))
+
+
+@pytest.mark.parametrize("page", [
+    "<html><head><meta charset=utf-8><title>t</title><body><p>{0}</p></body></html>", "<title>t</title><p>{0}", "<head><title>t</title><p>{0}",
+    "<body><form id=f><nav>menu</nav><p>{0}</p><div class=ad>buy</div></form>", "<body><nav><ul><li>menu</ul><article><p>{0}</article>",
+    "<div class='layout has-sidebar'><p>{0}</p></div><div class=sidebar>x</div>", "<div class='entry no-sidebar'>{0}</div><div class=ad>y</div>",
+    "<div class='header-fixed wrapper'><p>{0}</p><div class=comments>Nice</div></div>", "<article class='post has-comments'>{0}</article>",
+    "<article><p>{0}</p></article><div class=comments><p>{0}</p><p>{0}</p></div>", "<body style='display:none'><div>{0}</div><footer>f</footer>",
+])
+def test_names_never_take_most_of_a_page(page):
+    assert H.main_text(page.format(STORY)) == STORY
+
+
+def test_parts_of_one_name_stay_together_and_anchors_name_nothing():
+    assert H.main_text("<body>" + "<div class=widget><p>part of it</p></div>" * 8) == "\n\n".join(["part of it"] * 8)
+    assert H.main_text(f"<article><h2 id=related-search>Head</h2><p>{STORY}</p></article>") == f"Head\n\n{STORY}"
+
+
 def pages(spark, *rows):
     return spark.createDataFrame([(*r, "h", "t", 1) for r in rows], "page_id long, url string, html string, host string, text string, low int")
 

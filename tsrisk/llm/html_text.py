@@ -2,7 +2,7 @@
 
 The DOMs of a host's pages are merged by the path of tags and classes. A node whose content and children are
 much the same on every page has low entropy and so low importance; such branches are cut from each page. What
-a tag, class or role names outright (menus, adverts, comments) goes on any page, and an article element stays.
+a tag, class or role names outright (menus, adverts, comments) goes on any page, as long as the rest outweighs it.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ from tsrisk.session import stage
 CONTENT_WEIGHT = 0.7
 #: Branches below this importance are cut where the host shows them on at least so many pages.
 LEAST_IMPORTANCE, LEAST_PAGES = 0.3, 5
+#: Characters inside an article or main element weigh so much more where a branch is weighed against the rest.
+ARTICLE_WEIGHT = 4
 
 # Elements without text of their own, inside a line, without an end tag, and never main text.
 RAW = ("script", "style", "noscript", "template", "iframe", "textarea", "svg", "object", "canvas", "math", "select", "xmp")
@@ -33,7 +35,11 @@ INLINE = frozenset(
     "strike strong sub sup time tt u var".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-NEVER = frozenset("head nav footer aside form button dialog menu".split())
+NEVER = frozenset("nav footer aside form button dialog menu".split())
+#: What may stand in a head; anything else ends it, with or without an end tag.
+HEAD = frozenset("base link meta noscript script style template title".split())
+#: Of the tags above, all but forms come back only if they hold one of these.
+PROSE = frozenset("article h1 main p".split())
 SELF_CLOSING = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
     "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tr", "td", "th"},
@@ -49,6 +55,9 @@ BESIDE = frozenset(
     "pagination popup promo promoted promotion recommended related replies reply search share sharing sidebar signup "
     "skip social sponsor sponsored subscribe subscription toolbar widget".split()
 )
+# A class with one of these tells what an element has or lacks; the id of a heading is an anchor.
+STATES = frozenset("has no not with without".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _NAMES = re.compile(r"(?i)\b(class|id|role|hidden|aria-hidden|style)\b\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
@@ -63,8 +72,9 @@ class Node(NamedTuple):
 
     tag: str
     path: int
-    beside: bool
+    beside: bool  # its own tag or names put it beside the article
     article: int  # 0 outside, 1 inside main, 2 inside article
+    head: bool = False  # head or title, or inside
 
 
 def host_of(url: str | None) -> str:
@@ -89,7 +99,10 @@ def _describe(tag: str, attributes: str, inside: int) -> tuple[str, bool]:
         elif name == "style":
             hidden = hidden or re.search(r"display\s*:\s*none", value, re.I) is not None
         elif name in ("class", "id", "role"):
-            names.update(w.lower() for w in _WORDS.findall(value))
+            for one in value.split() if name != "id" or tag not in HEADINGS else ():
+                words = {w.lower() for w in _WORDS.findall(one)}
+                if words.isdisjoint(STATES):
+                    names |= words
             if name == "class":
                 classes = value
     beside = hidden or tag in NEVER or (tag == "header" and not inside)
@@ -123,6 +136,8 @@ def walk(page: str) -> Iterator[tuple[str, object]]:
         found = _TOKEN.search(page, at)
         text = page[at : found.start() if found else len(page)]
         if text:
+            if stack[-1].tag == "head" and not text.isspace():
+                yield from close_to(len(stack) - 1)
             yield "text", html.unescape(text)
         if not found:
             break
@@ -137,6 +152,8 @@ def walk(page: str) -> Iterator[tuple[str, object]]:
                     depth -= 1
                 yield from close_to(depth)
             continue
+        if tag not in HEAD and stack[-1].head:
+            yield from close_to(next(depth for depth, node in enumerate(stack) if node.head))
         if tag in _RAW_END:
             end = _RAW_END[tag].search(page, at)
             at = end.end() if end else len(page)
@@ -153,7 +170,7 @@ def walk(page: str) -> Iterator[tuple[str, object]]:
         parent = stack[-1]
         shown, beside = _describe(tag, found[3] or "", parent.article)
         inside = max(parent.article, {"article": 2, "main": 1}.get(tag, 0) if not beside else 0)
-        node = Node(tag, _hash(f"{parent.path}>{shown}"), parent.beside or beside, inside)
+        node = Node(tag, _hash(f"{parent.path}>{shown}"), beside, inside, parent.head or tag in ("head", "title"))
         stack.append(node)
         open_tags[tag] += 1
         yield "open", node
@@ -180,23 +197,65 @@ def page_nodes(page: str) -> dict[int, tuple[int, int]]:
     return found
 
 
+class Branch:
+    """A part of a page that a tag or name puts beside the article, and its own text without that of inner branches."""
+
+    __slots__ = ("article", "low", "outer", "own", "path", "prose", "tag", "weight")
+
+    def __init__(self, node: Node, outer: int, low: bool) -> None:
+        self.tag, self.path, self.outer, self.low = node.tag, node.path, outer, low
+        self.own, self.weight, self.article, self.prose = 0, 0, False, False
+
+
+def _beside(branches: list[Branch]) -> list[bool]:
+    """Whether each branch is cut; they stand in the order of their starts, the page itself first.
+
+    The largest are tried first. A branch is cut if the text that surely stays weighs at least as much, or if the
+    tree finds it unimportant too and any text stays. Else its own text stays, and all branches of its path do.
+    """
+    cut, whole = [False] * len(branches), [b.own for b in branches]
+    for at in range(len(branches) - 1, 0, -1):
+        b = branches[at]
+        cut[at] = b.tag in NEVER and b.tag != "form" and not b.prose
+        if not cut[at]:
+            whole[b.outer] += whole[at]
+    rest, stay = branches[0].weight, set()
+    for at in sorted(range(1, len(branches)), key=lambda x: (-whole[x], x)):
+        b = branches[at]
+        held = whole[at] * (ARTICLE_WEIGHT if b.article else 1)
+        if cut[at] or cut[b.outer] or (b.path not in stay and (rest >= held or (b.low and rest))):
+            cut[at] = True
+        else:
+            stay.add(b.path)
+            rest += b.weight
+    for at in range(1, len(branches)):
+        cut[at] = cut[at] or cut[branches[at].outer]
+    return cut
+
+
 def main_text(page: str | None, low: frozenset[int] | set[int] = frozenset()) -> str:
     """Blocks of the main text, joined by an empty line; `low` holds the paths that the host's tree cuts.
 
-    If an article (else main) element has text, only such text counts, and
-    there the tree may cut containers, but not most of the text. If cutting by
-    the tree would leave nothing, only names decide.
+    A tag or name cuts a branch only if the rest of the page outweighs it. If
+    an article (else main) element has text, only such text counts, and there
+    the tree may cut containers, but not most of the text. If cutting by the
+    tree would leave nothing, only names decide.
     """
     if not page:
         return ""
-    blocks: list[tuple[str, int, bool]] = []  # text, place relative to an article, cut by the tree
+    found: list[tuple[str, int, bool, int]] = []  # text, place relative to an article, cut by the tree, branch
+    branches, inner = [Branch(Node("", 0, False, 0), 0, False)], [0]
     line: list[str] = []
     stack = [(Node("", 0, False, 0), False)]
 
     def flush() -> None:
         words = "".join(line).split()
-        if words and not stack[-1][0].beside:
-            blocks.append((" ".join(words), stack[-1][0].article, stack[-1][1]))
+        node, cut = stack[-1]
+        if words and not node.head:
+            found.append((" ".join(words), node.article, cut, inner[-1]))
+            size, own = len(found[-1][0]), branches[inner[-1]]
+            own.own += size
+            own.weight += size * (ARTICLE_WEIGHT if node.article else 1)
         line.clear()
 
     for event, value in walk(page):
@@ -206,15 +265,26 @@ def main_text(page: str | None, low: frozenset[int] | set[int] = frozenset()) ->
             line.append(" ")
         elif event in ("open", "close"):
             node = value
-            outer = stack[-2 if event == "close" and len(stack) > 1 else -1][0]
-            if node.tag not in INLINE or node.beside != outer.beside:
+            if node.tag not in INLINE or node.beside:
                 flush()
             if event == "open":
                 cut = stack[-1][1] or (node.path in low and (not node.article or node.tag in CONTAINERS))
+                if node.beside:
+                    branches.append(Branch(node, inner[-1], cut))
+                    inner.append(len(branches) - 1)
+                own = branches[inner[-1]]
+                own.prose = own.prose or node.tag in PROSE
+                own.article = own.article or (node.article > stack[-1][0].article)
                 stack.append((node, cut))
             else:
                 stack.pop()
+                if node.beside:
+                    own = branches[inner.pop()]
+                    outer = branches[inner[-1]]
+                    outer.prose, outer.article = outer.prose or own.prose, outer.article or own.article
     flush()
+    beside = _beside(branches)
+    blocks = [(text, place, cut) for text, place, cut, branch in found if not beside[branch]]
     for level in (2, 1):
         inside = [(text, cut) for text, place, cut in blocks if place >= level]
         if inside:
