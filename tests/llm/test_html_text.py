@@ -67,6 +67,19 @@ def test_tree_cuts_what_all_pages_share(spark):
     assert H.extract(pages(spark, *made)).count() == len(made) and H.extract(pages(spark, *made).limit(0)).count() == 0
 
 
+def test_teasers_do_not_replace_the_story_and_the_tree_cuts_inside_articles(spark):
+    teaser = "<article><p>Read this too</p></article>"
+    assert H.main_text(f"<div class=content><p>{STORY}</p></div>{teaser}") == f"{STORY}\n\nRead this too"
+    assert H.main_text(f"<p>Short</p><article><p>{STORY}</p></article>") == STORY
+    made = [
+        (i, "http://h.example/", f"<div class=content><p>Story {i} {STORY}</p></div>{teaser}") for i in range(8)
+    ] + [
+        (i, "http://g.example/", f"<article><h4>By the desk</h4><p>Story {i} <b>now</b> {STORY}</p></article>") for i in range(8, 16)
+    ]
+    got = {r.page_id: r.text for r in H.extract(pages(spark, *made)).collect()}
+    assert got == {i: f"Story {i} {STORY}" if i < 8 else f"Story {i} now {STORY}" for i in range(16)}
+
+
 def test_importance_is_the_entropy_of_what_a_node_shows(spark):
     made = [(i, "http://h.example/", f"<div>same</div><section>{i % 2}</section><p>{i}</p>") for i in range(4)]
     tree = {r.path: r for r in H.site_tree(pages(spark, *made)).collect()}

@@ -27,6 +27,8 @@ CONTENT_WEIGHT = 0.7
 LEAST_IMPORTANCE, LEAST_PAGES = 0.3, 5
 #: Characters inside an article or main element weigh so much more where a branch is weighed against the rest.
 ARTICLE_WEIGHT = 4
+#: Share of the important text from which article elements, or the main element, stand for the whole page.
+LEAST_SHARE = {2: 1 / 2, 1: 1 / 3}
 
 # Elements without text of their own, inside a line, without an end tag, and never main text.
 RAW = ("script", "style", "noscript", "template", "iframe", "textarea", "svg", "object", "canvas", "math", "select", "xmp")
@@ -44,7 +46,6 @@ SELF_CLOSING = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
     "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tr", "td", "th"},
 }
-CONTAINERS = frozenset("details div dl figure ol section table ul".split())
 #: An implied end tag never reaches beyond these.
 FENCES = frozenset("html body table ul ol dl div article section main td th nav aside header footer form".split())
 # Words in a class, id or role that name something beside the article.
@@ -236,10 +237,10 @@ def _beside(branches: list[Branch]) -> list[bool]:
 def main_text(page: str | None, low: frozenset[int] | set[int] = frozenset()) -> str:
     """Blocks of the main text, joined by an empty line; `low` holds the paths that the host's tree cuts.
 
-    A tag or name cuts a branch only if the rest of the page outweighs it. If
-    an article (else main) element has text, only such text counts, and there
-    the tree may cut containers, but not most of the text. If cutting by the
-    tree would leave nothing, only names decide.
+    A tag or name cuts a branch only if the rest of the page outweighs it. The
+    tree cuts everywhere, but not all of a page, nor most of articles that
+    outweigh what is left outside. If articles (else main) hold LEAST_SHARE of what is then left,
+    only their text counts.
     """
     if not page:
         return ""
@@ -268,7 +269,7 @@ def main_text(page: str | None, low: frozenset[int] | set[int] = frozenset()) ->
             if node.tag not in INLINE or node.beside:
                 flush()
             if event == "open":
-                cut = stack[-1][1] or (node.path in low and (not node.article or node.tag in CONTAINERS))
+                cut = stack[-1][1] or (node.path in low and node.tag not in INLINE)
                 if node.beside:
                     branches.append(Branch(node, inner[-1], cut))
                     inner.append(len(branches) - 1)
@@ -285,14 +286,16 @@ def main_text(page: str | None, low: frozenset[int] | set[int] = frozenset()) ->
     flush()
     beside = _beside(branches)
     blocks = [(text, place, cut) for text, place, cut, branch in found if not beside[branch]]
-    for level in (2, 1):
-        inside = [(text, cut) for text, place, cut in blocks if place >= level]
-        if inside:
-            kept = [text for text, cut in inside if not cut]
-            whole = [text for text, _ in inside]
-            return "\n\n".join(kept if 2 * sum(map(len, kept)) >= sum(map(len, whole)) else whole)
-    kept = [text for text, _, cut in blocks if not cut]
-    return "\n\n".join(kept or [text for text, _, _ in blocks])
+    own = sum(len(text) for text, place, _ in blocks if place)
+    left = [sum(len(text) for text, place, cut in blocks if not cut and bool(place) == inside) for inside in (False, True)]
+    spared = 2 * left[1] < own >= left[0]
+    kept = [(text, place) for text, place, cut in blocks if not cut or (place and spared)]
+    kept = kept or [(text, place) for text, place, _ in blocks]
+    for level, share in LEAST_SHARE.items():
+        inside = [text for text, place in kept if place >= level]
+        if inside and sum(map(len, inside)) >= share * sum(len(text) for text, _ in kept):
+            return "\n\n".join(inside)
+    return "\n\n".join(text for text, _ in kept)
 
 
 def site_tree(pages: DataFrame) -> DataFrame:
