@@ -1,6 +1,10 @@
+import base64
 import hashlib
+import random
 import re
 
+import pytest
+
 from tsrisk.llm import secrets
 from tsrisk.llm.queries import QUERIES
 
@@ -46,6 +50,16 @@ def test_novel_strings_stand_out_from_their_surroundings():
     assert secrets.novelty("access_token_client_id", "") < 0.6 < secrets.novelty("q8Zr2LxV0pT7mKcW4sYd9GhJ", "")
 
 
+@pytest.mark.parametrize("size", [64, 96, 128, 256, 1366, 2730, 20_000])
+def test_long_random_strings_are_novel_whatever_their_alphabet(size):
+    draw = random.Random(size)
+    for value in ("".join(draw.choices("0123456789ABCDEF", k=size)), base64.b64encode(draw.randbytes(size * 3 // 4)).decode()):
+        for text in (f"SECRET_KEY = {value}", f"private key: {value}\n"):
+            at = text.index(value)
+            assert ("novel", at, at + len(value)) in secrets.all_spans(text) or ("assign", 0, len(text.rstrip())) in secrets.all_spans(text)
+    assert secrets.novelty("kitchen-1/" * 200, "") < 0.2
+
+
 def test_redaction_keeps_rows_and_columns(docs_of):
     df = docs_of((1, "x password=b7db7aa4a5fcc78305 y", "en", "s"), (2, None), (3, "clean"), (3, "clean"))
     got = secrets.redact(df)

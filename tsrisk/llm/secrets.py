@@ -39,6 +39,8 @@ REACH, LEAST_NOVEL = 32, 16
 SURROUNDINGS = 512
 #: Marginal compressed bytes per byte from which a string counts as novel.
 NOVELTY = 0.8
+#: Bytes measured at a time: from 64 on, zstandard codes literals by their frequency and any small alphabet looks cheap.
+PIECE = 48
 # Identifiers and phrases that are no secrets.
 IDENTIFIERS = " ".join(
     (
@@ -70,15 +72,22 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def novelty(candidate: str, around: str) -> float:
-    """Bytes that the candidate adds to a frame primed with identifiers and surroundings, per byte."""
-    primed = zstandard.ZstdCompressionDict(IDENTIFIERS + b" " + around.encode("utf-8", "replace"), zstandard.DICT_TYPE_RAWCONTENT)
-    frame = zstandard.ZstdCompressor(level=9, dict_data=primed, write_content_size=False)
-    raw = candidate.encode()
-    return (len(frame.compress(raw)) - len(frame.compress(b""))) / len(raw)
+    """Bytes that the candidate adds to frames primed with identifiers, surroundings and what precedes, per byte.
+
+    It is measured in pieces whose literals are stored as they are, so neither a small alphabet nor length lowers
+    the cost of a random string.
+    """
+    raw, known, added = candidate.encode(), IDENTIFIERS + b" " + around.encode("utf-8", "replace"), 0
+    for at in range(0, len(raw), PIECE):
+        before = raw[max(0, at - SURROUNDINGS) : at]
+        primed = zstandard.ZstdCompressionDict(known + before, zstandard.DICT_TYPE_RAWCONTENT)
+        frame = zstandard.ZstdCompressor(level=9, dict_data=primed, write_content_size=False)
+        added += len(frame.compress(raw[at : at + PIECE])) - len(frame.compress(b""))
+    return added / len(raw)
 
 
 def novel_spans(text: str, taken: Sequence[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """Novel strings near sensitive words that no span in `taken` touches."""
+    """Novel strings near sensitive words that no span in `taken` covers."""
     low = text.lower()
     if not any(word in low for word in (*SENSITIVE, "key")):
         return []
@@ -93,7 +102,7 @@ def novel_spans(text: str, taken: Sequence[tuple[str, int, int]]) -> list[tuple[
                 and whole.start() not in found
                 and any(c.isdigit() for c in value)
                 and any(c.isalpha() for c in value)
-                and not any(a < whole.end() and whole.start() < b for _, a, b in taken)
+                and not any(a <= whole.start() and whole.end() <= b for _, a, b in taken)
             ):
                 around = text[max(0, whole.start() - SURROUNDINGS) : whole.start()] + text[whole.end() : whole.end() + SURROUNDINGS]
                 if novelty(value, around) >= NOVELTY:
