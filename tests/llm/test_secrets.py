@@ -60,6 +60,36 @@ def test_long_random_strings_are_novel_whatever_their_alphabet(size):
     assert secrets.novelty("kitchen-1/" * 200, "") < 0.2
 
 
+def novel(text):
+    return [text[a:b] for k, a, b in secrets.all_spans(text) if k == "novel"]
+
+
+@pytest.mark.parametrize("text", [
+    "AccountKey={0};", "storageKey: {0}", "masterkey={0}", "{0} is the token", "The key of the second account that all of us share in the "
+    "office is {0}", "Password:\n\n  {0}", "{0}\nis the access key", "db.pwd = '{0}'",
+])
+@pytest.mark.parametrize("value", ["q8Zr2LxV0pT7mKcW4sYd9GhJ", "qZrLxVpTmKcWsYdGhJbN", "x7Kq9Lp2Wz4T", "Zm9vYmFyQmF6UXV4MTIzNDU2Nzg5MA=="])
+def test_candidates_anywhere_near_a_sensitive_word(text, value):
+    assert novel(text.format(value)) == [value]
+
+
+def test_short_letters_count_when_bound_and_words_never_do():
+    assert novel("masterkey=xkqzjvbwmpfh") == ["xkqzjvbwmpfh"]
+    assert novel("The session on internationalization of maximum-likelihood estimation, 2024-01-15, from 192.168.100.200, is a key-finding.") == []
+
+
+@pytest.mark.parametrize("end", ["-----END RSA PRIVATE KEY-----\nafter it", ""])
+def test_a_private_key_goes_whole(docs_of, end):
+    draw = random.Random(3)
+    lines = [base64.b64encode(draw.randbytes(48)).decode() for _ in range(25)]
+    body = "\n".join(lines)
+    text = f"see\n-----BEGIN RSA PRIVATE KEY-----\n{body}\n{end}"
+    assert novel(text) == [body]
+    (row,) = secrets.redact(docs_of((1, text))).collect()
+    assert row.text == text.replace(body, "[SECRET]")
+    assert novel("-----BEGIN PRIVATE KEY----- and -----END PRIVATE KEY----- stand around it") == []
+
+
 def test_redaction_keeps_rows_and_columns(docs_of):
     df = docs_of((1, "x password=b7db7aa4a5fcc78305 y", "en", "s"), (2, None), (3, "clean"), (3, "clean"))
     got = secrets.redact(df)

@@ -8,7 +8,9 @@ surroundings cost a few bytes, a random string costs nearly its length, and such
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator, Sequence
+from itertools import accumulate
 
 import pyarrow as pa
 import zstandard
@@ -31,10 +33,24 @@ SENSITIVE = (
     "access", "apikey", "auth", "bearer", "cert", "cookie", "credential", "jwt", "license", "passphrase", "password",
     "private", "pwd", "salt", "secret", "session", "sign", "token",
 )
-SENSITIVE_WORD = re.compile("(?ai:" + "|".join(SENSITIVE) + r"|(?<![a-z])key)")
+SENSITIVE_WORD = re.compile(
+    "(?ai:" + "|".join(SENSITIVE) + r"|(?<![a-z])key|key(?=s?[\"']?[\x20\t]*[:=]))|(?<=[a-z0-9])Key(?![a-z])", re.A
+)
 TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=.~-])[A-Za-z0-9+/_=~-][A-Za-z0-9+/_=.~-]*")
-#: A string starts at most so far after its sensitive word, and has at least so many characters.
-REACH, LEAST_NOVEL = 32, 16
+#: A string stands in the line of a sensitive word, the line before, or the lines up to so far after it.
+REACH = 32
+#: It has so many characters at least; those below LEAST_PLAIN need letters, and digits unless they follow = or :.
+LEAST_NOVEL, LEAST_PLAIN = 12, 16
+#: The head of a private key, its end, and lines of key text where the end is missing.
+PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?)-----")
+PEM_LINES = re.compile(r"(?:(?:\s|\\[nr])*+[A-Za-z0-9+/=]{12,}+)++")
+# The letter pairs that make up most of plain words, and their shares from which strings read as words.
+PAIRS = frozenset(
+    "ac ad ag al am an ar as at be bl ca ce ch ci co ct de di ea ec ed ee el em en er es et ge ha he hi ho ic ie il in io "
+    "ir is it la le li ll lo ma me mo na nc nd ne ng ni no ns nt ol om on op or os ot ou pe ph po pr ra re ri ro rs rt sa "
+    "se si so ss st su ta te th ti to tr ty ul un ur us ut ve vi".split()
+)
+LEAST_PAIRS, LEAST_PAIRS_WITH_DIGITS = 0.4, 0.6
 #: Characters around a string that join the dictionary.
 SURROUNDINGS = 512
 #: Marginal compressed bytes per byte from which a string counts as novel.
@@ -86,29 +102,77 @@ def novelty(candidate: str, around: str) -> float:
     return added / len(raw)
 
 
+def reads_as_words(value: str) -> bool:
+    """Whether a string is a compound of letters only, or has mostly the letter pairs of plain words."""
+    low, parts = value.lower(), re.split("[-_./]", value)
+    digits = any(c.isdigit() for c in value)
+    if not digits and len(parts) > 1 and max(map(len, parts)) < LEAST_PLAIN:
+        return True
+    pairs = [low[k : k + 2] for k in range(len(low) - 1) if low[k : k + 2].isalpha()]
+    least = LEAST_PAIRS_WITH_DIGITS if digits and (len(parts) == 1 or low != value) else LEAST_PAIRS
+    return 2 * len(pairs) >= len(value) - len(parts) and sum(p in PAIRS for p in pairs) >= least * len(pairs)
+
+
+def key_blocks(text: str) -> list[tuple[str, int, int]]:
+    """The text of each private key, from its BEGIN line to its END line, or as far as its lines go."""
+    found, at = [], 0
+    none: set[str] = set()  # labels without an end from here on
+    while head := PEM.search(text, at):
+        at = head.end()
+        end = -1 if head[1] in none else text.find(f"-----END {head[1]}-----", at)
+        if end < 0:
+            none.add(head[1])
+            lines = PEM_LINES.match(text, at)
+            end = lines.end() if lines else at
+        body = text[at:end]
+        longest = max(TOKEN.findall(body), key=len, default="")
+        if len(longest) >= LEAST_NOVEL and not reads_as_words(longest):
+            start = at + len(body) - len(body.lstrip())
+            found.append(("novel", start, at + len(body.rstrip())))
+            at = end
+    return found
+
+
+def near_lines(text: str) -> Iterator[tuple[int, int]]:
+    """Places of the lines with a sensitive word and of those next to them; no place comes twice."""
+    at = done = 0
+    while word := SENSITIVE_WORD.search(text, at):
+        start = text.rfind("\n", done, word.start()) + 1 or done
+        start = (text.rfind("\n", done, start - 1) + 1 or done) if start > done else done
+        end = text.find("\n", word.end())
+        after = text.find("\n", end + REACH) if end >= 0 else -1
+        yield start, len(text) if after < 0 else after
+        if end < 0:
+            return
+        at, done = end, len(text) if after < 0 else after
+
+
 def novel_spans(text: str, taken: Sequence[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """Novel strings near sensitive words that no span in `taken` covers."""
+    """Private keys, and novel strings near sensitive words, that no span in `taken` covers."""
     low = text.lower()
     if not any(word in low for word in (*SENSITIVE, "key")):
         return []
-    found: dict[int, tuple[str, int, int]] = {}
-    for word in SENSITIVE_WORD.finditer(text):
-        start = TOKEN.search(text, word.end(), word.end() + REACH + 1)
-        while start:
-            whole = TOKEN.match(text, start.start())
-            value = whole[0]
-            if (
-                len(value) >= LEAST_NOVEL
-                and whole.start() not in found
-                and any(c.isdigit() for c in value)
-                and any(c.isalpha() for c in value)
-                and not any(a <= whole.start() and whole.end() <= b for _, a, b in taken)
-            ):
-                around = text[max(0, whole.start() - SURROUNDINGS) : whole.start()] + text[whole.end() : whole.end() + SURROUNDINGS]
-                if novelty(value, around) >= NOVELTY:
-                    found[whole.start()] = ("novel", *whole.span())
-            start = TOKEN.search(text, whole.end(), word.end() + REACH + 1)
-    return [found[at] for at in sorted(found)]
+    found = key_blocks(text)
+    covers = sorted((a, b) for _, a, b in [*taken, *found])
+    starts, ends = [a for a, _ in covers], list(accumulate((b for _, b in covers), max))
+    for first, last in near_lines(text):
+        for whole in TOKEN.finditer(text, first, last):
+            # Of name=value the value counts; what ends in = is padding.
+            start, end = whole.start() + whole[0].rstrip("=").rfind("=") + 1, whole.end()
+            value = text[start:end]
+            if len(value) < LEAST_NOVEL or reads_as_words(value):
+                continue
+            letters, digits = sum(c.isalpha() for c in value), sum(c.isdigit() for c in value)
+            bound = text[max(0, start - 4) : start].rstrip(" \"'")[-1:] in ("=", ":")
+            if len(value) < LEAST_PLAIN and (letters < 4 or not (digits or bound)):
+                continue
+            at = bisect_right(starts, start)
+            if at and ends[at - 1] >= end:
+                continue
+            around = text[max(0, start - SURROUNDINGS) : start] + text[end : end + SURROUNDINGS]
+            if novelty(value, around) >= NOVELTY:
+                found.append(("novel", start, end))
+    return sorted(found)
 
 
 def all_spans(text: str | None) -> list[tuple[str, int, int]]:
