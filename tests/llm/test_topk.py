@@ -48,3 +48,12 @@ def test_query_blocks(spark, monkeypatch):
 def test_query(spark, folder):
     rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{folder}/embeddings.parquet").collect()]
     assert got(QUERIES["op3_top_k"](spark, folder)) == brute(rows, 5, lambda i: i % 50 == 0)
+
+
+def test_scores_beyond_the_floats_reach_their_own_cutoff(spark):
+    big = 7_812_500.0  # 2 * 10^9 after scaling
+    rows = [(0, [big, 1 / 256]), (1, [big, 300 / 256]), (2, [big, 299 / 256]), (3, [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for k in (1, 2):
+        got = topk.top_k(df, F.col("vec_id") == 0, k).orderBy("rank").collect()
+        assert [(r.vec_id, r.score) for r in got] == [(1, 4 * 10**18 + 300), (2, 4 * 10**18 + 299)][:k]

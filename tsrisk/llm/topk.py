@@ -61,6 +61,12 @@ def _partials(rows: np.ndarray, queries: np.ndarray) -> list[np.ndarray]:
     ]
 
 
+def _at_most(score: int) -> float:
+    """The largest float that is not above a score, so that no bound of floats drops the score it came from."""
+    near = float(score)
+    return near if int(near) <= score else float(np.nextafter(near, -np.inf))
+
+
 class _Best:
     """The k best (score, smaller id) of each query in one task."""
 
@@ -72,7 +78,7 @@ class _Best:
         held = self.held[query] + [(-int(s), int(i)) for s, i in zip(scores, ids)]
         self.held[query] = sorted(held)[: self.k]
         if len(self.held[query]) == self.k:
-            self.least[query] = -self.held[query][-1][0]
+            self.least[query] = _at_most(-self.held[query][-1][0])
 
     def batch(self, numbers: np.ndarray) -> pa.RecordBatch:
         found = [(int(n), i, min(max(-s, _I64.min), _I64.max)) for n, own in zip(numbers, self.held) for s, i in own]
@@ -166,7 +172,7 @@ def top_k(rows: DataFrame, is_query: Column, k: int = 5, vector: str = "embeddin
         cutoffs = dict(heads.select("query", "score").collect())  # one row for each query of the block
         for size_block in block.values():
             # Without k other rows yet there is no cutoff; the least number lets everything through.
-            size_block["cutoff"] = np.array([cutoffs.get(int(n), _I64.min) for n in size_block["number"]], np.float64)
+            size_block["cutoff"] = np.array([_at_most(int(cutoffs.get(int(n), _I64.min))) for n in size_block["number"]])
             size_block["cutoff"][size_block["cutoff"] <= -(2.0**62)] = -np.inf
         shared = spark.sparkContext.broadcast(block)
 
