@@ -70,3 +70,29 @@ reached AS (
   SELECT r.doc_id, e.b FROM reached r JOIN edges e ON r.other = e.a)
 SELECT r.doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, min(other) AS component_id, r.doc_id = min(other) AS kept
 FROM reached r LEFT JOIN sizes USING (doc_id) GROUP BY r.doc_id"""
+
+_TERMS = rf"coalesce(regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), [])"
+
+ORACLE["op13_ranked_search"] = f"""WITH
+texts AS (SELECT row_number() OVER () AS place, doc_id, {_TERMS} AS terms FROM documents),
+lengths AS (SELECT place, doc_id, len(terms)::BIGINT AS n FROM texts WHERE len(terms) > 0),
+corpus AS (SELECT count(*)::BIGINT AS big_n, sum(n)::BIGINT AS big_l FROM lengths),
+items AS (SELECT row_number() OVER () AS item, item_id, {_TERMS} AS terms FROM benchmark),
+asked AS (
+  SELECT item, term, count(*)::BIGINT AS repeats FROM (SELECT item, unnest(terms) AS term FROM items) GROUP BY ALL),
+held AS (
+  SELECT place, term, count(*)::BIGINT AS tf FROM (SELECT place, unnest(terms) AS term FROM texts)
+  WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+weights AS (
+  SELECT term, floor(1000 * ln((2 * any_value(big_n) + 2) / (2 * count(*) + 1)))::BIGINT AS w
+  FROM held, corpus GROUP BY term),
+factors AS (SELECT place, doc_id, 100 - 25 + (25 * n * big_n) // big_l AS m FROM lengths, corpus),
+scores AS (
+  SELECT item, doc_id, place, sum(repeats * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+  FROM asked JOIN held USING (term) JOIN weights USING (term) JOIN factors USING (place)
+  GROUP BY ALL),
+ranked AS (
+  SELECT item, doc_id, score,
+         (row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST))::INTEGER AS rank
+  FROM scores WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked JOIN items USING (item) WHERE rank <= 20"""

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tsrisk.llm import (
-    decontaminate, html_text, language_id, lm_scoring, mixing, near_dedup, pii, secrets, token_counts, topk,
+    decontaminate, html_text, language_id, lm_scoring, mixing, near_dedup, pii, ranked_search, secrets, token_counts,
+    topk,
 )
 from tsrisk.llm.common import remainder, table
 
@@ -99,3 +100,8 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
