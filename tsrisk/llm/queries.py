@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tsrisk.llm import (
     decontaminate, html_text, language_id, lm_scoring, mixing, near_dedup, pii, ranked_search, secrets, token_counts,
-    topk,
+    topk, whitening,
 )
 from tsrisk.llm.common import remainder, table
 
@@ -105,3 +105,8 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
