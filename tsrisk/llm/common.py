@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import io
 import uuid
 import zipfile
@@ -97,6 +98,12 @@ def ship(df: DataFrame) -> None:
     _shipped.add(application)
 
 
+def release(df: DataFrame) -> None:
+    """Let Spark's cleaner take the shuffle files of steps whose results are staged; it waits for a collection on the driver."""
+    gc.collect()
+    df.sparkSession._jvm.System.gc()
+
+
 def table(spark, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

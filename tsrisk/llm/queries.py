@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tsrisk.llm import (
-    decontaminate, html_text, language_id, lm_scoring, mixing, near_dedup, pii, ranked_search, secrets, token_counts,
-    topk, whitening,
+    decontaminate, html_text, language_id, lm_scoring, mixing, near_dedup, pii, ranked_search, secrets, suffix_dedup,
+    token_counts, topk, whitening,
 )
 from tsrisk.llm.common import remainder, table
 
@@ -110,3 +110,9 @@ def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
