@@ -3,7 +3,7 @@
 Two equal windows of LENGTH bytes share the smallest hash of their CORE-byte substrings, at the same place. Every
 run of windows with one such place is a string; a string whose smallest hash occurs nowhere else has no repeated
 window and goes no further, and equal strings are one string with a count. Strings that share their smallest hash are
-cut in two and matched on longer cores, so that groups stay small whatever a line's frequency; what still differs is
+cut in two and matched on longer cores, until groups are small whatever a line's frequency; what still differs is
 brought together in shards, whole groups each, whose suffixes `induced.suffix_order` sorts. A window is repeated where a
 common prefix of neighbours reaches LENGTH, or where its string has a count above one.
 """
@@ -28,9 +28,9 @@ CORE = 56
 #: Bytes of text whose windows are hashed at a time.
 PIECE = 1 << 20
 #: Bytes of strings that a task sorts at a time, in whole groups.
-SHARD_BYTES = 8 << 20
-#: Strings that a group may hold when it is sorted; larger ones are cut again.
-GROUP_STRINGS = 512
+SHARD_BYTES = 4 << 20
+#: Strings that a group may hold when it is sorted, and bytes that their windows may have beside the core; others are cut again.
+GROUP_STRINGS, SLACK = 512, 36
 
 _PLACE = np.uint64((1 << 21) - 1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -206,7 +206,7 @@ def _ranges(parts: DataFrame) -> DataFrame:
     mixed = strings.join(groups.filter(F.col("strings") > 1).select("g", "strings"), "g")
     chosen = mixed.select("g", "t", "total", "strings", "rep.h", "rep.s", "rep.first")
     bodies = stage(parts.drop("n").join(chosen, ["g", "t", "h", "s", "first"]).drop("h", "s", "first"), "sd-bodies")
-    large = F.col("strings") > GROUP_STRINGS
+    large = (F.col("strings") > GROUP_STRINGS) | (F.col("slack") > SLACK)
     size, again = bodies.agg(F.sum(F.when(~large, F.length("body"))), F.count(F.when(large, 1))).first()
     found = []
     if size:
