@@ -657,6 +657,8 @@ ORACLE["raw_line_accounts"] = """SELECT outcome, sum(n)::BIGINT AS lines FROM (
   SELECT CASE event_id % 7 WHEN 0 THEN 'set aside' WHEN 2 THEN 'set aside' WHEN 4 THEN 'dropped'
          WHEN 1 THEN CASE WHEN event_id % 2 = 0 THEN 'clean' ELSE 'dropped' END ELSE 'clean' END AS outcome,
          CASE WHEN event_id % 7 = 2 THEN 2 ELSE 1 END AS n FROM events) GROUP BY outcome"""
+ORACLE["raw_records"] = f"""SELECT event_id, user_id, md5(note) AS digest, len(note) - len(replace(note, chr(10), '')) + 1 AS n_lines
+FROM (SELECT event_id, user_id, {rawtext.NOTE} AS note FROM events)"""
 ORACLE["preview_lines"] = """SELECT substr(line, 1, 1000) AS line FROM (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS place
   FROM documents) ORDER BY doc_id, place LIMIT 5"""

@@ -250,7 +250,7 @@ def raw_line_accounts(spark, folder):
         lines = events.where(f"event_id % 2 = {order}").select(F.explode(F.expr(rawtext.raw_lines(order))).alias(header))
         # One column, no quotes and a separator that never occurs: the lines are written as they are.
         lines.write.csv(f"{path}/{order}", header=True, quote="", sep="\u0001", escape="\u0002")
-    raw = delimited.read_raw(spark, f"{path}/*")
+    raw = delimited.read_raw(spark, f"{path}/*", multiline=False)
     stamped = C.parse_ts(F.col("Date")).isNotNull()
     outcome = F.when(stamped, "clean").otherwise("dropped").alias("outcome")
     kept = delimited.usable_rows(raw).select(outcome).unionByName(
@@ -259,6 +259,21 @@ def raw_line_accounts(spark, folder):
     return kept.groupBy("outcome").agg(F.count(F.lit(1)).alias("lines"))
 
 
+@query
+def raw_records(spark, folder):
+    """Write the events with notes of up to many lines, blank ones and quotes among them, and read them back split by split."""
+    path = new_path(spark, "records")
+    rows = read_table(spark, folder, "events").select(F.expr(rawtext.RECORD).alias("value"))
+    header = spark.createDataFrame([("ID,Note,User",)], "value string")
+    header.unionByName(rows).coalesce(1).write.text(path)
+    raw = delimited.usable_rows(delimited.read_raw(spark, path))
+    note = F.col("Note")
+    return raw.select(
+        F.col("ID").cast("bigint").alias("event_id"), F.col("User").cast("bigint").alias("user_id"), F.md5(note).alias("digest"),
+        (F.length(note) - F.length(F.replace(note, F.lit("\n"), F.lit(""))) + 1).cast("bigint").alias("n_lines"),
+    )
+
+
 @query
 def parse_timestamps(spark, folder):
     raw = raw_text(spark, folder)

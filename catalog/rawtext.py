@@ -67,3 +67,13 @@ def raw_lines(order: int) -> str:
         f"WHEN 3 THEN array({row(good, long)}) WHEN 4 THEN array({row("'no date'", 'event_type')}) "
         f"ELSE array({row(good, 'event_type')}) END"
     )
+
+
+#: The note of an event: one line, or several with blanks, separators, quotes and empty lines among them.
+NOTE = (
+    "CASE event_id % 5 WHEN 0 THEN concat(event_type, chr(10), 'more, of ', user_id) "
+    "WHEN 1 THEN concat('\"', event_type, '\"', chr(10), chr(10), 'a \"word\"', chr(10), ',end') "
+    "WHEN 2 THEN concat('x', repeat(concat(chr(10), event_type, ','), cast(event_id % 97 AS int)), 'y') "
+    "WHEN 3 THEN concat('5\" ', event_type) ELSE event_type END"
+)
+RECORD = f"""concat(event_id, ',"', replace({NOTE}, '"', '""'), '",', user_id)"""

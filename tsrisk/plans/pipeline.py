@@ -29,7 +29,7 @@ class Settings:
     areas: tuple[int, ...] = N.VALID_AREAS
     top_types: int = N.TOP_TYPES
     start: dt.date | None = N.FIRST_DAY
-    multiline: bool = False
+    multiline: bool | None = None
     min_group: int = N.MIN_GROUP
     min_slot: int = N.MIN_SLOT
     trees: int = 250

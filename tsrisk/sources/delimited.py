@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tsrisk.names import CORRUPT, raw_schema
+from tsrisk.sources.records import records
 
 # --- fixed values: the delimiters that are tried ---------------------------
 DELIMITERS = (",", "\t", "|", ";")
@@ -48,16 +49,17 @@ def _names(header: str, sep: str) -> list[str]:
     return next(csv.reader([header], delimiter=sep), [])
 
 
-def read_raw(spark: SparkSession, path: str, columns=None, sep: str = ",", multiline: bool = False) -> DataFrame:
+def read_raw(spark: SparkSession, path: str, columns=None, sep: str = ",", multiline: bool | None = None) -> DataFrame:
     """Scan delimited text with a header; every column is text.
 
     Files are read by their own header, so their columns may stand in any
     order; a header with other names is an error. `columns` renames the first
     header's columns by position. Short rows are padded with NULL. A row that
-    does not fit, or whose quotes do not close on its line, keeps its line in
+    does not fit, or whose quotes do not close, keeps its text in
     `_corrupt_record` for `usable_rows` and `quarantined_rows` to tell apart.
-    Line breaks inside quotes need `multiline`, which makes a file one task, so
-    it is off.
+    Quoted fields may hold line breaks; `records` finds them split by split in a
+    pass of its own. `multiline=False` spares that pass and takes each line for
+    a row; `True` leaves it to Spark's reader, which makes a file one task.
     """
     by_header = headers(spark, path, sep)
     if not by_header:
@@ -76,7 +78,8 @@ def read_raw(spark: SparkSession, path: str, columns=None, sep: str = ",", multi
             reader = spark.read.options(**_options(sep), header=True, multiLine=True, columnPruning=False)
             rows = reader.schema(schema).csv(files)
         else:
-            lines = spark.read.text(files).where((F.trim("value") != "") & (F.ltrim("value", F.lit("\ufeff")) != header))
+            text = records(spark, files, sep) if multiline is None else spark.read.text(files)
+            lines = text.where((F.trim("value") != "") & (F.ltrim("value", F.lit("\ufeff")) != header))
             rows = lines.select(F.from_csv("value", _ddl(schema), _options(sep)).alias("row"), "value")
             broken = F.coalesce(F.col(f"row.{CORRUPT}"), F.when(_quotes(F.col("value")) % 2 == 1, F.col("value")))
             rows = rows.select(*[F.col(f"row.`{n}`") for n in names], broken.alias(CORRUPT))
@@ -109,7 +112,7 @@ def usable_rows(raw: DataFrame, sep: str = ",") -> DataFrame:
 
 
 def quarantined_rows(raw: DataFrame, sep: str = ",") -> DataFrame:
-    """The lines with more fields than the header, and those with an open quote."""
+    """The records with more fields than the header, and those with an open quote."""
     return raw.where(_unusable(raw, sep)).select(F.col(CORRUPT).alias("line"))
 
 
