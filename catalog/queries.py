@@ -95,9 +95,11 @@ class Counted:
         return features.category_codes(self.top_types())
 
     def gbt(self):
-        """The boosted-tree model and its test days; queries of one session share the fit."""
+        """The boosted-tree model and its test days; queries of one session share the fit while the files stay the same."""
         spark = self.incidents.sparkSession
-        key = (spark.sparkContext.applicationId, *self.incidents.inputFiles())
+        files = spark.read.format("binaryFile").load(list(self.incidents.inputFiles()))
+        states = files.select("path", F.col("modificationTime").cast("string"), "length").orderBy("path").collect()
+        key = (spark.sparkContext.applicationId, *map(tuple, states))
         if key not in _FITTED:
             table = stage(boosted.model_table(features.lag_features(self.dense), self.codes), "model-table")
             train, test = boosted.train_test(table, self.end)

@@ -7,10 +7,13 @@ import statistics
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import functions as F
 
 from tsrisk.names import AREA, COUNT, DATE, DAY, TYPE
-from tsrisk.operators import arima, boosted, counts, features, forecast, metrics, panel, risk
+from tsrisk.functions.dates import with_date_parts
+from tsrisk.operators import arima, boosted, counts, features, forecast, forest, metrics, panel, risk
 from tsrisk.operators.centroids import centroids, exact_medians
 
 START = dt.date(2020, 1, 1)
@@ -297,8 +300,6 @@ def test_recursive_forecast_feeds_predictions_back(spark):
     days, end = 160, day(159)
     frames = [series(spark, [(a + i) % 7 for i in range(days)], **{AREA: a, TYPE: t}) for a, t in ((1, "A"), (2, "B"))]
     dense = frames[0].unionByName(frames[1])
-    from tsrisk.functions.dates import with_date_parts
-
     dense = with_date_parts(dense, DATE)
     codes = features.category_codes(dense)
     table = boosted.model_table(features.lag_features(dense), codes)
@@ -323,6 +324,26 @@ def test_recursive_forecast_feeds_predictions_back(spark):
     assert got == {(a, s): history[a][days + s - 1] for a in (1, 2) for s in range(1, 8)}
 
 
+def test_forest_as_data_predicts_like_the_model(spark):
+    rows = spark.range(3000).selectExpr("id % 7 AS a", "id % 11 - 5.0 AS b", "rand(3) AS c", "cast(id % 7 * 2 + id % 11 AS double) AS label")
+    table = VectorAssembler(inputCols=["a", "b", "c"], outputCol="features").transform(rows).persist()
+    model = GBTRegressor(maxIter=20, maxDepth=5, stepSize=0.1, seed=1).fit(table)
+    trees = forest.forest_table(spark, model).select(F.struct("*")).scalar()
+    own = forest.walk(F.col("forest"), F.array(*[F.col(c).cast("double") for c in "abc"]))
+    found = model.transform(table).withColumn("forest", trees).select((F.col("prediction") - own).alias("d"), "prediction")
+    assert found.agg(F.max(F.abs("d"))).first()[0] < 1e-9
+    assert found.select("prediction").distinct().count() > 20
+
+
+def test_recursive_forecast_is_one_plan(spark):
+    days, end = 60, day(59)
+    dense = with_date_parts(series(spark, [i % 5 for i in range(days)], **{AREA: 1, TYPE: "A"}), DATE)
+    codes = features.category_codes(dense)
+    model = boosted.fit_gbt(boosted.model_table(features.lag_features(dense), codes), max_iter=2, max_depth=2)
+    plan = boosted.recursive_forecast(model, dense, codes, end)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("aggregate(") >= 1 and "UDF" not in plan
+
+
 def test_rollups_keep_the_total(spark):
     detail = spark.createDataFrame(
         [(day(1), 1, 1, "A", 3), (day(1), 1, 1, "B", 4), (day(2), 2, 2, "A", 5)],

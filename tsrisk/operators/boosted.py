@@ -13,13 +13,14 @@ from tsrisk.functions.dates import DATE_PARTS, date_part
 from tsrisk.names import AREA, COUNT, DATE, FORECAST_DAYS, PREDICTED, STEP, TEST_DAYS, TYPE
 from tsrisk.operators.features import FEATURES, chrono_split, series_arrays
 from tsrisk.operators.forecast import array_sum, last_n
+from tsrisk.operators.forest import bind, forest_table, walk
 from tsrisk.operators.metrics import ACTUAL
-from tsrisk.session import ensure_checkpoint_dir, stage
+from tsrisk.session import ensure_checkpoint_dir
 
 CODE = f"{TYPE}_code"
 LABEL = "boosted"
-# Steps between two cuts of the lineage.
-CUT_EVERY = 5
+#: Rows of the model table for each task of the fit.
+TASK_ROWS = 100_000
 
 
 def model_table(features: DataFrame, codes: DataFrame) -> DataFrame:
@@ -42,11 +43,13 @@ def fit_gbt(
     """Gradient-boosted regression on the model table.
 
     The rows are partitioned by series and sorted, so sampling does not depend
-    on how the input happened to be split.
+    on how the input happened to be split. Their number, and not the session, decides on
+    the tasks: a fit is some thousand short jobs, and each waits for its slowest task to start.
     """
     ensure_checkpoint_dir(table.sparkSession)
     rows = table.select(*FEATURES, DATE, F.col(COUNT).cast("double").alias("label"))
-    rows = rows.repartition(AREA, CODE).sortWithinPartitions(AREA, CODE, DATE)
+    parts = max(1, -(-table.count() // TASK_ROWS))
+    rows = rows.repartition(parts, AREA, CODE).sortWithinPartitions(AREA, CODE, DATE)
     trees = GBTRegressor(
         featuresCol="features",
         labelCol="label",
@@ -86,19 +89,24 @@ def _spread(values: Column) -> Column:
     return F.when(n > 1, F.sqrt(squares / (n - 1))).otherwise(0.0)
 
 
-def step_features(state: DataFrame, day: dt.date) -> DataFrame:
-    """Features of one day for every series, from the values known so far."""
-    history = F.col("history")
+def _from_history(history: Column) -> dict[str, Column]:
+    """Lags and rolling statistics of the day after a history."""
     week, month = last_n(history, 7), last_n(history, 30)
-    made = {part: date_part(part, F.lit(day)).cast("int") for part in DATE_PARTS}
-    made |= {f"lag_{k}": F.try_element_at(history, F.lit(-k)) for k in (1, 7, 14, 30)}
-    made |= {
+    return {f"lag_{k}": F.try_element_at(history, F.lit(-k)) for k in (1, 7, 14, 30)} | {
         "rolling_mean_7": array_sum(week) / F.size(week),
         "rolling_mean_30": array_sum(month) / F.size(month),
         "rolling_std_7": _spread(week),
     }
-    zero = F.lit(0)
-    return state.select("*", *[F.coalesce(c, zero).alias(name) for name, c in made.items()])
+
+
+def _of_day(day: dt.date) -> dict[str, Column]:
+    return {part: date_part(part, F.lit(day)).cast("int") for part in DATE_PARTS}
+
+
+def step_features(state: DataFrame, day: dt.date) -> DataFrame:
+    """Features of one day for every series, from the values known so far."""
+    made = _of_day(day) | _from_history(F.col("history"))
+    return state.select("*", *[F.coalesce(c, F.lit(0)).alias(name) for name, c in made.items()])
 
 
 def recursive_forecast(
@@ -106,24 +114,25 @@ def recursive_forecast(
 ) -> DataFrame:
     """Day by day, all series at once: predict, round, append, repeat.
 
-    The state is one short row per series, whatever the length of the history,
-    and is written out every few steps so that plans stay small and a lost
-    executor repeats little.
+    The trees are data that the expression walks, so all days are one `aggregate` over one short row per series,
+    whatever the length of the history, in one job.
     """
+    trees = forest_table(panel.sparkSession, model.stages[-1])
     state = series_arrays(panel, [AREA, TYPE], last=30, end=end).join(codes, TYPE)
-    state = stage(state.withColumn("ahead", F.array().cast("array<bigint>")), "boosted-state")
-    for step in range(1, steps + 1):
-        predicted = model.transform(step_features(state, end + dt.timedelta(days=step)))
-        count = F.bround(_predicted(), 0)
-        state = predicted.select(
-            AREA,
-            TYPE,
-            CODE,
-            F.concat(last_n(F.col("history"), 29), F.array(count)).alias("history"),
-            F.concat("ahead", F.array(count.cast("bigint"))).alias("ahead"),
-        )
-        if step % CUT_EVERY == 0 or step == steps:
-            state = stage(state, "boosted-state")
-    return state.select(AREA, TYPE, F.posexplode("ahead").alias("_pos", PREDICTED)).select(
+    state = state.withColumn("forest", trees.select(F.struct("*")).scalar())
+    days = [[c.cast("double").alias(name) for name, c in _of_day(end + dt.timedelta(days=s)).items()] for s in range(1, steps + 1)]
+
+    def one_day(so_far: Column, day: Column) -> Column:
+        made = {AREA: F.col(AREA), CODE: F.col(CODE)} | {part: day[part] for part in DATE_PARTS} | _from_history(so_far["history"])
+        row = F.array(*[F.coalesce(made[name].cast("double"), F.lit(0.0)) for name in FEATURES])
+        count = F.bround(F.greatest(F.lit(0.0), bind(row, lambda r: walk(F.col("forest"), r))), 0)
+        return bind(count, lambda n: F.struct(
+            F.concat(last_n(so_far["history"], 29), F.array(n)).alias("history"),
+            F.concat(so_far["ahead"], F.array(n.cast("bigint"))).alias("ahead"),
+        ))
+
+    start = F.struct(F.col("history"), F.array().cast("array<bigint>").alias("ahead"))
+    ahead = F.aggregate(F.array(*[F.struct(*day) for day in days]), start, one_day)["ahead"]
+    return state.select(AREA, TYPE, F.posexplode(ahead).alias("_pos", PREDICTED)).select(
         F.date_add(F.lit(end), F.col("_pos") + 1).alias(DATE), (F.col("_pos") + 1).alias(STEP), AREA, TYPE, PREDICTED
     )
