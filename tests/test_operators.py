@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tsrisk.names import AREA, COUNT, DATE, DAY, TYPE
 from tsrisk.functions.dates import with_date_parts
-from tsrisk.operators import arima, boosted, counts, features, forecast, forest, metrics, panel, risk
+from tsrisk.operators import arima, boosted, counts, features, forecast, forest, least_squares, metrics, panel, risk
 from tsrisk.operators.centroids import centroids, exact_medians
 
 START = dt.date(2020, 1, 1)
@@ -288,6 +288,77 @@ def test_arima_many_series_and_flat_ones(spark):
         arima.grid_search(series(spark, [5] * 200), test_days=30)
 
 
+def test_least_squares_is_a_minimum_and_beats_its_start():
+    """No coefficient can be moved to a smaller sum of squares; the sums come from a plain recursion."""
+    rng = np.random.default_rng(8)
+    orders = [arima.Order(2, 1, 1), arima.Order(1, 1, 2, (1, 0, 1, 7)), arima.Order(2, 1, 1, (1, 1, 1, 7))]
+    long = np.diff(simulated(900)) + np.tile(rng.normal(size=7), 129)[:899]
+    series_, shapes = [long, long[300:], long, long], [orders[0].shape, orders[1].shape, orders[2].shape, orders[1].shape]
+    starts = [np.zeros(s.size) for s in shapes[:3]] + [np.array([0.1, 0.1, 3.0, 0.1, 0.1])]  # the last one is not invertible
+
+    def squares(w, shape, beta, skip):
+        ar, ma, _, _ = shape.polynomials(beta)
+        e = [0.0] * skip
+        for t in range(skip, len(w)):
+            past = sum(m * e[t - j - 1] for j, m in enumerate(ma[1:]) if t - j - 1 >= 0)
+            e.append(sum(a * w[t - i] for i, a in enumerate(ar)) - past)
+        return sum(x * x for x in e), e
+
+    skip = max(s.reach[0] for s in shapes)
+    for w, shape, start, fit in zip(series_, shapes, starts, least_squares.fit_rows(series_, shapes, starts)):
+        best, e = squares(w, shape, fit.beta, skip)
+        assert fit.converged and fit.rounds < 40 and fit.n == len(w) - skip
+        assert fit.squares == pytest.approx(best, rel=1e-9) and fit.shocks[-20:] == pytest.approx(e[-20:], abs=1e-8)
+        assert best <= squares(w, shape, np.zeros(shape.size), skip)[0]
+        for k in range(shape.size):
+            for move in (-1e-3, 1e-3):
+                other = fit.beta.copy()
+                other[k] += move
+                assert squares(w, shape, other, skip)[0] > best * (1 - 1e-7)
+
+
+def test_derivatives_of_the_shocks():
+    shape = arima.Order(2, 1, 1, (1, 0, 1, 7)).shape
+    beta, w = np.array([0.3, -0.2, 0.4, 0.5, -0.3]), np.random.default_rng(2).normal(size=(1, 80))
+
+    def run(b):
+        return least_squares.shocks(w, np.array([9]), *[x[None] for x in shape.polynomials(b)])
+
+    e, d = run(beta)
+    for k in range(shape.size):
+        step = np.eye(shape.size)[k] * 1e-6
+        assert d[0, k] == pytest.approx((run(beta + step)[0] - run(beta - step)[0])[0] / 2e-6, abs=1e-6)
+
+
+def test_least_squares_leaves_out_short_and_flat_series():
+    shape = arima.Order(1, 1, 1).shape
+    rng = np.random.default_rng(1)
+    rows = [np.zeros(100), rng.normal(size=5), rng.normal(size=200), np.full(50, np.nan)]
+    found = least_squares.fit_rows(rows, [shape] * 4, [np.zeros(2)] * 4)
+    assert [f is None for f in found] == [True, True, False, True]
+    assert least_squares.fit_rows([], [], []) == []
+
+
+def test_arima_least_squares_from_spark_equals_the_plain_fit(spark):
+    values = {k: simulated(300 + 50 * k, seed=k) for k in (1, 2, 3)}
+    df = series(spark, values[1], k=1).unionByName(series(spark, values[2], k=2)).unionByName(series(spark, values[3], k=3))
+    orders = (arima.Order(1, 1, 1), arima.Order(2, 1, 1, (1, 0, 1, 7)))
+    rows = {(r["k"], r["model"]): r for r in arima.fit(df, ["k"], orders).fits.collect()}
+    assert len(rows) == 6 and all(r["reason"] in (None, arima.UNCONVERGED) for r in rows.values())
+    assert all(r["reason"] is None for (_, model), r in rows.items() if model == orders[0].name)
+    for k, v in values.items():
+        for o in orders:
+            fit = least_squares.fit_rows([np.diff(v)], [o.shape], [np.zeros(o.shape.size)])[0]
+            ar, ma, _, _ = o.shape.polynomials(fit.beta)
+            phi = -np.convolve(ar, [1, -1])[1:]
+            aic = fit.n * np.log(fit.squares / fit.n) + 2 * (o.shape.size + 1)
+            if o.seasonal is None:
+                assert rows[k, o.name]["phi"][: len(phi)] == pytest.approx(phi.tolist(), abs=1e-3)
+                assert rows[k, o.name]["aic"] == pytest.approx(aic, abs=1e-3)
+            else:  # without a season both seasonal factors cancel along a valley
+                assert rows[k, o.name]["aic"] == pytest.approx(aic, abs=1.0)
+
+
 def test_seasonal_lags_and_names():
     order = arima.Order(2, 1, 1, (1, 1, 1, 7))
     assert order.ar_lags == [1, 2, 7, 8, 9] and order.ma_lags == [1, 7, 8]

@@ -1,18 +1,21 @@
 """ARIMA and seasonal ARIMA over many daily series at once.
 
-Two-stage regression (Hannan and Rissanen, 1982) in place of a likelihood
-search, so that all row-wise work is joins, windows and sums in Spark:
+Conditional least squares in place of an exact likelihood search:
 
 1. difference every series, once per differencing any candidate asks for;
 2. a long autoregression from lag products gives estimates of the shocks;
 3. sums of products of lagged values and lagged shocks, one row per series, are
    all that any candidate order needs: each picks its own sub-matrix;
-4. a small solve per series and candidate (the only Python step);
-5. forecasts by recursion inside the JVM.
-
-Seasonal products get free coefficients on the lags they touch. There is no
-constant, so every order must difference at least once. AIC values compare only
-among these fits.
+4. a small solve per series and candidate gives start values (two-stage
+   regression, Hannan and Rissanen, 1982);
+5. from there `least_squares` finds the least sum of squared shocks, seasonal
+   products constrained, over the arrays of a batch of series at a time; a
+   series is never longer than the calendar;
+6. forecasts by recursion inside the JVM.
+
+There is no constant, so every order must difference at least once. AIC values
+compare among orders of the same differencing, as ever, and rest on the
+conditional sum of squares.
 """
 
 from __future__ import annotations
@@ -27,6 +30,7 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from tsrisk.operators import least_squares
 from tsrisk.names import COUNT, DATE, FORECAST_DAYS, PREDICTED, STEP, TEST_DAYS
 from tsrisk.operators.features import best_per_key, latest_date, series_arrays
 from tsrisk.operators.forecast import ITERATIVE_MEAN, iterative_mean_forecast
@@ -35,9 +39,12 @@ from tsrisk.session import stage
 
 # The solve helpers travel inside the task, so executors need not have this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
+cloudpickle.register_pickle_by_value(least_squares)
 
 # Five weeks of lags: seasonal differencing leaves shocks that a short autoregression misses.
 LONG_AR = 35
+#: Series that one task fits.
+TASK_SERIES = 64
 NORMAL_95 = 1.959963984540054
 
 
@@ -78,6 +85,21 @@ class Order:
         s = self._season[3]
         return sorted({i + s * j for i in range(short + 1) for j in range(long + 1)} - {0})
 
+    @property
+    def shape(self) -> least_squares.Shape:
+        big_p, _, big_q, s = self._season
+        return least_squares.Shape(self.p, big_p, self.q, big_q, s)
+
+    def start(self, beta: np.ndarray) -> np.ndarray:
+        """Start values from free coefficients by lag: those of the lags that stand alone."""
+        big_p, _, big_q, s = self._season
+        ar, ma = dict(zip(self.ar_lags, beta)), dict(zip(self.ma_lags, beta[len(self.ar_lags) :]))
+        lags = lambda n, step: [step * (i + 1) for i in range(n)]
+        return np.array([
+            *(ar[k] for k in lags(self.p, 1)), *(ar[k] for k in lags(big_p, s)),
+            *(ma[k] for k in lags(self.q, 1)), *(ma[k] for k in lags(big_q, s)),
+        ])
+
     @property
     def ar_lags(self) -> list[int]:
         return self._lags(self.p, self._season[0])
@@ -195,85 +217,104 @@ def cross_products(rows: DataFrame, keys, orders) -> DataFrame:
 
 
 # ---------------------------------------------------------------- fits
-def _fit_one(gram: np.ndarray, n: int, order: Order, ar: list[int], ma: list[int], back: int, steps: int):
+def _solve_one(gram: np.ndarray, n: int, order: Order, ar: list[int], ma: list[int]) -> np.ndarray | None:
     """Least squares on one sub-matrix; None when it cannot be solved."""
     use = [1 + ar.index(k) for k in order.ar_lags] + [1 + len(ar) + ma.index(k) for k in order.ma_lags]
-    xx, xy, yy = gram[np.ix_(use, use)], gram[use, 0], gram[0, 0]
     if n <= 2 * len(use):
         return None
     try:
-        beta = np.linalg.solve(xx, xy)
+        beta = np.linalg.solve(gram[np.ix_(use, use)], gram[use, 0])
     except np.linalg.LinAlgError:
         return None
-    sigma2 = (yy - beta @ xy) / n
-    if not np.isfinite(beta).all() or not sigma2 > 0:
-        return None
-    own = np.zeros(max(order.ar_lags, default=0) + 1)
-    own[0] = 1.0
-    own[order.ar_lags] = -beta[: len(order.ar_lags)]
+    return beta if np.isfinite(beta).all() and gram[0, 0] > beta @ gram[use, 0] else None
+
+
+def start_values(grams: DataFrame, keys, orders) -> DataFrame:
+    """One row per series and differencing with `starts`: model and start values of each candidate that can be solved."""
+    ar, ma, _ = _reach(orders)
+    size = 1 + len(ar) + len(ma)
+    schema = T.StructType([
+        *_key_fields(grams, [*keys, "differencing"]),
+        *T.StructType.fromDDL("starts array<struct<model: string, beta: array<double>>>"),
+    ])
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        upper = np.triu_indices(size)
+        for batch in batches:
+            found = []
+            for sums, n, differencing in zip(batch["gram"], batch["n"], batch["differencing"]):
+                gram = np.zeros((size, size))
+                gram[upper] = sums
+                gram = gram + np.triu(gram, 1).T
+                betas = [(o, _solve_one(gram, n, o, ar, ma)) for o in orders if o.differencing == differencing]
+                found.append([{"model": o.name, "beta": o.start(b).tolist()} for o, b in betas if b is not None])
+            yield batch.drop(columns=["gram", "n"]).assign(starts=found)
+
+    return grams.mapInPandas(solve, schema).where(F.size("starts") > 0)
+
+
+def _described(order: Order, fit: least_squares.Fit, back: int, depth: int, steps: int):
+    """Coefficients on the undifferenced series, spread per step, AIC and the last shocks; None if they are not finite."""
+    own, moving, _, _ = order.shape.polynomials(fit.beta)
     combined = -np.convolve(own, order.difference_polynomial())[1:]
-    phi = np.zeros(back)
-    phi[: len(combined)] = combined
-    theta = np.zeros(max(ma, default=1))
-    theta[[k - 1 for k in order.ma_lags]] = beta[len(order.ar_lags):]
+    phi, theta = np.zeros(back), np.zeros(depth)
+    phi[: len(combined)], theta[: len(moving) - 1] = combined, moving[1:]
     # Weight of a shock h days later, for the forecast variance.
     psi = np.zeros(steps)
     psi[0] = 1.0
     for h in range(1, steps):
-        past = psi[max(0, h - back): h][::-1]
-        psi[h] = (theta[h - 1] if h <= len(theta) else 0.0) + phi[: len(past)] @ past
+        past = psi[max(0, h - back) : h][::-1]
+        psi[h] = (theta[h - 1] if h <= depth else 0.0) + phi[: len(past)] @ past
+    sigma2 = fit.squares / fit.n
     spread = np.sqrt(sigma2 * np.cumsum(psi**2))
-    if not np.isfinite(spread).all():
+    if not sigma2 > 0 or not np.isfinite(spread).all():
         return None
-    aic = n * np.log(sigma2) + 2 * (len(use) + 1)
-    return phi, theta, spread, aic
+    aic = fit.n * np.log(sigma2) + 2 * (order.shape.size + 1)
+    return phi.tolist(), theta.tolist(), spread.tolist(), float(aic), fit.shocks[-depth:].tolist()
 
 
-def fit_orders(grams: DataFrame, keys, orders, steps: int) -> DataFrame:
-    """Every candidate on every series: coefficients on the undifferenced series, spread per step, AIC.
+def fit_orders(arrays: DataFrame, keys, orders, steps: int) -> DataFrame:
+    """Every candidate on every series: coefficients on the undifferenced series, spread per step, AIC, last shocks, rounds.
 
-    Candidates that cannot be solved are left out.
+    `arrays` has `history`, the differenced series, and `starts`. `reason` names a search that stopped before it converged.
     """
-    ar, ma, back = _reach(orders)
-    size = 1 + len(ar) + len(ma)
-    doubles = T.ArrayType(T.DoubleType())
+    _, ma, back = _reach(orders)
+    depth = max(ma, default=1)
+    by_name = {o.name: o for o in orders}
     schema = T.StructType([
-        *_key_fields(grams, [*keys, "differencing"]),
-        T.StructField("model", T.StringType()),
-        T.StructField("order", T.StringType()),
-        T.StructField("seasonal_order", T.StringType()),
-        T.StructField("phi", doubles),
-        T.StructField("theta", doubles),
-        T.StructField("spread", doubles),
-        T.StructField("aic", T.DoubleType()),
+        *_key_fields(arrays, [*keys, "differencing"]),
+        *T.StructType.fromDDL(
+            "model string, `order` string, seasonal_order string, phi array<double>, theta array<double>, spread array<double>, "
+            "aic double, shocks array<double>, rounds int, reason string"
+        ),
     ])
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        upper = np.triu_indices(size)
         for batch in batches:
             found = []
-            for row in batch.to_dict("records"):
-                gram = np.zeros((size, size))
-                gram[upper] = row["gram"]
-                gram = gram + np.triu(gram, 1).T
-                for order in orders:
-                    if order.differencing != row["differencing"]:
+            # Orders of one differencing compare, so they leave out the same first days.
+            for _, group in batch.groupby("differencing", sort=True):
+                asked = [(row, s["model"], np.array(s["beta"])) for row in group.to_dict("records") for s in row["starts"]]
+                fits = least_squares.fit_rows(
+                    [np.asarray(row["history"], dtype=float) for row, _, _ in asked],
+                    [by_name[m].shape for _, m, _ in asked], [b for _, _, b in asked],
+                )
+                for (row, model, _), fit in zip(asked, fits):
+                    order = by_name[model]
+                    if fit is None or (made := _described(order, fit, back, depth, steps)) is None:
                         continue
-                    fit = _fit_one(gram, row["n"], order, ar, ma, back, steps)
-                    if fit is None:
-                        continue
-                    phi, theta, spread, aic = fit
-                    seasonal = None if order.seasonal is None else str(order.seasonal)
                     found.append([
-                        *[row[k] for k in (*keys, "differencing")], order.name, order.text, seasonal,
-                        phi.tolist(), theta.tolist(), spread.tolist(), float(aic),
+                        *[row[k] for k in (*keys, "differencing")], model, order.text,
+                        None if order.seasonal is None else str(order.seasonal), *made, fit.rounds,
+                        None if fit.converged else UNCONVERGED,
                     ])
             yield pd.DataFrame(found, columns=schema.names)
 
-    return grams.mapInPandas(solve, schema)
+    return arrays.mapInPandas(solve, schema)
 
 
-#: Why a series has no candidate.
+#: Why a series has no candidate, or a candidate that may not be the best of its order.
+UNCONVERGED = f"stopped after {least_squares.ROUNDS} rounds"
 UNFITTED = "no order fits: flat, short or singular"
 
 
@@ -294,19 +335,20 @@ def fit(series: DataFrame, keys=(), orders=ARIMA_ORDERS, y: str = COUNT, steps:
     if any(o.differencing.startswith("0,0") for o in orders):
         raise ValueError("every order must difference at least once")
     keys, end = list(keys), latest_date(series)
-    _, ma, back = _reach(orders)
-    rows = differenced(series, keys, orders, y)
+    _, _, back = _reach(orders)
+    rows = stage(differenced(series, keys, orders, y), "differenced")
     coefficients = stage(long_autoregression(lag_products(rows, keys), keys), "long-ar")
     residuals = stage(shocks(rows, coefficients, keys), "shocks")
-    fits = stage(fit_orders(cross_products(residuals, keys, orders), keys, orders, steps), "arima-fits")
-    depth = max(ma, default=1)
-    shock_tails = series_arrays(residuals, [*keys, "differencing"], "e", last=depth, end=end)
+    starts = start_values(cross_products(residuals, keys, orders), keys, orders)
+    arrays = series_arrays(rows, [*keys, "differencing"], "w").join(starts, [*keys, "differencing"])
+    arrays = stage(arrays, "arima-arrays")
+    dealt = arrays.repartition(max(1, -(-arrays.count() // TASK_SERIES)))
+    fits = stage(fit_orders(dealt, keys, orders, steps), "arima-fits")
     tails = series_arrays(series, keys, y, last=back, end=end).withColumnRenamed("history", "values")
-    shock_tails = shock_tails.withColumnRenamed("history", "shocks")
+    last = fits.select(*keys, "differencing", "model", "shocks")
     # Without keys there is one series, so one row of values for at most a few rows of shocks.
-    starts = shock_tails.join(tails, keys) if keys else shock_tails.withColumn(
-        "values", tails.select("values").scalar()
-    )
+    starts = last.join(tails, keys) if keys else last.withColumn("values", tails.select("values").scalar())
+    fits = fits.drop("shocks")
     return Fitted(fits, starts, keys, end, series, y)
 
 
@@ -315,7 +357,7 @@ def forecast(fitted: Fitted, steps: int = FORECAST_DAYS) -> DataFrame:
 
     `steps` may not exceed the number of steps the fit was made for.
     """
-    start = fitted.fits.join(fitted.starts, [*fitted.keys, "differencing"])
+    start = fitted.fits.join(fitted.starts, [*fitted.keys, "differencing", "model"])
     back, depth = F.size("phi"), F.size("theta")
     future = F.concat(F.col("shocks"), F.array_repeat(F.lit(0.0), steps))
 
@@ -327,7 +369,7 @@ def forecast(fitted: Fitted, steps: int = FORECAST_DAYS) -> DataFrame:
     ahead = start.withColumn("ahead", F.slice(path, F.size("values") + 1, steps)).where(
         (F.size("values") == back) & (F.size("shocks") == depth)
     )
-    names = [*fitted.keys, "model", "order", "seasonal_order", "aic"]
+    names = [*fitted.keys, "model", "order", "seasonal_order", "aic", "reason"]
     days = F.arrays_zip("ahead", F.slice("spread", 1, steps).alias("spread"))
     return ahead.select(*names, F.posexplode(days).alias("_pos", "_day")).select(
         F.date_add(F.lit(fitted.end), F.col("_pos") + 1).alias(DATE),
@@ -351,7 +393,8 @@ def _count(value: Column) -> Column:
 class Grid:
     """Scores of all candidates, with the exact error as `_gain`, and the test-day forecasts behind them.
 
-    With keys, a series that no order fits has one row without a model, and the reason.
+    With keys, a series that no order fits has one row without a model, and the reason; a search that stopped
+    before it converged says so there as well.
     """
 
     ranked: DataFrame
@@ -396,7 +439,7 @@ def grid_search(
     actual = series.where(F.col(DATE) > cut).select(*keys, DATE, F.col(y).cast("double").alias(ACTUAL))
     ahead = forecast(fitted, test_days).withColumn("value", _clamped(F.col("value")))
     tested = stage(ahead.join(actual, [*keys, DATE]), "arima-tested")
-    described = [*keys, "model", "order", "seasonal_order", "aic"]
+    described = [*keys, "model", "order", "seasonal_order", "aic", "reason"]
     scores = error_metrics(tested, ACTUAL, "value", by=described, exact="_mae").where(F.col("mae").isNotNull())
     scores = scores.withColumns({"aic": F.bround("aic", 2), "_gain": -F.col("_mae")}).drop("_mae")
     scores = stage(scores, "arima-scores")
@@ -404,10 +447,8 @@ def grid_search(
         raise RuntimeError("no candidate order could be fitted")
     if keys:
         lost = series.select(*keys).distinct().join(scores.select(*keys).distinct(), keys, "left_anti")
-        scores = scores.withColumn("reason", F.lit(None).cast("string")).unionByName(
-            lost.withColumn("reason", F.lit(UNFITTED)), allowMissingColumns=True
-        )
-    return Grid(scores, tested, keys)
+        scores = scores.unionByName(lost.withColumn("reason", F.lit(UNFITTED)), allowMissingColumns=True)
+    return Grid(scores if keys else scores.drop("reason"), tested, keys)
 
 
 def best_forecast(grid: Grid, refit: Fitted, steps: int = FORECAST_DAYS, bounds: bool = False) -> DataFrame:
