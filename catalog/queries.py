@@ -440,6 +440,15 @@ def lag_features(spark, folder):
     return table.withColumns({c: F.round(c, 6) for c in ("rolling_mean_7", "rolling_mean_30", "rolling_std_7")})
 
 
+@query
+def lag_features_sparse(spark, folder):
+    """The features of `lag_features`, from the days that have counts."""
+    base = orders(spark, folder, AREA, TYPE)
+    dense = panel.sparse_panel(base.daily(AREA, TYPE), base.end, base.start, base.top_types(), {AREA: VALID_AREAS})
+    table = features.lag_features(dense)
+    return table.withColumns({c: F.round(c, 6) for c in ("rolling_mean_7", "rolling_mean_30", "rolling_std_7")})
+
+
 @query
 def rolling_full_window(spark, folder):
     series = orders(spark, folder, AREA).panel(AREA)
@@ -896,20 +905,10 @@ def gbt_rollup(spark, folder):
 @query
 def preview_lines(spark, folder):
     """The first lines of all documents, by id and place in the text."""
-    docs = read_table(spark, folder, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    return docs.orderBy("doc_id", "at").limit(5).select(F.substring("line", 1, 1000).alias("line"))
+    return delimited.first_lines(read_table(spark, folder, "documents"), "text", "doc_id")
 
 
 @query
 def describe_columns(spark, folder):
-    """Each column of the events with its type, values, missing values and distinct values, in one pass."""
-    events = read_table(spark, folder, "events")
-    kinds = dict(events.dtypes)
-    rows = events.select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("column_name"), F.lit(kinds[c]).alias("column_type"), F.col(c).cast("string").alias("value"))
-        for c in events.columns
-    ])))
-    return rows.groupBy("column_name", "column_type").agg(
-        F.count("value").alias("n_values"), F.sum(F.col("value").isNull().cast("bigint")).alias("n_missing"),
-        F.countDistinct("value").alias("n_distinct"),
-    )
+    """Each column of the events with its type, values, missing values and distinct values."""
+    return delimited.describe_values(read_table(spark, folder, "events"))

@@ -179,6 +179,32 @@ def test_category_codes_are_alphabetical(spark):
     assert {r[0]: r[1] for r in features.category_codes(df).collect()} == {"a": 0, "b": 1, "c": 2}
 
 
+def test_many_category_codes(spark):
+    df = spark.range(100_000).select(F.md5(F.col("id").cast("string")).alias(TYPE))
+    codes = features.category_codes(df.unionByName(df.limit(500)))
+    assert "SinglePartition" not in codes._jdf.queryExecution().executedPlan().toString()
+    rows = codes.orderBy(TYPE).collect()
+    assert [r[1] for r in rows] == list(range(100_000)) and codes.dtypes[1][1] == "int"
+    assert features.category_codes(df.limit(0)).count() == 0
+
+
+def test_sparse_panel_equals_the_dense_one_and_shuffles_counts_only(spark):
+    rng = random.Random(6)
+    rows = {(day(rng.randrange(90)), rng.choice((1, 2, 9)), rng.choice("AB")): rng.randint(1, 5) for _ in range(60)}
+    daily = spark.createDataFrame([(*k, v) for k, v in rows.items()], f"{DATE} date, {AREA} int, {TYPE} string, {COUNT} long")
+    keys = spark.createDataFrame([("A",), ("C",)], f"{TYPE} string")
+    both = [
+        features.lag_features(make(daily, day(80), day(3), keys, {AREA: (1, 2, 3)}))
+        for make in (panel.panel, panel.sparse_panel)
+    ]
+    cols = sorted(both[0].columns)
+    dense, sparse = (sorted(map(tuple, df.select(cols).collect()), key=str) for df in both)
+    assert dense == sparse and len(dense) == 6 * 48
+    plan = both[1]._jdf.queryExecution().optimizedPlan().toString()
+    above = plan.split("RepartitionByExpression")[0]
+    assert "explode(sequence" in above and "Join" not in above
+
+
 # ---------------------------------------------------------------- forecasts
 CITY_AHEAD = [525, 531, 535, 532, 533, 531, 532, 531] + [532] * 22
 

@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tsrisk.names import AREA, COUNT, DATE, TEST_DAYS, TYPE
+from tsrisk.session import stage
 
 LAGS = (1, 7, 14, 30)
 FEATURES = (
@@ -92,10 +93,21 @@ def best_per_key(df: DataFrame, keys, metric: str, ties=()) -> DataFrame:
 
 
 def category_codes(df: DataFrame, col: str = TYPE) -> DataFrame:
-    """Alphabetical codes 0..k-1 of the distinct labels (one row per label)."""
-    return df.select(col).dropna().distinct().select(
-        col, (F.row_number().over(Window.orderBy(col)) - 1).alias(f"{col}_code")
-    )
+    """Alphabetical codes 0..k-1 of the distinct labels (one row per label).
+
+    Labels are dealt into ranges and numbered inside each; the driver gets one count for each range and
+    hands back where each begins.
+    """
+    labels = df.select(col).dropna().distinct().repartitionByRange(col)
+    labels = stage(labels.select(col, F.spark_partition_id().alias("_range")), "labels")
+    sizes = dict(labels.groupBy("_range").count().collect())
+    begins, total = [], 0
+    for part in range(max(sizes, default=0) + 1):
+        begins.append(F.lit(total))
+        total += sizes.get(part, 0)
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(col))
+    begin = F.element_at(F.array(*begins), F.col("_range") + 1)
+    return labels.select(col, (begin + inside - 1).cast("int").alias(f"{col}_code"))
 
 
 def encode_category(df: DataFrame, col: str = TYPE) -> DataFrame:

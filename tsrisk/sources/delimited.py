@@ -125,6 +125,15 @@ def preview_lines(spark: SparkSession, path: str, n: int = 5, width: int = 1000)
     return lines.orderBy("file", "block", "place").limit(n).select("line")
 
 
+def first_lines(df: DataFrame, text: str, order: str, n: int = 5, width: int = 1000) -> DataFrame:
+    """The first `n` lines of texts in a column, by `order` and place in the text, cut to `width` characters.
+
+    A text has at least one line, so only the first `n` texts are split.
+    """
+    lines = df.where(F.col(text).isNotNull()).orderBy(order).limit(n).select(order, F.posexplode(F.split(text, "\n")).alias("at", "line"))
+    return lines.orderBy(order, "at").limit(n).select(F.substring("line", 1, width).alias("line"))
+
+
 def file_profile(spark: SparkSession, path: str) -> DataFrame:
     """Path and size of each file; the content is not read."""
     files = spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("bytes"))
@@ -185,3 +194,16 @@ def detect_delimiter(df: DataFrame, text: str) -> DataFrame:
 def describe(df: DataFrame) -> DataFrame:
     """Column names and types as a table."""
     return df.sparkSession.createDataFrame(df.dtypes, "column_name string, column_type string")
+
+
+def describe_values(df: DataFrame) -> DataFrame:
+    """Each column with its type, values, missing values and distinct values, in one pass."""
+    kinds = dict(df.dtypes)
+    rows = df.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("column_name"), F.lit(kinds[c]).alias("column_type"), F.col(f"`{c}`").cast("string").alias("value"))
+        for c in df.columns
+    ])))
+    return rows.groupBy("column_name", "column_type").agg(
+        F.count("value").alias("n_values"), F.sum(F.col("value").isNull().cast("bigint")).alias("n_missing"),
+        F.countDistinct("value").alias("n_distinct"),
+    )
