@@ -657,6 +657,10 @@ ORACLE["raw_line_accounts"] = """SELECT outcome, sum(n)::BIGINT AS lines FROM (
   SELECT CASE event_id % 7 WHEN 0 THEN 'set aside' WHEN 2 THEN 'set aside' WHEN 4 THEN 'dropped'
          WHEN 1 THEN CASE WHEN event_id % 2 = 0 THEN 'clean' ELSE 'dropped' END ELSE 'clean' END AS outcome,
          CASE WHEN event_id % 7 = 2 THEN 2 ELSE 1 END AS n FROM events) GROUP BY outcome"""
+ORACLE["distinct_orders_by_year"] = """SELECT l_returnflag, year(l_shipdate)::INTEGER AS year, count(DISTINCT l_orderkey) AS orders,
+  true AS close, true AS no_more_than_the_days FROM lineitem GROUP BY ALL"""
+ORACLE["median_price_by_year"] = """SELECT l_returnflag, year(l_shipdate)::INTEGER AS year, count(*) AS n_lines, true AS close
+FROM lineitem GROUP BY ALL"""
 ORACLE["lag_features_sparse"] = ORACLE["lag_features"]
 ORACLE["raw_records"] = f"""SELECT event_id, user_id, md5(note) AS digest, len(note) - len(replace(note, chr(10), '')) + 1 AS n_lines
 FROM (SELECT event_id, user_id, {rawtext.NOTE} AS note FROM events)"""

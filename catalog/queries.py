@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from catalog import rawtext
 from tsrisk.functions import cleaning as C, dates as D, scoring as S
 from tsrisk.names import AREA, COUNT, DATE, DOW, HOUR, RAW_COLUMNS, TIME, TYPE, VALID_AREAS
-from tsrisk.operators import arima, boosted, counts, features, forecast, metrics, panel, risk
+from tsrisk.operators import arima, boosted, counts, features, forecast, metrics, panel, risk, sketches
 from tsrisk.operators.centroids import centroids
 from tsrisk.plans import pipeline, present, quality, views
 from tsrisk.plans.clean import clean_incidents
@@ -408,6 +408,43 @@ def area_centroids_lineitem(spark, folder):
     )
 
 
+def _priced_lines(spark, folder):
+    lines = read_table(spark, folder, "lineitem")
+    return lines.select(F.col("l_shipdate").cast("date").alias(DATE), "l_returnflag", "l_orderkey", "l_extendedprice")
+
+
+@query
+def distinct_orders_by_year(spark, folder):
+    """Orders per flag and year from united daily sketches, held against the exact count, and against the sum of the days."""
+    lines = _priced_lines(spark, folder)
+    cube = stage(sketches.sketch_cube(lines, ["l_returnflag"], members=["l_orderkey"]), "sketch-cube")
+    keys = ["l_returnflag", F.year(DATE).alias("year")]
+    exact = lines.groupBy(*keys).agg(F.countDistinct("l_orderkey").alias("orders"))
+    united = sketches.distinct_members(cube, "l_orderkey", keys)
+    days = cube.groupBy(*keys).agg(F.sum(F.hll_sketch_estimate("members_l_orderkey")).alias("summed"))
+    found = exact.join(united, ["l_returnflag", "year"]).join(days, ["l_returnflag", "year"])
+    estimate = F.col("distinct_l_orderkey")
+    return found.select(
+        "l_returnflag", "year", "orders", (F.abs(estimate - F.col("orders")) <= 0.05 * F.col("orders") + 1).alias("close"),
+        (estimate <= F.col("summed")).alias("no_more_than_the_days"),
+    )
+
+
+@query
+def median_price_by_year(spark, folder):
+    """Median price per flag and year from merged daily sketches: is its rank within two percent of the middle?"""
+    lines = _priced_lines(spark, folder)
+    cube = stage(sketches.sketch_cube(lines, ["l_returnflag"], measures=["l_extendedprice"]), "sketch-cube")
+    keys = ["l_returnflag", F.year(DATE).alias("year")]
+    middle = sketches.quantiles(cube, "l_extendedprice", keys).withColumnRenamed("l_extendedprice", "median")
+    ranked = lines.withColumn("year", F.year(DATE)).join(middle, ["l_returnflag", "year"]).groupBy("l_returnflag", "year").agg(
+        F.count(F.lit(1)).alias("n_lines"), F.count_if(F.col("l_extendedprice") < F.col("median")).alias("below"),
+        F.count_if(F.col("l_extendedprice") <= F.col("median")).alias("upto"),
+    )
+    close = (F.col("below") <= 0.52 * F.col("n_lines")) & (F.col("upto") >= 0.48 * F.col("n_lines"))
+    return ranked.select("l_returnflag", "year", "n_lines", close.alias("close"))
+
+
 @query
 def latest_rows_area(spark, folder):
     return features.tail_rows(counts.daily_counts(incidents_orders(spark, folder), [AREA]), [AREA], 5)

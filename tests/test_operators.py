@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tsrisk.names import AREA, COUNT, DATE, DAY, TYPE
 from tsrisk.functions.dates import with_date_parts
-from tsrisk.operators import arima, boosted, counts, features, forecast, forest, least_squares, metrics, panel, risk
+from tsrisk.operators import arima, boosted, counts, features, forecast, forest, least_squares, metrics, panel, risk, sketches
 from tsrisk.operators.centroids import centroids, exact_medians
 
 START = dt.date(2020, 1, 1)
@@ -120,6 +120,24 @@ def test_key_without_incidents_has_a_zero_baseline(spark):
 
 
 # ---------------------------------------------------------------- medians
+def test_sketches_of_days_answer_for_periods(spark):
+    rng = random.Random(12)
+    rows = [(day(rng.randrange(40)), rng.choice("ab"), rng.randrange(900), rng.gauss(0, 10) if rng.random() < 0.9 else None) for _ in range(8000)]
+    facts = spark.createDataFrame(rows, f"{DATE} date, k string, who int, v double")
+    cube = sketches.sketch_cube(facts, ["k"], ["who"], ["v"])
+    assert cube.agg(F.sum(COUNT)).first()[0] == 8000
+    inside = [r for r in rows if day(5) <= r[0] <= day(20)]
+    got = {r["k"]: r["distinct_who"] for r in sketches.distinct_members(cube, "who", ["k"], day(5), day(20)).collect()}
+    for k in "ab":
+        assert got[k] == pytest.approx(len({r[2] for r in inside if r[1] == k}), rel=0.04)
+    for at in (0.1, 0.5, 0.9):
+        value = sketches.quantiles(cube, "v", at=at, start=day(5), end=day(20)).first()["v"]
+        own = [r[3] for r in inside if r[3] is not None]
+        assert sum(x <= value for x in own) / len(own) == pytest.approx(at, abs=0.02)
+    assert sketches.distinct_members(cube, "who", ["k"], day(99)).count() == 0
+    assert sketches.quantiles(cube.where("k = 'none'"), "v").first()["v"] is None
+
+
 def test_medians_equal_brute_force(spark):
     rng = random.Random(11)
     groups = {
