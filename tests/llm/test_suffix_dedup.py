@@ -129,6 +129,13 @@ def test_halves_part_the_windows():
         assert seen == Counter(range(len(whole) - 199))
 
 
+def test_runs_neither_overlap_nor_touch():
+    rows, at, end = np.array([2, 0, 0, 0, 2, 1]), np.array([5, 3, 0, 9, 0, 10]), np.array([9, 7, 3, 10, 2, 12])
+    found = sd.merged(rows, at, end, np.array([10, 12, 9, 4]))
+    assert list(zip(*(x.tolist() for x in found))) == [(0, 0, 7), (0, 9, 10), (1, 10, 12), (2, 0, 2), (2, 5, 9)]
+    assert all(len(x) == 0 for x in sd.merged(rows[:0], at[:0], end[:0], np.array([3])))
+
+
 @pytest.mark.parametrize("limit", [512, 3])
 def test_near_copies_and_a_common_line(spark, docs_of, monkeypatch, limit):
     monkeypatch.setattr(sd, "GROUP_STRINGS", limit)

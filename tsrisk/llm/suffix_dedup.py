@@ -285,19 +285,19 @@ def _repeats(texts: DataFrame) -> DataFrame:
     return found
 
 
-def merged(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
-    """The same places as runs that neither overlap nor touch."""
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1] = out[-1][0], max(out[-1][1], b)
-        else:
-            out.append((a, b))
-    return out
+def merged(row: np.ndarray, at: np.ndarray, end: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The places of spans in texts of the given sizes as runs that neither overlap nor touch: row, begin, end, in order."""
+    base = np.cumsum(sizes + 1) - sizes - 1  # a place between two texts keeps their runs apart
+    order = np.argsort(at + base[row], kind="stable")
+    begin, reach = (at + base[row])[order], np.maximum.accumulate((end + base[row])[order])
+    first = np.append(True, begin[1:] > reach[:-1]) if len(begin) else np.empty(0, bool)
+    last = np.append(first[1:], True) if len(begin) else first
+    own = row[order][first]
+    return own, begin[first] - base[own], reach[last] - base[own]
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """`doc_id, text, n_bytes, n_removed, n_spans, kept`, a row per row of `docs`; `kept` is what is left of the text's bytes.
+    """`doc_id, n_bytes, n_removed, n_spans, kept`, a row per row of `docs`; `kept` is what is left of the text's bytes.
 
     Bytes go that lie in a 200-byte string which starts anywhere else too, in the same text or
     another; all occurrences go. Strings are judged on the texts as they come and may overlap. Texts are UTF-8 bytes; a cut may
@@ -315,16 +315,23 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in by_bytes([batch], "text"):
-                found = []
-                for body, own in zip(binary(part.column("text")), part.column("spans").to_pylist()):
-                    runs = merged((s["at"], s["end"]) for s in own or [])
-                    stops = [0, *(p for r in runs for p in r), len(body)]
-                    left = b"".join(body[a:b] for a, b in zip(stops[::2], stops[1::2]))
-                    found.append((len(body), len(body) - len(left), len(runs), left))
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
-                columns = [pa.array(c, k) for c, k in zip(zip(*found), kinds)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column("text"), *columns], names=out.names)
-
-    out = T.StructType([*fields, *T.StructType.fromDDL("text string, n_bytes long, n_removed long, n_spans long, kept binary")])
+                bodies = binary(part.column("text"))
+                sizes = np.array([len(b) for b in bodies], dtype=np.int64)
+                counts = part.column("spans").fill_null([]).value_lengths().to_numpy(zero_copy_only=False)
+                flat = part.column("spans").flatten()
+                at, end = (flat.field(i).to_numpy().astype(np.int64) for i in (0, 1))
+                runs = [x.tolist() for x in merged(np.repeat(np.arange(len(bodies)), counts), at, end, sizes)]
+                removed, spans, cuts = [0] * len(bodies), [0] * len(bodies), {}
+                for r, a, b in zip(*runs):
+                    removed[r] += b - a
+                    spans[r] += 1
+                    cuts.setdefault(r, [0]).extend((a, b))
+                for r, stops in cuts.items():
+                    stops.append(len(bodies[r]))
+                    bodies[r] = b"".join(bodies[r][a:b] for a, b in zip(stops[::2], stops[1::2]))
+                columns = [pa.array(sizes), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(bodies, pa.binary())]
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=out.names)
+
+    out = T.StructType([*fields, *T.StructType.fromDDL("n_bytes long, n_removed long, n_spans long, kept binary")])
     joined = texts.join(spans, ["k1", "k2"], "left").select(*names, "text", "spans")
     return joined.mapInArrow(run, out).select(*named, *out.names[len(fields) :])
