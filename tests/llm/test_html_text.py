@@ -1,5 +1,6 @@
 import html
 import re
+import time
 
 import pytest
 
@@ -32,6 +33,26 @@ def test_edges(page, text):
     assert H.main_text(page) == text
 
 
+@pytest.mark.parametrize("page", [
+    "<a " * 350_000, "<a \"" * 250_000, "<a ='" * 200_000, "<a x=\"y\" " * 100_000 + "=\">\"", "</p " * 250_000, "<" * 1_000_000,
+    "<x>" * 150_000 + "<li></li>" * 50_000, "<li><ul>" + "<x>" * 150_000 + "<li></li>" * 50_000, "<x>" * 150_000 + "<title>a<b>" * 50_000,
+    "<table><p>" + "<x></td>" * 100_000, "<!--" * 250_000, "<script>" * 100_000, "&#" + "9" * 1_000_000 + ";", "<p class='" * 100_000, "<p id= " * 100_000 + ">",
+])
+def test_broken_pages_of_a_megabyte_take_linear_time(page):
+    start = time.process_time()
+    H.main_text(page), H.page_nodes(page)
+    assert time.process_time() - start < 10
+
+
+@pytest.mark.parametrize(("page", "text"), [
+    ("<p it's>one</p><p>it's two</p>", "one\n\nit's two"), ("<p title='a>b' x = \"c>d\">t</p>", "t"), ("<p title='never closed>t</p>", "t"),
+    ("<p>a<b x='>c'", "ac'"), ("<p>a</p><b <i", "a\n\n<b <i"), ("x&#" + "0" * 9000 + "65;&#" + "9" * 9000 + ";y", "xA\ufffdy"),
+    ("<ul><li>a<ul><li>b<li>c</ul><li>d</ul>", "a\n\nb\n\nc\n\nd"), ("<table><tr><td>a<td>b<tr><td>c</table>", "a\n\nb\n\nc"),
+])
+def test_tag_ends_and_implied_ends(page, text):
+    assert H.main_text(page) == text
+
+
 STORY = " ".join("The story goes on." for _ in range(20))
 
 

@@ -60,7 +60,10 @@ BESIDE = frozenset(
 STATES = frozenset("has no not with without".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(/?)([A-Za-z][^\s/>]*+)", re.S)
+#: What follows a tag's name. Only a quote behind `=` opens a value, and only if another one closes it.
+_TAG_REST = re.compile(r"((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)>")
+_LONG_NUMBER = re.compile(r"&#([0-9]{9,}+)")
 _NAMES = re.compile(r"(?i)\b(class|id|role|hidden|aria-hidden|style)\b\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I) for name in RAW}
@@ -112,49 +115,63 @@ def _describe(tag: str, attributes: str, inside: int) -> tuple[str, bool]:
     return f"{tag}.{classes}", beside
 
 
+def _unescape(text: str) -> str:
+    """Character references decoded; a number of any length is one, and those beyond Unicode are U+FFFD."""
+    return html.unescape(_LONG_NUMBER.sub(lambda m: "&#" + (m[1].lstrip("0")[:8] or "0"), text))
+
+
 def walk(page: str) -> Iterator[tuple[str, object]]:
-    """Events `open` (Node), `text`, `space`, and `close` (Node) of a page, with the end tags that HTML implies."""
+    """Events `open` (Node), `text`, `space`, and `close` (Node) of a page, with the end tags that HTML implies.
+
+    The time is in proportion to the page, whatever its markup. From the first tag on that has no `>` outside
+    its quotes, quotes count for nothing and the next `>` ends a tag; behind the last `>` all is text.
+    """
     stack: list[Node] = [Node("", 0, False, 0)]
-    open_tags: Counter[str] = Counter()
-    at = 0
+    places: dict[str, list[int]] = {}  # depths of the open elements of a tag
+    fences = [0]
+    at, quotes = 0, True
 
     def close_to(depth: int) -> Iterator[tuple[str, object]]:
         while len(stack) > depth:
             node = stack.pop()
-            open_tags[node.tag] -= 1
+            places[node.tag].pop()
+            if node.tag in FENCES:
+                fences.pop()
             yield "close", node
 
     def depth_of(tags: set[str]) -> int | None:
         """Depth of the nearest open element of these, inside the nearest fence."""
-        for depth in range(len(stack) - 1, 0, -1):
-            if stack[depth].tag in tags:
-                return depth
-            if stack[depth].tag in FENCES:
-                return None
-        return None
+        depth = max((places[tag][-1] for tag in tags if places.get(tag)), default=0)
+        return depth if depth and depth >= fences[-1] else None
 
     while True:
-        found = _TOKEN.search(page, at)
+        found, rest, end = _TOKEN.search(page, at), "", None
+        if found and found[2]:
+            whole = _TAG_REST.match(page, found.end()) if quotes else None
+            quotes = whole is not None
+            end = whole.end() if whole else page.find(">", found.end()) + 1
+            rest = page[found.end() : end - 1]
+            found = found if end else None
         text = page[at : found.start() if found else len(page)]
         if text:
             if stack[-1].tag == "head" and not text.isspace():
                 yield from close_to(len(stack) - 1)
-            yield "text", html.unescape(text)
+            yield "text", _unescape(text)
         if not found:
             break
-        at = found.end()
+        at = end or found.end()
         tag = (found[2] or "").lower()
         if not tag:
             continue
         if found[1]:
-            if open_tags[tag]:
-                depth = len(stack) - 1
-                while stack[depth].tag != tag:
-                    depth -= 1
-                yield from close_to(depth)
+            if places.get(tag):
+                yield from close_to(places[tag][-1])
             continue
         if tag not in HEAD and stack[-1].head:
-            yield from close_to(next(depth for depth, node in enumerate(stack) if node.head))
+            depth = len(stack) - 1
+            while stack[depth - 1].head:
+                depth -= 1
+            yield from close_to(depth)
         if tag in _RAW_END:
             end = _RAW_END[tag].search(page, at)
             at = end.end() if end else len(page)
@@ -162,18 +179,18 @@ def walk(page: str) -> Iterator[tuple[str, object]]:
         if tag in VOID:
             yield ("space", "") if tag in ("br", "hr") else ("skip", "")
             continue
-        if tag not in INLINE and open_tags["p"]:
-            depth = depth_of({"p"})
-            if depth:
-                yield from close_to(depth)
+        if tag not in INLINE and (depth := depth_of({"p"})):
+            yield from close_to(depth)
         if tag in SELF_CLOSING and (depth := depth_of(SELF_CLOSING[tag])):
             yield from close_to(depth)
         parent = stack[-1]
-        shown, beside = _describe(tag, found[3] or "", parent.article)
+        shown, beside = _describe(tag, rest, parent.article)
         inside = max(parent.article, {"article": 2, "main": 1}.get(tag, 0) if not beside else 0)
         node = Node(tag, _hash(f"{parent.path}>{shown}"), beside, inside, parent.head or tag in ("head", "title"))
+        places.setdefault(tag, []).append(len(stack))
+        if tag in FENCES:
+            fences.append(len(stack))
         stack.append(node)
-        open_tags[tag] += 1
         yield "open", node
     yield from close_to(1)
 
