@@ -56,6 +56,22 @@ def test_added_kinds_and_scores(docs_of):
     assert against < plain < near
 
 
+def test_ibans_end_at_their_country_s_length(docs_of):
+    """Words and numbers behind an IBAN, with or without a space, are no part of it; a number run on into it makes it none."""
+    ibans = ["ES91 2100 0418 4502 0005 1332", "AT61 1904 3002 3457 3201", "SE45 5000 0000 0583 9825 7466", "NO93 8601 1117 947", "BE68 5390 0754 7034"]
+    ibans += ["MT84 MALT 0110 0001 2345 MTLC AST0 01S", "FR14 2004 1010 0505 0001 3M02 606", "GB82 WEST 1234 5698 7654 32", "DE89 3704 0044 0532 0130 00"]
+    rows, wanted = [], {}
+    for iban in ibans:
+        for text in (iban, iban.replace(" ", "")):
+            for tail, holds in ((" EUR", True), (" 100", True), (" 1", True), (",", True), ("", True), ("7", False), ("X", False), ("x", False)):
+                rows.append((len(rows), f"to {text}{tail}"))
+                wanted[rows[-1][0]] = [(3, 3 + len(text))] if holds else []
+    rows.append((len(rows), f"{ibans[0]} {ibans[1]} ZZ61 1904 3002 3457 3201 {ibans[1][:-1]}0"))
+    wanted[rows[-1][0]] = [(0, 29), (30, 54)]
+    got = {r.doc_id: [(s.start, s.end) for s in r.spans if s.kind == "iban"] for r in pii.find_pii(docs_of(*rows)).collect()}
+    assert got == wanted
+
+
 def test_no_python_in_the_plan(docs_of):
     plan = pii.find_pii(docs_of((1, "a")))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
