@@ -40,6 +40,48 @@ def test_counts_and_base_scores(docs_of, monkeypatch, table_words):
         assert r.score < 0 and math.isfinite(r.score)
 
 
+@pytest.mark.parametrize("table_words", [1 << 19, 9, 4, 1])
+def test_scores_by_plain_recomputation(docs_of, monkeypatch, table_words):
+    """The score of each token is that of its group and its place there; the words of the last group share it by their counts."""
+    monkeypatch.setattr(M, "TABLE_WORDS", table_words)
+    rows = [(i, f"the cat number {i % 5} sat. And the DOG" + " far" * (i % 3)) for i in range(1, 40)] + [(50, None), (51, "unseen the words")]
+    trained = lambda i: i != 51
+    docs = docs_of(*rows)
+    table = M.frequent(M.count_words(docs, F.col("doc_id") != 51))
+    model = M.Model.start(*M._shares(table))
+    model.flat[:] += np.random.default_rng(3).normal(size=len(model.flat)).astype(np.float32) / 4
+    monkeypatch.setattr(M, "train", lambda *_: model)
+    counts, total, _ = base_of(rows, trained)
+    hashes = {t: int(word_hashes([t])[0][0]) for t in counts if t is not None}
+    rank = dict(zip(table.word.tolist(), table.rank.tolist()))
+    assert int(M.END_HASH) in rank
+    own = {t: rank[h] for t, h in hashes.items() if rank.get(h, M.NO_RANK) < M.GROUPS * M.GROUP_WORDS}
+    rest = total + M.SMOOTH * (len(counts) + 1) - sum(counts[t] + M.SMOOTH for t in [*own, None])
+    p = model.part
+
+    def log_softmax(scores, at):
+        return scores[at] - np.log(np.exp(scores - scores.max()).sum()) - scores.max()
+
+    def plain(text):
+        past, score = [M.CONTEXT_WORDS + 1] * M.CONTEXT, 0.0
+        for t in tokens(text):
+            q = sum(p["context"][c] * p["place"][j] for j, c in enumerate(past)).astype(np.float64)
+            r = own.get(t)
+            group = M.END if t is None else M.REST if r is None else r // M.GROUP_WORDS
+            score += log_softmax(p["group"] @ q + p["group_bias"], group) / np.log(10)
+            if r is not None:
+                inside = slice(group * M.GROUP_WORDS, (group + 1) * M.GROUP_WORDS)
+                score += log_softmax(p["out"][inside] @ q + p["out_bias"][inside], r % M.GROUP_WORDS) / np.log(10)
+            elif t is not None:
+                score += math.log10((counts[t] + M.SMOOTH) / rest)
+            past = [M.CONTEXT_WORDS if r is None else r, *past[:-1]]
+        return score
+
+    texts = dict(rows)
+    for r in M.score(docs, F.col("doc_id") != 51).collect():
+        assert r.score == pytest.approx(plain(texts[r.doc_id]), rel=1e-4), texts[r.doc_id]
+
+
 def test_empty_tables(docs_of):
     assert M.score(docs_of((1, "a")).limit(0), F.lit(True)).count() == 0
     row = M.score(docs_of((1, "a b")), F.lit(False)).first()

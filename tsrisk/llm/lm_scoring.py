@@ -99,7 +99,8 @@ class Table(NamedTuple):
 def frequent(counts: DataFrame) -> Table:
     """The words down to the count at which the table is full; a histogram of a few hundred bins finds it.
 
-    Of the last bin, which does not fit whole, the table has a share by hash.
+    Of the last bin, which does not fit whole, the table has a share by hash. The end token is in the table
+    whatever its count, as it has a group of its own.
     """
     sums = counts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
     bins = counts.groupBy(F.floor(F.log2("n") * 16).alias("bin")).agg(F.count(F.lit(1)).alias("words"), F.min("n").alias("least"))
@@ -111,6 +112,7 @@ def frequent(counts: DataFrame) -> Table:
             break
         held += row.words
         within = f"n >= {row.least}"
+    within = f"({within}) or word = {int(END_HASH)}"
     if not sums.n:
         empty = np.zeros(0, np.int64)
         return Table(empty.view(np.uint64), empty, empty, 0, 0, within)
