@@ -285,6 +285,8 @@ ORACLE: dict[str, str] = {
                   d AS date, district, primary_type, count(*) AS crime_count
            FROM inc GROUP BY GROUPING SETS ((d), (d, district), (d, primary_type), (d, district, primary_type))""",
     ),
+    "cube_in_two_loads": sql(ORDERS, "SELECT d AS date, district, primary_type, count(*) AS crime_count, 0::BIGINT AS files_read_again FROM inc GROUP BY ALL"),
+    "daily_area_replayed": sql(ORDERS, _DAILY.format(", district")),
     "safe_end_date": sql(f"{ORDERS},\n{BOUNDS}", "SELECT hi AS training_end_date FROM lim"),
     "calendar_days": sql(f"{ORDERS},\n{BOUNDS},\n{CALENDAR}", "SELECT date FROM cal"),
     "future_days": sql(

@@ -17,8 +17,9 @@ from tsrisk.operators.centroids import centroids
 from tsrisk.plans import pipeline, present, quality, views
 from tsrisk.plans.clean import clean_incidents
 from tsrisk.session import new_path, stage
-from tsrisk.sources import delimited, tables
+from tsrisk.sources import delimited, increments, tables
 from tsrisk.sources.adapters import incidents_events, incidents_lineitem, incidents_orders, read_table
+from tsrisk.streaming.daily import daily_counts_stream, upsert_daily_counts
 
 # Sizes that fit the sample tables: five types, small groups, coordinates that are amounts.
 TOP, MIN_GROUP, MIN_SLOT = 4, 60, 2
@@ -183,6 +184,40 @@ def daily_from_cube(spark, folder):
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
+def _in_files(incidents: DataFrame, path: str, files: int = 8) -> list[str]:
+    """All incidents, dealt over folders by a hash of the row; the folders."""
+    number = F.pmod(F.xxhash64(*incidents.columns), F.lit(files)).alias("file")
+    incidents.select("*", number).write.partitionBy("file").parquet(path)
+    return [f"{path}/file={n}" for n in range(files)]
+
+
+@query
+def cube_in_two_loads(spark, folder):
+    """Files of one half of the incidents, then those of all: the cube of the store, and what the second load read."""
+    store = new_path(spark, "store")
+    files = _in_files(incidents_orders(spark, folder), new_path(spark, "incidents"))
+    read = lambda names: spark.read.parquet(*names)
+    increments.load_files(spark, store, files[:4], read, (AREA, TYPE))
+    first = increments.manifest(spark, store).select("path")
+    increments.load_files(spark, store, files, read, (AREA, TYPE))
+    known = increments.manifest(spark, store)
+    second = known.join(first, "path", "left_anti").select("load").distinct()
+    again = known.join(second, "load", "left_semi").join(first, "path", "left_semi").count()
+    return increments.stored_cube(spark, store).withColumn("files_read_again", F.lit(again).cast("bigint"))
+
+
+@query
+def daily_area_replayed(spark, folder):
+    """A replay of the incidents in many batches, in no order of days: open days and late rows are in the counts."""
+    path, out = new_path(spark, "replay"), new_path(spark, "days")
+    incidents = incidents_orders(spark, folder).select(TIME, AREA)
+    _in_files(incidents, path)
+    stream = spark.readStream.schema(incidents.schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 3).parquet(path)
+    counted = daily_counts_stream(stream, [AREA], late="36500 days")
+    upsert_daily_counts(counted, out, new_path(spark, "replay-state")).awaitTermination()
+    return spark.read.schema(", ".join(f"{n} {k}" for n, k in counted.dtypes)).parquet(out)
+
+
 @query
 def safe_end_date(spark, folder):
     return panel.safe_end_date(counts.daily_counts(incidents_orders(spark, folder)))
