@@ -54,7 +54,7 @@ def _iban_pattern() -> str:
     by_length = "|".join(
         rf"(?:{codes.replace(' ', '|')})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{length - 4}}}" for length, codes in IBAN_LENGTHS.items()
     )
-    return rf"(?<![A-Za-z0-9])(?:{by_length})(?![A-Za-z0-9])"
+    return rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:{by_length})(?![A-Za-z0-9])"
 
 
 def _iban(value: Column) -> Column:
