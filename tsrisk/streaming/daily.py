@@ -33,28 +33,28 @@ def write_daily_counts(counts: DataFrame, path: str, checkpoint: str) -> Streami
 def upsert_daily_counts(counts: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Keep every day at its count so far, open days and days with late rows included, until the input is used up.
 
-    A batch brings the new totals of the groups it changed. The days they touch are written anew with the groups
-    that it left alone, and only those days; a batch that is tried again writes the same totals. `path` is
-    a table partitioned by day.
+    A batch brings the new totals of the groups it changed. The months they touch are written anew with the groups
+    that it left alone, and only those months; a batch that is tried again writes the same totals. `path` is
+    a table partitioned by `month`, as days hold too few rows for files of their own.
     """
     keys = [c for c in counts.columns if c != COUNT]
-    columns = ", ".join(f"{name} {kind}" for name, kind in counts.dtypes)
+    columns = ", ".join(f"{name} {kind}" for name, kind in [*counts.dtypes, ("month", "string")])
 
     def merge(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
         merged = new_path(spark, "days")
-        batch.write.parquet(f"{merged}/fresh")
+        batch.withColumn("month", F.date_format(DATE, "yyyy-MM")).write.parquet(f"{merged}/fresh")
         fresh = spark.read.schema(columns).parquet(f"{merged}/fresh")
         target = spark._jvm.org.apache.hadoop.fs.Path(path)
         system = target.getFileSystem(spark._jsc.hadoopConfiguration())
         rows = fresh
         if system.exists(target):
-            held = spark.read.schema(columns).parquet(path).join(fresh.select(DATE).distinct(), DATE, "left_semi")
+            held = spark.read.schema(columns).parquet(path).join(fresh.select("month").distinct(), "month", "left_semi")
             rows = fresh.unionByName(held.join(fresh, keys, "left_anti"))
-        # The old days are read before they are replaced.
+        # The old months are read before they are replaced.
         rows.write.parquet(f"{merged}/whole")
-        whole = spark.read.schema(columns).parquet(f"{merged}/whole").repartition(DATE)
-        whole.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(DATE).parquet(path)
+        whole = spark.read.schema(columns).parquet(f"{merged}/whole").repartition("month")
+        whole.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(path)
         folder = spark._jvm.org.apache.hadoop.fs.Path(merged)
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
