@@ -31,10 +31,12 @@ def test_booleans_are_three_valued(spark):
 
 def test_timestamps(spark):
     rows = ["01/02/2003 04:05:06 PM", "1/2/2003 4:05:06 pm", "  01/02/2003 04:05:06 PM ", "13/02/2003 04:05:06 PM",
-            "2003-01-02 04:05:06", "", None, "01/02/2003 12:00:00 AM"]
+            "2003-01-02 04:05:06", "", None, "01/02/2003 12:00:00 AM",
+            "01/02/2003 04:05:06 PM\r\n", "2003-01-02 04:05:06 PM", "2003-01-02 04:05:06 Europe/Amsterdam", "01/02/2003 0:05:06 PM",
+            "01/02/2003 13:05:06 AM", "01/02/2003 04:60:06 AM", "01/02/2003 04:05:60 AM", "2/30/2003 04:05:06 AM", "01/02/2003 12:00:00 PM"]
     afternoon = dt.datetime(2003, 1, 2, 16, 5, 6)
     got = values(spark, [(r,) for r in rows], "t string", C.parse_ts(F.col("t")))
-    assert [g[0] for g in got] == [afternoon] * 3 + [None] * 4 + [dt.datetime(2003, 1, 2)]
+    assert [g[0] for g in got] == [afternoon] * 3 + [None] * 4 + [dt.datetime(2003, 1, 2), afternoon] + [None] * 7 + [dt.datetime(2003, 1, 2, 12)]
 
 
 def test_date_parts(spark):

@@ -34,21 +34,14 @@ def clean_bool(col: Column) -> Column:
 
 
 # Month, day, year, hour, minute, second and half of the day, as RAW_TIME_FORMAT has them.
-_TIME = r"^(\d{1,2})/(\d{1,2})/(\d{4}) (\d{1,2}):(\d{1,2}):(\d{1,2}) ((?i:am|pm))$"
+_TIME = r"^(\d{1,2})/(\d{1,2})/(\d{4}) (0?[1-9]|1[0-2]):(\d{1,2}):(\d{1,2}) (?i:am|pm)$"
 
 
 def parse_ts(col: Column) -> Column:
     """12-hour clock text to a zone-free timestamp, NULL when it does not parse; no session zone is involved."""
-    text = F.trim(col)
-
-    def part(i: int) -> Column:
-        return F.regexp_extract(text, _TIME, i)
-
-    hour = part(4).try_cast("int")
-    shifted = hour % 12 + F.when(F.lower(part(7)) == "pm", 12).otherwise(0)
-    made = F.try_make_timestamp_ntz(
-        part(3).try_cast("int"), part(1).try_cast("int"), part(2).try_cast("int"), shifted,
-        part(5).try_cast("int"), part(6).try_cast("decimal(8,6)"),
-    )
-    # A minute has 60 seconds here; the builder would carry a 60th over.
-    return F.when(text.rlike(_TIME) & hour.between(1, 12) & (part(6).try_cast("int") < 60), made)
+    text = F.rtrim(F.trim(col), F.lit("\r\n"))
+    # One match turns the text round for the cast; text that does not match still ends in its half of the day, which no cast takes.
+    turned = F.regexp_replace(text, _TIME, r"$3-$1-$2 $4:$5:$6").try_cast("timestamp_ntz")
+    half, noon, none = F.lower(F.right(text, F.lit(3))), F.make_dt_interval(hours=F.lit(12)), F.make_dt_interval()
+    shifted = turned - F.when(F.hour(turned) == 12, noon).otherwise(none)
+    return F.when(half == " am", shifted).when(half == " pm", shifted + noon)
