@@ -663,7 +663,8 @@ ORACLE["distinct_orders_by_year"] = """SELECT l_returnflag, year(l_shipdate)::IN
   true AS close, true AS no_more_than_the_days FROM lineitem GROUP BY ALL"""
 ORACLE["median_price_by_year"] = """SELECT l_returnflag, year(l_shipdate)::INTEGER AS year, count(*) AS n_lines, true AS close
 FROM lineitem GROUP BY ALL"""
-ORACLE["lag_features_sparse"] = ORACLE["lag_features"]
+ORACLE["lag_features_sparse"] = ORACLE["lag_features_stored"] = ORACLE["lag_features"]
+ORACLE["forecast_mean_stored"] = ORACLE["forecast_mean_area_type"]
 ORACLE["raw_records"] = f"""SELECT event_id, user_id, md5(note) AS digest, len(note) - len(replace(note, chr(10), '')) + 1 AS n_lines
 FROM (SELECT event_id, user_id, {rawtext.NOTE} AS note FROM events)"""
 ORACLE["preview_lines"] = """SELECT substr(line, 1, 1000) AS line FROM (

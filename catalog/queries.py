@@ -521,6 +521,31 @@ def lag_features_sparse(spark, folder):
     return table.withColumns({c: F.round(c, 6) for c in ("rolling_mean_7", "rolling_mean_30", "rolling_std_7")})
 
 
+def _stored_series(spark, folder) -> tuple[Counted, str]:
+    """Counts of each area and type, stored in buckets of the series."""
+    base = orders(spark, folder, AREA, TYPE)
+    rows = panel.series_rows(base.daily(AREA, TYPE), base.end, base.start, base.top_types(), {AREA: VALID_AREAS})
+    name = f"series_{uuid.uuid4().hex}"
+    tables.save_buckets(rows, name, (AREA, TYPE), (DATE,))
+    return base, name
+
+
+@query
+def lag_features_stored(spark, folder):
+    """The features of `lag_features`, from a table in buckets of the series."""
+    base, name = _stored_series(spark, folder)
+    table = features.lag_features(panel.stored_panel(spark, name, base.end, (AREA, TYPE)))
+    return table.withColumns({c: F.round(c, 6) for c in ("rolling_mean_7", "rolling_mean_30", "rolling_std_7")})
+
+
+@query
+def forecast_mean_stored(spark, folder):
+    """The forecast of `forecast_mean_area_type`, fitted where the stored series are read."""
+    base, name = _stored_series(spark, folder)
+    dense = panel.stored_panel(spark, name, base.end, (AREA, TYPE))
+    return forecast.iterative_mean_forecast(dense, (AREA, TYPE), end=base.end, model=None)
+
+
 @query
 def rolling_full_window(spark, folder):
     series = orders(spark, folder, AREA).panel(AREA)

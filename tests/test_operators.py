@@ -15,6 +15,7 @@ from tsrisk.names import AREA, COUNT, DATE, DAY, TYPE
 from tsrisk.functions.dates import with_date_parts
 from tsrisk.operators import arima, boosted, counts, features, forecast, forest, least_squares, metrics, panel, risk, sketches
 from tsrisk.operators.centroids import centroids, exact_medians
+from tsrisk.sources import tables
 
 START = dt.date(2020, 1, 1)
 
@@ -223,6 +224,27 @@ def test_sparse_panel_equals_the_dense_one_and_shuffles_counts_only(spark):
     assert "explode(sequence" in above and "Join" not in above
 
 
+@pytest.mark.parametrize("buckets", [1, 3])
+def test_series_stored_in_buckets_are_read_without_an_exchange(spark, buckets):
+    rng = random.Random(7)
+    rows = {(day(rng.randrange(90)), rng.choice((1, 2, 9)), rng.choice("AB")): rng.randint(1, 5) for _ in range(60)}
+    daily = spark.createDataFrame([(*k, v) for k, v in rows.items()], f"{DATE} date, {AREA} int, {TYPE} string, {COUNT} long")
+    keys = spark.createDataFrame([("A",), ("C",)], f"{TYPE} string")
+    for source in (daily, daily.limit(0)):
+        stored = panel.series_rows(source, day(80), day(3), keys, {AREA: (1, 2, 3)})
+        tables.save_buckets(stored, "tsrisk_series", (AREA, TYPE), (DATE,), buckets)
+        dense = panel.stored_panel(spark, "tsrisk_series", day(80), (AREA, TYPE))
+        wanted = panel.panel(source, day(80), day(3), keys, {AREA: (1, 2, 3)})
+        made = features.lag_features(dense), forecast.iterative_mean_forecast(dense, (AREA, TYPE), end=day(80))
+        right = features.lag_features(wanted), forecast.iterative_mean_forecast(wanted, (AREA, TYPE), end=day(80))
+        for mine, theirs in zip(made, right):
+            cols = sorted(mine.columns)
+            assert sorted(map(tuple, mine.select(cols).collect()), key=str) == sorted(map(tuple, theirs.select(cols).collect()), key=str)
+            assert "Exchange" not in mine._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in made[0].join(made[0].groupBy(AREA, TYPE).count().hint("merge"), [AREA, TYPE])._jdf.queryExecution().executedPlan().toString()
+
+
+
 # ---------------------------------------------------------------- forecasts
 CITY_AHEAD = [525, 531, 535, 532, 533, 531, 532, 531] + [532] * 22
 

@@ -86,12 +86,8 @@ def panel(daily: DataFrame, end: dt.date, start: dt.date, keys: DataFrame | None
     return with_date_parts(dense, DATE, DATE_PARTS)
 
 
-def sparse_panel(daily: DataFrame, end: dt.date, start: dt.date, keys: DataFrame, extra=None) -> DataFrame:
-    """The rows of `panel`, with only the days that have counts shuffled.
-
-    Each key gets its own rows and one for the first day in one exchange; the days up to its next row are made
-    there, so windows over the series find them in place. A key has at most one row a day, which bounds its task.
-    """
+def series_rows(daily: DataFrame, end: dt.date, start: dt.date, keys: DataFrame, extra=None) -> DataFrame:
+    """The days of each key that have counts, and its first day, in one exchange; see `panel` for the arguments."""
     wanted = keys
     for name, values in (extra or {}).items():
         wanted = wanted.select("*", F.explode(F.array(*map(F.lit, values))).alias(name))
@@ -99,10 +95,34 @@ def sparse_panel(daily: DataFrame, end: dt.date, start: dt.date, keys: DataFrame
     counted = daily.where(F.col(DATE).between(F.lit(start), F.lit(end))).join(wanted, names, "left_semi")
     first = wanted.select(F.lit(start).alias(DATE), *names, F.lit(0).cast("bigint").alias(COUNT))
     rows = counted.select(DATE, *names, COUNT).unionByName(first).repartition(*names).groupBy(*names, DATE)
-    rows = rows.agg(F.sum(COUNT).alias(COUNT))
+    return rows.agg(F.sum(COUNT).alias(COUNT))
+
+
+def fill_days(rows: DataFrame, end: dt.date, names) -> DataFrame:
+    """The days up to each row's next one, or up to `end`, with a count of zero.
+
+    They are made where the row stands, so a table stored in buckets of the key needs no exchange.
+    """
     following = F.lead(DATE).over(Window.partitionBy(*names).orderBy(DATE))
     until = F.coalesce(F.date_sub(following, 1), F.lit(end))
     gaps = rows.withColumn("_last", until).withColumnRenamed(DATE, "_counted")
     days = gaps.select("*", F.explode(F.sequence("_counted", "_last")).alias(DATE))
     value = F.when(F.col(DATE) == F.col("_counted"), F.col(COUNT)).otherwise(F.lit(0).cast("bigint"))
     return with_date_parts(days.select(DATE, *names, value.alias(COUNT)), DATE, DATE_PARTS)
+
+
+def sparse_panel(daily: DataFrame, end: dt.date, start: dt.date, keys: DataFrame, extra=None) -> DataFrame:
+    """The rows of `panel`, with only the days that have counts shuffled.
+
+    Each key gets its own rows and one for the first day in one exchange; the days up to its next row are made
+    there, so windows over the series find them in place. A key has at most one row a day, which bounds its task.
+    """
+    return fill_days(series_rows(daily, end, start, keys, extra), end, [*keys.columns, *(extra or {})])
+
+
+def stored_panel(spark: SparkSession, table: str, end: dt.date, names) -> DataFrame:
+    """The rows of `panel` from `series_rows` that `tables.save_buckets` keeps under a name.
+
+    Windows, groups and joins over all of `names`, in this order, find each series in one task as it is read.
+    """
+    return fill_days(spark.table(table).where(F.col(DATE) <= F.lit(end)), end, names)

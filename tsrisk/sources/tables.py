@@ -42,6 +42,20 @@ def save_table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.table(name)
 
 
+def save_buckets(df: DataFrame, name: str, keys, order=(), buckets: int | None = None) -> DataFrame:
+    """Replace the named table by one in buckets of `keys`, one sorted file each, and return the stored one.
+
+    Steps that group, join or open windows by the keys read a bucket a task and shuffle nothing. The number of
+    buckets is that of the session's shuffle partitions unless it is given; a key has one bucket, so this is for
+    rows whose keys are bounded, such as a series with a row a day.
+    """
+    spark = df.sparkSession
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.repartition(buckets, *keys).write.mode("overwrite").format("parquet")
+    rows.bucketBy(buckets, *keys).sortBy(*keys, *order).saveAsTable(name)
+    return spark.table(name)
+
+
 def sort_for_storage(df: DataFrame, keys) -> DataFrame:
     """Files that hold disjoint, sorted key ranges, for skipping at read."""
     return df.repartitionByRange(*keys).sortWithinPartitions(*keys)
