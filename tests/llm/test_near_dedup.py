@@ -83,6 +83,27 @@ def test_small_blocks_lose_nothing(docs_of, monkeypatch):
     assert got(near_dedup.near_duplicates(docs_of(*rows))) == brute(rows)
 
 
+def test_ids_may_be_text(docs_of):
+    rows = [("b", "one two three"), ("a", "one two  three"), ("c", "something else here"), (None, "one two three")]
+    df = docs_of((1, "")).sparkSession.createDataFrame(rows, "doc_id string, text string")
+    want = [("a", 1, "a", True), ("b", 1, "a", False), ("c", 1, "c", True), (None, 1, "a", False)]
+    assert got(near_dedup.near_duplicates(df)) == sorted(want, key=repr)
+
+
+def test_one_row_of_each_component_stays(docs_of):
+    near = " ".join(f"w{i}" for i in range(60))
+    rows = [(4, "one two three"), (4, "one two three"), (4, "another text of that id"), (5, "ONE two three"), (None, "one two three"), (None, near), (None, near + " x"),
+            (7, "another text of that id"), (8, None), (8, None), (9, ""), (None, "")]
+    df = docs_of(*rows)
+    kept = near_dedup.deduplicate(df)
+    assert kept.columns == df.columns
+    left = sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr)
+    unnamed = [r for r in left if r[0] is None and r[1]]
+    assert len(unnamed) == 1 and unnamed[0][1] in (near, near + " x")
+    assert [r for r in left if r not in unnamed] == sorted([(4, "one two three"), (4, "another text of that id"), (8, None), (9, ""), (None, "")], key=repr)
+    assert near_dedup.deduplicate(df.limit(0)).count() == 0
+
+
 def test_components(spark):
     edges = [(b"a", b"b"), (b"b", b"c"), (b"x", b"y"), (b"z", b"z"), (b"b", b"a")] + [(b"%03d" % i, b"%03d" % (i + 1)) for i in range(40)]
     got = dict(components(spark.createDataFrame(edges, "u binary, v binary")).collect())

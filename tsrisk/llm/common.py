@@ -69,6 +69,20 @@ def kept(df: DataFrame, keep: Sequence[str]) -> tuple[list[Column], list[str], l
     )
 
 
+def whole_id(df: DataFrame, name: str) -> Column:
+    """An id column: whole numbers as long, any other type as it is."""
+    kind = df.schema[name].dataType
+    return F.col(name).cast("long").alias(name) if isinstance(kind, T.IntegralType) else F.col(name)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that `df` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def remainder(doc_id: Column, divisor: int) -> Column:
     """crc32 of the id as text, modulo `divisor`; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % divisor

@@ -18,8 +18,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tsrisk.llm.common import binary, by_bytes, ship
+from tsrisk.llm.common import binary, by_bytes, free_name, ship, whole_id
 from tsrisk.llm.components import components
 from tsrisk.llm.shingles import mix, shingle_sets
 from tsrisk.session import stage, unstage
@@ -32,7 +33,7 @@ SIGNATURE_SHARE, SKETCH, SKETCH_SHARE = 0.60, 64, 0.48
 #: Nodes in one group of a cell that compares signatures, and of one that compares full sets.
 BLOCK, SET_BLOCK = 256, 64
 
-FEATURES = "doc_id long, n_shingles long, node binary, bands array<long>, signature binary"
+FEATURES = "n_shingles long, node binary, bands array<long>, signature binary"
 
 
 def _functions() -> tuple[np.ndarray, np.ndarray]:
@@ -68,8 +69,14 @@ def band_keys(least: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def features(docs: DataFrame) -> DataFrame:
-    """A row per document: set size, fingerprint of the set, band keys, and the low byte of every minimum."""
+def features(docs: DataFrame, row: str | None = None) -> DataFrame:
+    """A row per document: set size, fingerprint of the set, band keys, and the low byte of every minimum.
+
+    The column `row`, if it is named, comes along under that name.
+    """
+    own = [whole_id(docs, "doc_id"), *([F.col(row).alias("row")] if row else [])]
+    fields = docs.select(*own).schema
+    names = fields.names
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "text", 2 << 20):
@@ -82,13 +89,13 @@ def features(docs: DataFrame) -> DataFrame:
                 signature.append((least & np.uint32(255)).astype(np.uint8).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(node, pa.binary()),
-                    pa.array(bands, pa.list_(pa.int64())), pa.array(signature, pa.binary()),
+                    *[batch.column(c) for c in names], pa.array([len(s) for s in sets], pa.int64()),
+                    pa.array(node, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(signature, pa.binary()),
                 ],
-                names=["doc_id", "n_shingles", "node", "bands", "signature"],
+                names=[*names, "n_shingles", "node", "bands", "signature"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, FEATURES)
+    return docs.select(*own, "text").mapInArrow(run, T.StructType([*fields, *T.StructType.fromDDL(FEATURES)]))
 
 
 def _agreeing(pairs: DataFrame, length: int, share: float) -> DataFrame:
@@ -119,7 +126,7 @@ def _sets_of(docs: DataFrame, nodes: DataFrame, reps: DataFrame) -> DataFrame:
     rows that share one, are told apart by the fingerprint.
     """
     wanted = nodes.join(reps, "node").filter(F.col("rep").isNotNull()).select(F.col("rep").alias("doc_id")).distinct()
-    rows = docs.select(F.col("doc_id").cast("long"), "text")
+    rows = docs.select(whole_id(docs, "doc_id"), "text")
     found = rows.join(wanted, "doc_id", "left_semi").unionByName(rows.filter(F.col("doc_id").isNull()))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -346,8 +353,9 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     without words, has no shingles and is a component of its own. A component
     is named by its least id; ids that are null count last, so only a component
     without any id is named null. Rows that share an id are documents of their
-    own, and each of them is kept if its id names the component. An empty table
-    gives an empty result.
+    own, and each of them is kept if its id names the component. Ids are whole
+    numbers or of any other type that can be ordered. An empty table gives an
+    empty result.
     """
     ship(docs)
     found = stage(features(docs), "nd-features")
@@ -360,3 +368,28 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     linked = held.select("doc_id", "n_shingles", "node").join(named, "node").select("doc_id", "n_shingles", "component_id")
     alone = found.filter(F.col("node").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def deduplicate(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """The rows of `docs`, one of each component of near duplicates; rows without words are all different texts.
+
+    The row with the least id stays, null ids last; among equal ids it is the
+    one with the least hash of all columns. So rows without an id, and rows
+    that share one, are told apart, and rows repeated in full become one. An
+    empty table gives an empty result.
+    """
+    ship(docs)
+    row = free_name(docs, "row")
+    columns = [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
+    values = [x for c in columns for x in (c.isNull(), c)]
+    hashes = [F.hex(F.xxhash64(F.lit(seed), *values)) for seed in (1, 2)]
+    marked = docs.withColumn(row, F.concat_ws("-", *hashes))
+    found = stage(features(marked, row), "nd-features")
+    roots = links_between(docs, found, threshold)
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")
+    classes = found.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min(order).alias("best"))
+    best = _rooted(classes, roots, "node", "root").groupBy("root").agg(F.min("best").alias("best"))
+    alone = found.filter(F.col("node").isNull()).select("row").distinct()
+    wanted = stage(best.select("best.row").unionByName(alone).select(F.col("row").alias(row)), "nd-kept")
+    unstage(found, roots)
+    return marked.join(wanted, row, "left_semi").select(*columns).dropDuplicates()
