@@ -2,6 +2,7 @@ import base64
 import hashlib
 import random
 import re
+import time
 
 import pytest
 
@@ -73,6 +74,36 @@ def test_candidates_anywhere_near_a_sensitive_word(text, value):
     assert novel(text.format(value)) == [value]
 
 
+PLACES = ("the secret is {0} here", "pwd: {0}\n", "passphrase = {0}", "the secret\n\n{0}\n", "line {0}\n\nof the token", "'secret':'{0}'")
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+PLAIN = LETTERS + LETTERS.upper() + "0123456789"
+
+
+@pytest.mark.parametrize(("alphabet", "size", "least"), [
+    (PLAIN + "!@#$%^&*", 12, 0.95), (PLAIN + "!@#$%^&*", 16, 0.95), (PLAIN + "!@#$%^&*", 24, 0.95), (PLAIN, 16, 0.95), (LETTERS, 16, 0.9), (LETTERS, 12, 0.65),
+])
+def test_share_of_random_strings_found(alphabet, size, least):
+    draw = random.Random(size)
+    for place in PLACES:
+        values = ["".join(draw.choices(alphabet, k=size)) for _ in range(100)]
+        found = sum(any(v in s or s in v and len(s) >= 0.9 * size for s in [t[a:b] for _, a, b in secrets.all_spans(t)]) for v in values for t in [place.format(v)])
+        assert found >= least * 100, (place, found)
+
+
+def test_phrases_count_behind_a_password_and_marks_never_do():
+    assert novel("passphrase: correct-horse-battery-staple") == ["correct-horse-battery-staple"]
+    assert novel("the secret of correct-horse-battery-staple") == []
+    assert novel("secret words like queiereux*** and enpftekeit### or 221.26.125.211*** and a.person@mail.example.com, user@host1234567.example.org") == []
+    assert novel("the token of https://www.example.com/index#part and of this&that&others&more") == []
+
+
+@pytest.mark.parametrize("text", ["a" * 1_000_000, "a!b" * 300_000, "x@" * 200_000, "=a" * 300_000, "\nsecret" * 100_000])
+def test_long_lines_take_linear_time(text):
+    start = time.process_time()
+    secrets.all_spans("secret " + text)
+    assert time.process_time() - start < 20
+
+
 def test_short_letters_count_when_bound_and_words_never_do():
     assert novel("masterkey=xkqzjvbwmpfh") == ["xkqzjvbwmpfh"]
     assert novel("The session on internationalization of maximum-likelihood estimation, 2024-01-15, from 192.168.100.200, is a key-finding.") == []

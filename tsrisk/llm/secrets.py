@@ -37,10 +37,20 @@ SENSITIVE_WORD = re.compile(
     "(?ai:" + "|".join(SENSITIVE) + r"|(?<![a-z])key|key(?=s?[\"']?[\x20\t]*[:=]))|(?<=[a-z0-9])Key(?![a-z])", re.A
 )
 TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=.~-])[A-Za-z0-9+/_=~-][A-Za-z0-9+/_=.~-]*")
-#: A string stands in the line of a sensitive word, the line before, or the lines up to so far after it.
-REACH = 32
-#: It has so many characters at least; those below LEAST_PLAIN need letters, and digits unless they follow = or :.
-LEAST_NOVEL, LEAST_PLAIN = 12, 16
+# Symbols of passwords. A run with one of them is measured as a whole before its parts are.
+SYMBOLS = "!@#$%^&*"
+RUN = re.compile(r"[^\s\"'`<>()\[\]{},;|\\]{12,}+")
+#: One symbol repeated at an end is a mark and no part of the run.
+MARKS = re.compile(r"\A([!@#$%^&*])\1+|([!@#$%^&*])\2+\Z")
+NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_.-]*[=:](?!//)")
+ADDRESS = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*://|[^@]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+\Z")
+#: What stands between a word for a password and its value, which is measured even if it reads as words.
+PASS = re.compile(r"(?ai:passphrase|password|passwd|pwd)[\"']?[\x20\t]*[:=][\x20\t]*[\"']?\Z")
+#: A string stands in the line of a sensitive word, the two lines before, the two after, or the lines up to so far after it.
+REACH, LINES = 32, 2
+#: It has so many characters at least; those below LEAST_PLAIN need letters, and digits unless they follow = or : or
+#: have at most RARE_PAIRS of the letter pairs of plain words.
+LEAST_NOVEL, LEAST_PLAIN, RARE_PAIRS = 12, 16, 0.2
 #: The head of a private key, its end, and lines of key text where the end is missing.
 PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?)-----")
 PEM_LINES = re.compile(r"(?:(?:\s|\\[nr])*+[A-Za-z0-9+/=]{12,}+)++")
@@ -102,15 +112,33 @@ def novelty(candidate: str, around: str) -> float:
     return added / len(raw)
 
 
+def _pairs(value: str) -> tuple[int, int]:
+    """Pairs of letters in a string, and those of them that plain words have."""
+    low = value.lower()
+    pairs = [low[k : k + 2] for k in range(len(low) - 1) if low[k : k + 2].isalpha()]
+    return len(pairs), sum(p in PAIRS or not p.isascii() for p in pairs)
+
+
 def reads_as_words(value: str) -> bool:
     """Whether a string is a compound of letters only, or has mostly the letter pairs of plain words."""
     low, parts = value.lower(), re.split("[-_./]", value)
     digits = any(c.isdigit() for c in value)
     if not digits and len(parts) > 1 and max(map(len, parts)) < LEAST_PLAIN:
         return True
-    pairs = [low[k : k + 2] for k in range(len(low) - 1) if low[k : k + 2].isalpha()]
+    pairs, plain = _pairs(value)
     least = LEAST_PAIRS_WITH_DIGITS if digits and (len(parts) == 1 or low != value) else LEAST_PAIRS
-    return 2 * len(pairs) >= len(value) - len(parts) and sum(p in PAIRS for p in pairs) >= least * len(pairs)
+    return 2 * pairs >= len(value) - len(parts) and plain >= least * pairs
+
+
+def _marked_words(value: str) -> bool:
+    """Whether a string with symbols is words, numbers and marks around or between them."""
+    parts = [p for p in re.split(r"[\W_]+", value) if p]
+    kinds = sum(len(set(p)) > 1 and any(c.isalpha() for c in p) and any(c.isdigit() for c in p) for p in parts)
+    pairs, plain = _pairs(value)
+    letters = sum(c.isalpha() for c in value)
+    if not kinds and (not letters or 2 * pairs >= letters) and plain >= LEAST_PAIRS * pairs and len(parts) <= max(1, len(value) // 5):
+        return True
+    return reads_as_words(value)
 
 
 def key_blocks(text: str) -> list[tuple[str, int, int]]:
@@ -138,15 +166,45 @@ def near_lines(text: str) -> Iterator[tuple[int, int]]:
     at = done = 0
     while word := SENSITIVE_WORD.search(text, at):
         start = text.rfind("\n", done, word.start()) + 1 or done
-        start = (text.rfind("\n", done, start - 1) + 1 or done) if start > done else done
-        end = text.find("\n", word.end())
-        after = text.find("\n", end + REACH) if end >= 0 else -1
+        for _ in range(LINES):
+            start = (text.rfind("\n", done, start - 1) + 1 or done) if start > done else done
+        end = after = text.find("\n", word.end())
+        for step in range(LINES):
+            after = text.find("\n", after + (REACH if not step else 1)) if after >= 0 else -1
         yield start, len(text) if after < 0 else after
         if end < 0:
             return
         at, done = end, len(text) if after < 0 else after
 
 
+def _candidates(text: str, first: int, last: int) -> Iterator[tuple[int, int]]:
+    """Runs with symbols, then strings of plain characters, that can be secrets."""
+    for run in RUN.finditer(text, first, last):
+        start, end = run.span()
+        if name := NAME.match(text, start, end):
+            start = name.end()
+        end -= len(text[start:end]) - len(text[start:end].rstrip(".:?!"))
+        value = text[start:end]
+        marked = any(c in MARKS.sub("", value) for c in SYMBOLS)
+        if len(value) >= LEAST_NOVEL and marked and not ADDRESS.match(value) and not _marked_words(value):
+            yield start, end
+    for whole in TOKEN.finditer(text, first, last):
+        # Of name=value the value counts; what ends in = is padding.
+        start, end = whole.start() + whole[0].rstrip("=").rfind("=") + 1, whole.end()
+        value = text[start:end]
+        if len(value) < LEAST_NOVEL:
+            continue
+        if reads_as_words(value):
+            if PASS.search(text, max(0, start - SURROUNDINGS), start):
+                yield start, end
+            continue
+        letters, digits = sum(c.isalpha() for c in value), any(c.isdigit() for c in value)
+        bound = text[max(0, start - 4) : start].rstrip(" \"'")[-1:] in ("=", ":")
+        pairs, plain = _pairs(value)
+        if len(value) >= LEAST_PLAIN or (letters >= 4 and (digits or bound or plain <= RARE_PAIRS * pairs)):
+            yield start, end
+
+
 def novel_spans(text: str, taken: Sequence[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """Private keys, and novel strings near sensitive words, that no span in `taken` covers."""
     low = text.lower()
@@ -156,22 +214,15 @@ def novel_spans(text: str, taken: Sequence[tuple[str, int, int]]) -> list[tuple[
     covers = sorted((a, b) for _, a, b in [*taken, *found])
     starts, ends = [a for a, _ in covers], list(accumulate((b for _, b in covers), max))
     for first, last in near_lines(text):
-        for whole in TOKEN.finditer(text, first, last):
-            # Of name=value the value counts; what ends in = is padding.
-            start, end = whole.start() + whole[0].rstrip("=").rfind("=") + 1, whole.end()
-            value = text[start:end]
-            if len(value) < LEAST_NOVEL or reads_as_words(value):
-                continue
-            letters, digits = sum(c.isalpha() for c in value), sum(c.isdigit() for c in value)
-            bound = text[max(0, start - 4) : start].rstrip(" \"'")[-1:] in ("=", ":")
-            if len(value) < LEAST_PLAIN and (letters < 4 or not (digits or bound)):
-                continue
-            at = bisect_right(starts, start)
-            if at and ends[at - 1] >= end:
+        runs: list[tuple[int, int]] = []  # novel runs with symbols, in order; their parts are not measured again
+        for start, end in _candidates(text, first, last):
+            at, own = bisect_right(starts, start), bisect_right(runs, (start, len(text)))
+            if (at and ends[at - 1] >= end) or (own and runs[own - 1][1] >= end):
                 continue
             around = text[max(0, start - SURROUNDINGS) : start] + text[end : end + SURROUNDINGS]
-            if novelty(value, around) >= NOVELTY:
+            if novelty(text[start:end], around) >= NOVELTY:
                 found.append(("novel", start, end))
+                runs.append((start, end))
     return sorted(found)
 
 
