@@ -28,7 +28,7 @@ def test_stages_take_effect_one_after_another(spark, folder):
 
 def test_edges(spark, folder, docs_of):
     rows = [(1, None), (2, ""), (3, "123 ..."), (4, "one good text with several words"), (4, "one good text with several words"), (5, "One good TEXT with several words")]
-    rows += [(None, "an unnamed text with words of its own"), (6, "another text that stands alone here", None, None)]
+    rows += [(None, "an unnamed text with words of its own"), (6, "another text that stands alone here", None, None), (None, "one good text with several words")]
     full = docs_of(*rows).select(*COLUMNS)
     for start in (full, full.limit(0)):
         docs = start

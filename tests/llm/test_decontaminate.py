@@ -52,6 +52,12 @@ def test_edges(spark, docs_of):
     assert all(r.hits == [] for r in D.find_leaks(docs_of(*rows), items.limit(0)).collect())
 
 
+def test_item_ids_may_be_text(spark, docs_of):
+    items = spark.createDataFrame([("b", "benchmark item two"), ("a", "benchmark item one"), (None, "an item of no name")], "item_id string, text string")
+    (row,) = D.find_leaks(docs_of((1, "benchmark item one, benchmark item two, an item of no name")), items).collect()
+    assert [(h.item_id, h.distance) for h in row.hits] == [("a", 0), ("b", 0), (None, 0)]
+
+
 def test_items_in_blocks(spark, docs_of, monkeypatch):
     monkeypatch.setattr(D, "BLOCK_BYTES", 40)
     items = spark.createDataFrame([(i, f"benchmark item number {i} in full") for i in range(8)], "item_id long, text string")

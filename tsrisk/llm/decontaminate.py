@@ -10,7 +10,7 @@ from __future__ import annotations
 import uuid
 from collections import defaultdict
 from collections.abc import Iterable, Iterator, Sequence
-from typing import NamedTuple
+from typing import Any, NamedTuple
 
 import ahocorasick
 import pyarrow as pa
@@ -18,19 +18,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tsrisk.llm.common import by_bytes, ship
+from tsrisk.llm.common import by_bytes, ship, whole_id
 
 #: Edits allowed per character of an item.
 ERROR_RATE = 0.06
 #: Bytes of items that are broadcast at a time; more items take more passes.
 BLOCK_BYTES = 16 << 20
 
-HITS = "array<struct<item_id:bigint,distance:int>>"
-_ARROW = pa.list_(pa.struct([("item_id", pa.int64()), ("distance", pa.int32())]))
-
 
 class Item(NamedTuple):
-    item_id: int | None
+    item_id: Any  # the benchmark's own id
     text: str
     budget: int
 
@@ -142,7 +139,7 @@ def _finder(token: str, items: Sequence[tuple]) -> Finder:
 
 def _blocks(benchmark: DataFrame, rate: float) -> Iterator[list[tuple]]:
     """Items in blocks of bounded size; empty and null ones are left out, repeated rows count once."""
-    rows = benchmark.filter(F.length(F.trim("text")) > 0).select(F.col("item_id").cast("long"), "text").distinct()
+    rows = benchmark.filter(F.length(F.trim("text")) > 0).select(whole_id(benchmark, "item_id"), "text").distinct()
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // BLOCK_BYTES))
     for k in range(blocks):
@@ -157,15 +154,18 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE,
     Texts and items are compared in lower case with single spaces. An item of n
     characters is found at up to n * rate edits, so a very short one only as it
     is. Null or empty texts hold nothing; null or blank items are held by
-    nothing. Items that repeat an id are reported each; a null id is last.
+    nothing. Items that repeat an id are reported each; a null id is last. Item
+    ids are whole numbers or of any other type that can be ordered.
     Repeated rows give repeated rows, an empty table on either side no hits,
     and a column `hits` of the input is replaced.
     """
     ship(docs)
     docs = docs.drop(name)
-    schema = T.StructType([*docs.schema, *T.StructType.fromDDL(f"{name} {HITS}")])
+    kind = benchmark.select(whole_id(benchmark, "item_id")).schema[0].dataType
+    hits_of = T.ArrayType(T.StructType([T.StructField("item_id", kind), T.StructField("distance", T.IntegerType())]))
+    schema = T.StructType([*docs.schema, T.StructField(name, hits_of)])
     context = docs.sparkSession.sparkContext
-    found = docs.withColumn(name, F.array().cast(HITS))
+    found = docs.withColumn(name, F.array().cast(hits_of))
     for block in _blocks(benchmark, rate):
         if not block:
             continue
@@ -179,7 +179,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE,
                     for old, t in zip(batch.column(name).to_pylist(), batch.column("text").to_pylist())
                 ]
                 yield pa.RecordBatch.from_arrays(
-                    [*batch.columns[:-1], pa.array(hits, _ARROW)], names=batch.schema.names
+                    [*batch.columns[:-1], pa.array(hits, batch.schema.field(name).type)], names=batch.schema.names
                 )
 
         found = found.mapInArrow(run, schema)
