@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tsrisk.llm import decontaminate, language_id, mixing, near_dedup, secrets
-from tsrisk.llm.common import remainder, table
-from tsrisk.session import stage
+from tsrisk.llm.common import free_name, remainder, table
+from tsrisk.session import stage, unstage
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -26,20 +26,18 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one with the least id; rows without an id all stay.
+    """One document of each group of near duplicates: the one with the least id, null ids last.
 
-    Rows repeated in full become one; rows that share an id but not a text are told apart by the operator and stay
-    together with their id.
+    Rows that share an id, or have none, are told apart by all their columns; rows repeated in full become one.
     """
-    kept = near_dedup.near_duplicates(docs).filter(F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").select(*docs.columns).dropDuplicates()
-    return named.unionByName(docs.filter(F.col("doc_id").isNull()).dropDuplicates())
+    return near_dedup.deduplicate(docs)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    found = decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark"), name="_hits")
-    return found.filter(F.size("_hits") == 0).drop("_hits")
+    hits = free_name(docs, "hits")
+    found = decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark"), name=hits)
+    return found.filter(F.size(hits) == 0).drop(hits)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -71,5 +69,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`; each result is written to the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
     for name, step in STAGES[:-1]:
-        docs = stage(step(spark, docs, sf_dir), f"pipeline-{name}")
+        before, docs = docs, stage(step(spark, docs, sf_dir), f"pipeline-{name}")
+        unstage(before)
     return STAGES[-1][1](spark, docs, sf_dir)
