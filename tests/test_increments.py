@@ -1,13 +1,17 @@
 """The growing cube, and daily counts of a stream with corrections."""
 
+from pathlib import Path
+
 import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
+from catalog import queries
 from tsrisk.names import AREA, COUNT, DATE, TIME, TYPE
 from tsrisk.operators.counts import incident_cube
+from tsrisk.session import new_path
 from tsrisk.sources import increments as I
-from tsrisk.sources.adapters import incidents_orders
+from tsrisk.sources.adapters import incidents_orders, read_table
 from tsrisk.streaming.daily import daily_counts_stream, upsert_daily_counts
 
 DIMS = (AREA, TYPE)
@@ -118,3 +122,14 @@ def test_stream_upserts_open_days_and_late_rows(spark, tmp_path):
     assert run() == [("01", 1, 2), ("01", 2, 1), ("02", 1, 1), ("03", 3, 1)]
     # Nothing new, nothing changed.
     assert run() == [("01", 1, 2), ("01", 2, 1), ("02", 1, 1), ("03", 3, 1)]
+
+
+def test_batches_of_a_replay_do_not_grow_with_its_files(spark, folder, tmp_path, monkeypatch):
+    for name, files in (("orders", 12), ("customer", 1)):
+        read_table(spark, folder, name).repartition(files).write.parquet(f"{tmp_path}/{name}.parquet")
+    made = {}
+    monkeypatch.setattr(queries, "new_path", lambda spark, name: made.setdefault(name, new_path(spark, name)))
+    days = queries.QUERIES["daily_area_replayed"](spark, str(tmp_path))
+    assert rows(days) == rows(queries.QUERIES["daily_area"](spark, folder))
+    assert len(list(Path(made["replay"]).rglob("*.parquet"))) >= 40
+    assert len(list(Path(f"{made['replay-state']}/commits").glob("[0-9]*"))) == 3
